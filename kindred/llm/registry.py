@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from kindred.llm import quality_rules
+from kindred.llm import mixing, quality_rules, sharding
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_sharding": sharding.op5_sharding,
+    "op6_mixing": mixing.op6_mixing,
 }
 
 ORACLE_SQL = {
     "op4_quality_rules": quality_rules.OP4_SQL,
+    "op5_sharding": sharding.OP5_SQL,
+    "op6_mixing": mixing.OP6_SQL,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kindred.llm import mixing, quality_rules, sharding
+from kindred.llm import licenses, mixing, quality_rules, sharding
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op8_licenses": licenses.op8_licenses,
 }
 
 ORACLE_SQL = {

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from kindred.llm import licenses, mixing, quality_rules, sharding
+from kindred.llm import licenses, mixing, quality_rules, sharding, warc
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op8_licenses": licenses.op8_licenses,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLE_SQL = {
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op5_sharding": sharding.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op9_warc": warc.OP9_SQL,
 }

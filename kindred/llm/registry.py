@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kindred.llm import licenses, mixing, quality_rules, sharding, warc
+from kindred.llm import licenses, mixing, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,

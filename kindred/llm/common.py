@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 #: Maximal runs of characters that are not ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Maximal runs of ASCII letters and digits and of all characters beyond ASCII, in lower-cased text.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: (The same class as a complement is ten times slower in the JVM.)
+ALNUM_WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kindred.llm import licenses, mixing, quality_rules, sharding, toxicity, warc
+from kindred.llm import decontamination, licenses, mixing, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_decontamination": decontamination.OP2_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op5_sharding": sharding.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,

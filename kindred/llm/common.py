@@ -61,3 +61,12 @@ def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def anti_join(docs: DataFrame, gone: DataFrame, key: str, limit: int = 500_000) -> DataFrame:
+    """docs without the rows whose key is in gone (one column of that name, distinct).
+
+    gone is written and counted first; up to limit rows it is broadcast, so that the texts stay where they are.
+    """
+    gone = written(gone, "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= limit else gone, key, "left_anti")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import SPACE_WORD, table, written
+from kindred.llm.common import SPACE_WORD, table, text_key, written
 
 WEIGHTS = (3, 1, 2)
 GOLDEN = 0.6180339887498949
@@ -121,6 +121,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.join(F.broadcast(by) if small else by, "src"), plan, pieces
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+    """docs as the mix takes them: each row as often as its taken words, in wholes of its size, round to.
+
+    Rows equal in id and text are one document here, which stays as often as they were taken together.  Documents
+    without words bear nothing to a mix and go.  All columns are kept.
+    """
+    keyed = docs.withColumn("__key", text_key(id_col, text_col))
+    found, _, _ = mix(keyed, "__key", text_col, source_col, **params)
+    times = found.filter("size > 0").groupBy("id").agg(F.floor(F.sum("taken") / F.max("size") + 0.5).cast("int").alias("__times")).filter("__times > 0").withColumnRenamed("id", "__key")
+    out = keyed.dropDuplicates(["__key"]).join(times, "__key")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__time")).drop("__time")
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs, _, _ = mix(table(spark, sf_dir, "documents"))
     return docs.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kindred.llm import decontamination, licenses, mixing, quality_rules, sharding, toxicity, warc
+from kindred.llm import decontamination, licenses, mixing, quality_rules, sharding, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import decontamination, licenses, mixing, quality_rules, sharding, simhash, toxicity, warc
+from kindred.llm import decontamination, licenses, mixing, quality_rules, sharding, simhash, suffix_tree, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op8_licenses": licenses.op8_licenses,
     "op9_warc": warc.op9_warc,
+    "op10_suffix_tree": suffix_tree.op10_suffix_tree,
 }
 
 ORACLE_SQL = {

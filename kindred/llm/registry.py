@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import decontamination, licenses, mixing, quality_rules, sharding, simhash, suffix_tree, toxicity, warc
+from kindred.llm import decontamination, licenses, mixing, quality_rules, sharding, simhash, suffix_dedup, suffix_tree, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_licenses": licenses.op8_licenses,
     "op9_warc": warc.op9_warc,
     "op10_suffix_tree": suffix_tree.op10_suffix_tree,

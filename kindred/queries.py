@@ -1,6 +1,693 @@
-"""Named queries of the record-linkage operators over the driver tables, each beside its SQL."""
+"""Named queries of the record-linkage operators over the driver tables, each beside its SQL.
+
+Every query reads whole tables.  Names start with the operator's id.  Doubles are rounded to six digits at the end.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kindred.functions import lexicon, native
+from kindred.functions import strings as st
+from kindred.operators import blocking, context, decide, features, metrics, sampling, tokens, validate
+from kindred.plans.tables import PAIRS_SQL, RECORDS_SQL, entities, read, records, scored, truth
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def six(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
+
+
+# ---------------------------------------------------------------- sources, lists, sinks
+
+
+@query("io2_list_file", "SELECT l_orderkey AS s1, list_sort(list_distinct(list(l_partkey::VARCHAR))) AS ids FROM lineitem GROUP BY l_orderkey")
+def io2(spark, d):
+    line = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat_ws("\t", F.first(F.col("l_orderkey").cast("string")), F.array_join(F.collect_set(F.col("l_partkey").cast("string")), ",")).alias("line"))
+    return validate.rows_of(line).select(F.col("s1").cast("long").alias("s1"), F.array_sort("ids").alias("ids"))
+
+
+@query(
+    "io4_pairs_from_lists",
+    "SELECT DISTINCT l_orderkey AS s1, l_partkey AS cand FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10) AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
+)
+def io4(spark, d):
+    lists = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("s1")).agg(F.collect_set("l_partkey").alias("ids"))
+    known = read(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("s1"))
+    pool = read(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("cand"))
+    return lists.select("s1", F.explode("ids").alias("cand")).join(known, "s1").join(pool, "cand").select("s1", "cand")
+
+
+@query(
+    "io8_id_lists",
+    f"WITH {PAIRS_SQL} SELECT ids.s1, coalesce(string_agg(cand::VARCHAR, ',' ORDER BY p DESC, cand), '') AS matched FROM ids LEFT JOIN (SELECT * FROM pairs WHERE p >= 0.5) q ON ids.s1 = q.s1 GROUP BY ids.s1",
+)
+def io8(spark, d):
+    from kindred.sources.lists import id_lists
+
+    return id_lists(scored(spark, d).filter("p >= 0.5"), entities(spark, d), "matched")
+
+
+@query(
+    "io12_error_dump",
+    f"""WITH {PAIRS_SQL}, k AS (SELECT pairs.*, t.s1 IS NOT NULL AS y FROM pairs LEFT JOIN truth t USING (s1, cand)),
+e AS (SELECT 'false_positive' AS kind, s1, cand, p FROM k WHERE NOT y AND p >= 0.5 UNION ALL SELECT 'false_negative', s1, cand, p FROM k WHERE y AND p < 0.5),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY p DESC, s1, cand) AS r FROM e)
+SELECT kind, s1, cand, round(p, 6) AS p, o_orderpriority AS left_text, p_name AS right_text FROM r JOIN orders ON s1 = o_orderkey JOIN part ON cand = p_partkey WHERE r <= 300""",
+)
+def io12(spark, d):
+    from kindred.sources.lists import error_dump
+
+    y = blocking.labelled(scored(spark, d), truth(spark, d)).withColumn("keep", F.col("p") >= 0.5)
+    left = read(spark, d, "orders").select(F.col("o_orderkey").alias("s1"), F.col("o_orderpriority").alias("left_text"))
+    right = read(spark, d, "part").select(F.col("p_partkey").alias("cand"), F.col("p_name").alias("right_text"))
+    return six(error_dump(y, left, right, 300), "p")
+
+
+# ---------------------------------------------------------------- joins
+
+
+@query("j1_exact_key_capped", f"WITH {RECORDS_SQL}, k AS (SELECT country, n_key FROM pool WHERE n_key <> '' GROUP BY ALL HAVING count(*) <= 300) SELECT s1.id AS s1, pool.id AS cand FROM s1 JOIN k USING (country, n_key) JOIN pool USING (country, n_key)")
+def j1(spark, d):
+    return blocking.exact_key_pairs(*records(spark, d), ["n_key"])
+
+
+@query(
+    "j1_state_gate",
+    f"WITH {RECORDS_SQL}, k AS (SELECT country, n_key FROM pool WHERE n_key <> '' GROUP BY ALL HAVING count(*) <= 300) SELECT s1.id AS s1, pool.id AS cand FROM s1 JOIN k USING (country, n_key) JOIN pool USING (country, n_key) WHERE s1.state = pool.state OR s1.state = '' OR pool.state = ''",
+)
+def j1_gate(spark, d):
+    return blocking.exact_key_pairs(*records(spark, d), ["n_key"], gate="state")
+
+
+_GRAMS_SQL = """
+t AS (
+  SELECT item_id AS id, 'q' AS side, text FROM benchmark UNION ALL SELECT doc_id, 'p', text FROM documents
+), w AS (
+  SELECT id, side, ' ' || unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) || ' ' AS w FROM t
+), tf AS (
+  SELECT id, side, substr(w, i, 3) AS gram, count(*) AS tf FROM (SELECT id, side, w, unnest(range(1, greatest(length(w) - 1, 2))) AS i FROM w) GROUP BY ALL
+), df AS (
+  SELECT gram, ln(((SELECT count(*) FROM t) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY gram
+  HAVING count(*) >= 2 AND count(*) <= least(greatest(floor((SELECT count(*) FROM t) * 0.02), 20000), (SELECT count(*) FROM t))
+), raw AS (
+  SELECT id, side, gram, (1 + ln(tf)) * idf AS w FROM tf JOIN df USING (gram)
+), v AS (
+  SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY side, id)) AS u FROM raw
+), sc AS (
+  SELECT q.id AS s1, p.id AS cand, round(sum(q.u * p.u), 6) AS score FROM v q JOIN v p ON q.gram = p.gram AND q.side = 'q' AND p.side = 'p' GROUP BY ALL HAVING round(sum(q.u * p.u), 6) > 0.05
+)"""
+
+
+def _retrieval(spark, d, k, k_reverse):
+    every = lambda t, i: read(spark, d, t).select(F.col(i).alias("id"), F.lit("all").alias("country"), F.lit("").alias("label"), "text")
+    return blocking.similarity_topk(every("benchmark", "item_id"), every("documents", "doc_id"), k, k_reverse)
+
+
+@query("j2_tfidf_topk", f"WITH {_GRAMS_SQL} SELECT s1, cand, score, (row_number() OVER (PARTITION BY s1 ORDER BY score DESC, cand) - 1)::INT AS rank FROM sc QUALIFY rank < 5")
+def j2(spark, d):
+    return _retrieval(spark, d, 5, 0)[0]
+
+
+@query("j2_reverse_topk", f"WITH {_GRAMS_SQL} SELECT s1, cand, score, (row_number() OVER (PARTITION BY cand ORDER BY score DESC, s1) - 1)::INT AS rank FROM sc QUALIFY rank < 2")
+def j2r(spark, d):
+    return _retrieval(spark, d, 5, 2)[1]
+
+
+@query("j3_label_semi", f"WITH {PAIRS_SQL} SELECT s1, cand, round(p, 6) AS p, source, (truth.s1 IS NOT NULL)::INT AS y FROM pairs LEFT JOIN truth USING (s1, cand)")
+def j3(spark, d):
+    return six(blocking.labelled(scored(spark, d), truth(spark, d)), "p")
+
+
+@query("j4_missed_anti", f"WITH {PAIRS_SQL} SELECT s1, cand FROM truth EXCEPT SELECT s1, cand FROM pairs WHERE p > 0.3")
+def j4(spark, d):
+    return blocking.missed(truth(spark, d), scored(spark, d).filter("p > 0.3"))
+
+
+@query(
+    "j7_top_peers",
+    f"""WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS r FROM pairs)
+SELECT a.s1, a.cand, round(a.p, 6) AS p, b.cand AS peer, round(b.p, 6) AS peer_p, (CASE WHEN b.r > a.r THEN b.r - 1 ELSE b.r END)::INT AS peer_rank
+FROM r a JOIN r b ON a.s1 = b.s1 AND a.r <> b.r WHERE (CASE WHEN b.r > a.r THEN b.r - 1 ELSE b.r END) <= 3""",
+)
+def j7(spark, d):
+    return six(context.top_peers(scored(spark, d)), "p", "peer_p")
+
+
+_SIDES_SQL = """
+q AS (SELECT s_suppkey AS qid, n_regionkey AS country, coalesce(nullif(n_name, 'NATION_1'), '') AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+p AS (SELECT c_custkey AS pid, n_regionkey AS country, coalesce(nullif(n_name, 'NATION_2'), '') AS label FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query("j10_missing_partition", f"WITH {_SIDES_SQL} SELECT qid, q.label AS part, count(*) AS n, sum(pid)::BIGINT AS pids FROM q JOIN p ON q.country = p.country AND (q.label = '' OR p.label = '' OR q.label = p.label) GROUP BY ALL")
+def j10(spark, d):
+    n = read(spark, d, "nation")
+    side = lambda t, i, k, o, none: read(spark, d, t).join(n, F.col(k) == F.col("n_nationkey")).select(F.col(i).alias(o), F.col("n_regionkey").alias("country"), F.coalesce(F.nullif("n_name", F.lit(none)), F.lit("")).alias("label"))
+    met = blocking.partition_join(side("supplier", "s_suppkey", "s_nationkey", "qid", "NATION_1"), side("customer", "c_custkey", "c_nationkey", "pid", "NATION_2"), ["country"])
+    return met.groupBy("qid", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("pid").alias("pids"))
+
+
+@query("j5_left_lookup", "SELECT c_custkey, coalesce(n_name, '') AS nation, coalesce(r_name, '') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'")
+def j5(spark, d):
+    r = read(spark, d, "region").filter("r_name <> 'ASIA'")
+    j = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return j.select("c_custkey", F.coalesce("n_name", F.lit("")).alias("nation"), F.coalesce("r_name", F.lit("")).alias("region"))
+
+
+@query("j6_degree", f"WITH {PAIRS_SQL} SELECT s1, cand, count(*) OVER (PARTITION BY cand) AS comp_n_s1 FROM pairs")
+def j6(spark, d):
+    return context.competition(scored(spark, d)).select("s1", "cand", "comp_n_s1")
+
+
+# ---------------------------------------------------------------- aggregates, dictionaries
+
+_UNION_SQL = """
+f AS (
+  SELECT l_orderkey AS s1, l_partkey AS cand, max(l_discount) AS sc_name, min(l_linenumber)::INT AS rk_name, NULL::DOUBLE AS sc_addr, NULL::INT AS ex_name FROM lineitem GROUP BY ALL
+  UNION ALL SELECT l_orderkey, l_partkey, NULL, NULL, max(l_tax), NULL FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL
+  UNION ALL SELECT l_orderkey, l_partkey, NULL, NULL, NULL, 1 FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL
+), u AS (
+  SELECT s1, cand, coalesce(max(sc_name), 0) AS sc_name, 0::DOUBLE AS sc_na, coalesce(max(sc_addr), 0) AS sc_addr, 0::DOUBLE AS sc_rev,
+    coalesce(min(rk_name), 99) AS rk_name, 99 AS rk_na, 99 AS rk_addr, 99 AS rk_rev, coalesce(max(ex_name), 0) AS ex_name, 0 AS ex_street, 0 AS ex_hn
+  FROM f GROUP BY s1, cand
+)"""
+
+
+def _union(spark, d):
+    li = read(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "s1", "l_partkey": "cand"})
+    by = lambda x: x.groupBy("s1", "cand")
+    return blocking.union_merge([
+        by(li).agg(F.max("l_discount").alias("sc_name"), F.min("l_linenumber").alias("rk_name")),
+        by(li.filter("l_returnflag = 'A'")).agg(F.max("l_tax").alias("sc_addr")),
+        by(li.filter("l_linestatus = 'O'")).agg(F.lit(1).alias("ex_name")),
+    ])
+
+
+@query("a1_union_merge", f"WITH {_UNION_SQL} SELECT * FROM u")
+def a1(spark, d):
+    return _union(spark, d)
+
+
+@query("a2_block_sizes", "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) <= 300")
+def a2(spark, d):
+    return read(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).filter("n <= 300")
+
+
+_TOKENS_SQL = "k AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[0-9a-z]+') AS toks FROM documents)"
+
+
+@query("a3_idf", f"WITH {_TOKENS_SQL} SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM (SELECT unnest(list_distinct(toks)) AS token FROM k) GROUP BY token")
+def a3(spark, d):
+    return six(tokens.idf(read(spark, d, "documents").select(native.plain_tokens(F.col("text")).alias("toks")), "toks"), "idf")
+
+
+@query(
+    "a4_key_freq",
+    """WITH c AS (SELECT c_custkey AS id, c_mktsegment AS k, n_regionkey AS country, coalesce(nullif(n_name, 'NATION_3'), '') AS city FROM customer JOIN nation ON c_nationkey = n_nationkey),
+a AS (SELECT * FROM c WHERE id IN (SELECT o_custkey FROM orders)), b AS (SELECT * FROM c WHERE id NOT IN (SELECT o_custkey FROM orders))
+SELECT a.id, round(ln(1 + (SELECT count(*) FROM a x WHERE x.k = a.k AND x.country = a.country)), 6) AS nk_cnt_country,
+ round(ln(1 + CASE WHEN a.city = '' THEN 0 ELSE (SELECT count(*) FROM a x WHERE x.k = a.k AND x.country = a.country AND x.city = a.city) END), 6) AS nk_cnt_city,
+ round(ln(1 + CASE WHEN a.city = '' THEN 0 ELSE (SELECT count(*) FROM b x WHERE x.k = a.k AND x.country = a.country AND x.city = a.city) END), 6) AS nk_cnt_pool_city FROM a""",
+)
+def a4(spark, d):
+    c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("k"), F.col("n_regionkey").alias("country"), F.coalesce(F.nullif("n_name", F.lit("NATION_3")), F.lit("")).alias("city"))
+    has = read(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    out = tokens.key_frequencies(c.join(has, "id", "left_semi"), c.join(has, "id", "left_anti"), "k", "country", "city")
+    return six(out, "nk_cnt_country", "nk_cnt_city", "nk_cnt_pool_city").select("id", "nk_cnt_country", "nk_cnt_city", "nk_cnt_pool_city")
+
+
+@query("a5_candidates_per_s1", f"WITH {PAIRS_SQL} SELECT s1, cand, count(*) OVER (PARTITION BY s1) AS n_cands FROM pairs")
+def a5(spark, d):
+    from pyspark.sql import Window
+
+    return scored(spark, d).select("s1", "cand", F.count(F.lit(1)).over(Window.partitionBy("s1")).alias("n_cands"))
+
+
+_PEERS_SQL = f"""{PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS r FROM pairs), peers AS (
+  SELECT a.s1, a.cand, a.p, b.cand AS peer, b.p AS peer_p, a.source AS src, b.source AS peer_src FROM r a JOIN r b ON a.s1 = b.s1 AND a.r <> b.r WHERE (CASE WHEN b.r > a.r THEN b.r - 1 ELSE b.r END) <= 3
+), x AS (
+  SELECT peers.*, pa.p_name AS n_key, pb.p_name AS peer_key, pa.p_size::VARCHAR AS hn, pb.p_size::VARCHAR AS peer_hn, pa.p_brand = pb.p_brand AS same_brand
+  FROM peers JOIN part pa ON cand = pa.p_partkey JOIN part pb ON peer = pb.p_partkey
+)"""
+
+
+def _peers(spark, d):
+    s = scored(spark, d)
+    part = read(spark, d, "part")
+    a = part.select(F.col("p_partkey").alias("cand"), F.col("p_name").alias("n_key"), F.col("p_size").cast("string").alias("hn"), F.col("p_brand").alias("b1"))
+    b = part.select(F.col("p_partkey").alias("peer"), F.col("p_name").alias("peer_key"), F.col("p_size").cast("string").alias("peer_hn"), F.col("p_brand").alias("b2"))
+    src = s.select("s1", F.col("cand").alias("peer"), F.col("source").alias("peer_src"))
+    j = context.top_peers(s).join(s.select("s1", "cand", F.col("source").alias("src")), ["s1", "cand"]).join(src, ["s1", "peer"]).join(a, "cand").join(b, "peer")
+    return j.withColumns({"addr_sim": (F.col("b1") == F.col("b2")).cast("double"), "hn_same": F.when(F.col("b1") != "Brand#1", (F.col("hn") == F.col("peer_hn")).cast("double")), "name_sim": (F.col("n_key") == F.col("peer_key")).cast("double"), "opposite": F.col("src") != F.col("peer_src")})
+
+
+@query(
+    "c5_cluster_agreement",
+    f"""WITH {_PEERS_SQL}, y AS (SELECT x.*, same_brand::INT::DOUBLE AS a, CASE WHEN pa.p_brand <> 'Brand#1' THEN (hn = peer_hn)::INT::DOUBLE END AS h, (n_key = peer_key)::INT::DOUBLE AS n FROM x JOIN part pa ON cand = pa.p_partkey)
+SELECT s1, cand, max(a) AS clu_addr_max, round(sum(a * peer_p) / (sum(peer_p) + 1e-6), 6) AS clu_addr_wmean, max(h) AS clu_hn_agree, max(CASE WHEN src <> peer_src THEN a END) AS clu_addr_opp_max, max(n) AS clu_name_max FROM y GROUP BY s1, cand""",
+)
+def c5(spark, d):
+    return six(context.cluster_agreement(_peers(spark, d)), "clu_addr_wmean")
+
+
+@query("a8_weighted_mean", f"WITH {_PEERS_SQL} SELECT s1, cand, round(max(p_retailprice), 6) AS price_max, round(sum(p_retailprice * peer_p) / (sum(peer_p) + 1e-6), 6) AS price_wmean FROM peers JOIN part ON peer = p_partkey GROUP BY s1, cand")
+def a8(spark, d):
+    j = context.top_peers(scored(spark, d)).join(read(spark, d, "part"), F.col("peer") == F.col("p_partkey"))
+    return six(j.groupBy("s1", "cand").agg(*context.max_and_mean(j, F.col("p_retailprice"), "price")), "price_max", "price_wmean")
+
+
+@query("c6_twin", f"WITH {_PEERS_SQL} SELECT s1, cand, (max(CASE WHEN n_key = peer_key AND hn <> peer_hn AND peer_p > p THEN peer_p - p END) IS NOT NULL)::INT AS twin_better, round(max(CASE WHEN n_key = peer_key AND hn <> peer_hn AND peer_p > p THEN peer_p - p END), 6) AS twin_gap FROM x GROUP BY s1, cand")
+def c6(spark, d):
+    return six(context.twins(_peers(spark, d)), "twin_gap")
+
+
+@query("a10_rates", "SELECT lang, round(avg((text = '')::INT), 6) AS empty_rate, round(avg((source = 'src0')::INT), 6) AS hot_rate, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
+def a10(spark, d):
+    out = read(spark, d, "documents").groupBy("lang").agg(F.avg((F.col("text") == "").cast("int")).alias("empty_rate"), F.avg((F.col("source") == "src0").cast("int")).alias("hot_rate"), F.sum("n_chars").alias("chars"))
+    return six(out, "empty_rate", "hot_rate")
+
+
+@query("a11_recall_at_k", f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) - 1 AS rank FROM pairs) SELECT k, count(*) FILTER (rank < k) AS hits, round(count(*) FILTER (rank < k) / count(*), 6) AS recall FROM truth LEFT JOIN r USING (s1, cand), (SELECT unnest([1, 2, 3, 5]) AS k) GROUP BY k")
+def a11(spark, d):
+    ranked = context.group_stats(scored(spark, d)).withColumn("rank", F.col("s1_rank"))
+    return six(blocking.recall_at(ranked, truth(spark, d), (1, 2, 3, 5)), "recall")
+
+
+@query("a12_country_counts", "SELECT country, count(*) AS n, count(DISTINCT s1) AS n_s1, round(avg((matches = 0)::INT), 6) AS empty_rate, sum(matches)::BIGINT AS matches FROM (SELECT o_orderkey AS s1, o_orderpriority AS country, count(l_partkey) AS matches FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey GROUP BY ALL) GROUP BY country")
+def a12(spark, d):
+    m = entities(spark, d).join(truth(spark, d).groupBy("s1").agg(F.count(F.lit(1)).alias("m")), "s1", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    return six(m.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s1").alias("n_s1"), F.avg((F.col("m") == 0).cast("int")).alias("empty_rate"), F.sum("m").alias("matches")), "empty_rate")
+
+
+@query(
+    "a13_top2_dictionary",
+    """WITH a AS (SELECT string_split(lower(p_type || ' ' || p_brand), ' ') AS x, string_split(p_name, ' ') AS y FROM part),
+z AS (SELECT unnest(x) AS a, unnest(y) AS b FROM a WHERE len(x) = len(y)), c AS (SELECT a, b, count(*) AS c FROM z GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r, sum(c) OVER (PARTITION BY a) AS total FROM c)
+SELECT a, max(CASE WHEN r = 1 THEN b END) AS best, max(CASE WHEN r = 1 THEN c END) AS n_best, max(CASE WHEN r = 2 AND c / total >= 0.1 THEN b END) AS second FROM r WHERE r <= 2 GROUP BY a HAVING max(CASE WHEN r = 1 THEN c END) >= 2""",
+)
+def a13(spark, d):
+    part = read(spark, d, "part").select(F.split(F.lower(F.concat_ws(" ", "p_type", "p_brand")), " ").alias("x"), F.split("p_name", " ").alias("y"))
+    return tokens.top_two(tokens.aligned_pairs(part, F.col("x"), F.col("y")), 2, 0.1)
+
+
+@query("a14_vocab_having", "SELECT n_regionkey AS country, n_name || ' ' || c_mktsegment AS city, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL HAVING count(*) >= 12")
+def a14(spark, d):
+    c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return tokens.vocabulary(c.select(F.col("n_regionkey").alias("country"), F.concat_ws(" ", "n_name", "c_mktsegment").alias("city")), ["country", "city"], 12)
+
+
+@query("a15_word_counts", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS word FROM documents) WHERE regexp_full_match(word, '[a-z]{2,}') GROUP BY word HAVING count(*) >= 3")
+def a15(spark, d):
+    return tokens.word_counts(read(spark, d, "documents"), "text")
+
+
+@query("a19_unique", "SELECT (count(*) - count(DISTINCT doc_id))::BIGINT AS repeated_ids, (count(*) - count(DISTINCT text))::BIGINT AS repeated_texts FROM documents")
+def a19(spark, d):
+    return read(spark, d, "documents").agg((F.count(F.lit(1)) - F.countDistinct("doc_id")).alias("repeated_ids"), (F.count(F.lit(1)) - F.countDistinct("text")).alias("repeated_texts"))
+
+
+# ---------------------------------------------------------------- windows
+
+
+@query("w1_heuristic_cap", f"WITH {_UNION_SQL} SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY greatest(sc_name, sc_na, sc_addr, sc_rev) + ex_name + ex_street + ex_hn DESC, cand) <= 3")
+def w1(spark, d):
+    return blocking.heuristic_cap(_union(spark, d), 3)
+
+
+@query("w2_prune_rank", f"WITH {PAIRS_SQL} SELECT s1, cand, round(p, 6) AS prune_p, (row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) - 1)::INT AS prune_rank FROM pairs QUALIFY prune_rank < 3 AND p >= 0.05")
+def w2(spark, d):
+    from kindred.operators.models import prune
+
+    return six(prune(scored(spark, d).withColumnRenamed("p", "prune_p"), 3, 0.05), "prune_p").select("s1", "cand", "prune_p", "prune_rank")
+
+
+@query("c2_group_stats", f"""WITH {PAIRS_SQL} SELECT s1, cand, round(p, 6) AS p, source, round(ln(p / (1 - p)), 6) AS p1_logit, (row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) - 1)::INT AS s1_rank, round(p - max(p) OVER w, 6) AS s1_gap_to_best,
+round(p / sum(p) OVER w, 6) AS s1_share, count(*) FILTER (p > 0.5) OVER w AS s1_cnt_over05, round(sum(p) OVER w, 6) AS s1_sum_p, round(max(p) OVER w, 6) AS s1_max_p,
+count(*) FILTER (p > 0.5 AND source = 2) OVER w AS s1_cnt_over05_src2, count(*) FILTER (p > 0.5 AND source = 3) OVER w AS s1_cnt_over05_src3 FROM pairs WINDOW w AS (PARTITION BY s1)""")
+def c2(spark, d):
+    return six(context.group_stats(scored(spark, d)), "p", "p1_logit", "s1_gap_to_best", "s1_share", "s1_sum_p", "s1_max_p")
+
+
+@query("c4_competition", f"""WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r FROM pairs), o AS (SELECT *, CASE WHEN r = 1 THEN coalesce(max(CASE WHEN r = 2 THEN p END) OVER w, 0) ELSE max(p) OVER w END AS other, count(*) FILTER (p > 0.5) OVER w AS c, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY cand))
+SELECT s1, cand, round(p, 6) AS p, round(other, 6) AS comp_best_other, round(p - other, 6) AS comp_margin, (r = 1)::INT AS comp_is_argmax, c AS comp_n_s1_over05, n AS comp_n_s1 FROM o""")
+def c4(spark, d):
+    return six(context.competition(scored(spark, d)).drop("source"), "p", "comp_best_other", "comp_margin")
+
+
+@query("w4_best_other", f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r FROM pairs) SELECT s1, cand, round(CASE WHEN r = 1 THEN coalesce(max(CASE WHEN r = 2 THEN p END) OVER (PARTITION BY cand), 0) ELSE max(p) OVER (PARTITION BY cand) END, 6) AS comp_best_other FROM r")
+def w4(spark, d):
+    return six(context.competition(scored(spark, d)).select("s1", "cand", "comp_best_other"), "comp_best_other")
+
+
+@query("w10_sorted_distinct", f"WITH {_TOKENS_SQL} SELECT doc_id, array_to_string(list_sort(list_distinct(toks)), ' ') AS n_key FROM k")
+def w10(spark, d):
+    return read(spark, d, "documents").select("doc_id", native.sorted_key(native.plain_tokens(F.col("text"))).alias("n_key"))
+
+
+# ---------------------------------------------------------------- set operations
+
+
+@query("x2_diagonal_union", "SELECT c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier")
+def x2(spark, d):
+    a = read(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return a.unionByName(read(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")), allowMissingColumns=True)
+
+
+@query("x6_set_difference", "SELECT o_custkey AS id, 'only_orders' AS side FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT id, 'both' FROM (SELECT o_custkey AS id FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def x6(spark, d):
+    a, b = read(spark, d, "orders").select(F.col("o_custkey").alias("id")), read(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return a.exceptAll(a.limit(0)).subtract(b).withColumn("side", F.lit("only_orders")).unionByName(a.intersect(b).withColumn("side", F.lit("both")))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query("n6_tokens", f"WITH {_TOKENS_SQL} SELECT doc_id, toks FROM k")
+def n6(spark, d):
+    return read(spark, d, "documents").select("doc_id", native.plain_tokens(F.col("text")).alias("toks"))
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
+@query("n8_canonical_forms", f"WITH {_TOKENS_SQL} SELECT doc_id, list_transform(toks, lambda t: coalesce(map {{{', '.join(f"'{a}': '{b}'" for a, b in lexicon.LEGAL_FORM_OF.items() if a != b)}}}[t], t)) AS toks FROM k")
+def n8(spark, d):
+    return read(spark, d, "documents").select("doc_id", native.canonical(native.plain_tokens(F.col("text"))).alias("toks"))
+
+
+@query(
+    "n9_core_split",
+    f"""WITH {_TOKENS_SQL}, c AS (SELECT doc_id, toks, list_filter(toks, lambda t: NOT list_contains({_sql_list(lexicon.STOP_TOKENS)}, t)) AS content FROM k), e AS (SELECT *, list_filter(content, lambda t: NOT list_contains({_sql_list(lexicon.LEGAL_TOKENS)}, t)) AS bare FROM c)
+SELECT doc_id, CASE WHEN len(bare) > 0 THEN bare WHEN len(content) > 0 THEN content ELSE toks END AS core, list_sort(list_distinct(list_filter(toks, lambda t: list_contains({_sql_list(lexicon.LEGAL_TOKENS)}, t)))) AS suffix FROM e""",
+)
+def n9(spark, d):
+    t = read(spark, d, "documents").select("doc_id", native.plain_tokens(F.col("text")).alias("toks"))
+    return t.select("doc_id", native.core(F.col("toks")).alias("core"), native.legal_forms(F.col("toks")).alias("suffix"))
+
+
+@query("n10_leet", "SELECT page_id, w AS token, CASE WHEN regexp_matches(w, '[0-9]') AND regexp_matches(w, '[a-z]') AND NOT regexp_matches(w, '^[0-9]+(st|nd|rd|th)$') THEN translate(w, '013457', 'oleast') ELSE w END AS decoded FROM (SELECT page_id, unnest(regexp_extract_all(lower(url), '[0-9a-z]+')) AS w FROM pages)")
+def n10(spark, d):
+    t = read(spark, d, "pages").select("page_id", F.explode(native.plain_tokens(F.col("url"))).alias("token"))
+    return t.select("page_id", "token", st.unleet(F.col("token")).alias("decoded"))
+
+
+@query("n11_domain", r"SELECT page_id, regexp_extract(lower(url), '^(?:https?://)?(?:[^/]*\.)?([0-9a-z-]+)\.[a-z]+(?:[/?#:].*)?$', 1) AS base FROM pages")
+def n11(spark, d):
+    return read(spark, d, "pages").select("page_id", native.host_base(F.col("url")).alias("base"))
+
+
+# backreferences lie outside of the oracle's pattern language, so runs are dropped letter by letter there
+@query("n16_skeleton", "SELECT p_name, array_to_string(list_transform(list_filter(range(1, length(s) + 1), lambda i: i = 1 OR substr(s, i, 1) <> substr(s, i - 1, 1)), lambda i: substr(s, i, 1)), '') AS skeleton FROM (SELECT DISTINCT p_name, regexp_replace(lower(p_name), '[aeiou]', '', 'g') AS s FROM part)")
+def n16(spark, d):
+    return read(spark, d, "part").select("p_name").distinct().select("p_name", st.skeleton(F.col("p_name")).alias("skeleton"))
+
+
+@query("n25_char_grams", "WITH w AS (SELECT item_id, ' ' || unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) || ' ' AS w FROM benchmark) SELECT item_id, substr(w, i, 3) AS gram, count(*) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(length(w) - 1, 2))) AS i FROM w) GROUP BY ALL")
+def n25(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.explode(native.char_grams(F.col("text"))).alias("gram")).groupBy("item_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("n26_tfidf", f"WITH {_GRAMS_SQL} SELECT id, side, gram, round(u, 6) AS w FROM v")
+def n26(spark, d):
+    every = lambda t, i, s: read(spark, d, t).select(F.col(i).alias("id"), F.lit(s).alias("side"), F.lit("all").alias("country"), "text")
+    return six(tokens.tfidf(every("benchmark", "item_id", "q").unionByName(every("documents", "doc_id", "p"))).drop("country"), "w")
+
+
+# ---------------------------------------------------------------- pair features
+
+_NAMES_SQL = """
+idf AS (SELECT token, ln(((SELECT count(*) FROM part) + 1) / (count(*) + 1)) + 1 AS idf FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS token FROM part) GROUP BY token),
+n AS (SELECT DISTINCT p_name, list_sort(list_distinct(string_split(p_name, ' '))) AS t FROM part),
+w AS (SELECT p_name, t, token, idf FROM (SELECT p_name, t, unnest(t) AS token FROM n) JOIN idf USING (token)),
+g AS (SELECT a.p_name AS a, b.p_name AS b, a.t AS ta, b.t AS tb FROM n a JOIN n b ON a.t[1] = b.t[1])"""
+
+
+def _names(spark, d):
+    """Pairs of different part names that share their first sorted word: an equi-join on it."""
+    part = read(spark, d, "part")
+    toks = F.array_sort(F.array_distinct(F.split("p_name", " ")))
+    idf = tokens.idf(part.select(toks.alias("t")), "t")
+    n = part.select("p_name").distinct().select(F.col("p_name").alias("id"), toks.alias("t"))
+    m = features.weighted_set(n, "t", idf, "m").join(n.select("id", F.get("t", F.lit(0)).alias("head")), "id")
+    return m.select(F.col("id").alias("a"), F.col("m").alias("ma"), "head").join(m.select(F.col("id").alias("b"), F.col("m").alias("mb"), "head"), "head")
+
+
+@query(
+    "f1_set_overlap",
+    f"""WITH {_NAMES_SQL}, x AS (SELECT a, b, len(ta) AS na, len(tb) AS nb, len(list_intersect(ta, tb)) AS nc,
+ (SELECT sum(idf) FROM w WHERE w.p_name = g.a) AS wa, (SELECT sum(idf) FROM w WHERE w.p_name = g.b) AS wb, coalesce((SELECT sum(idf) FROM w WHERE w.p_name = g.a AND list_contains(g.tb, w.token)), 0) AS wc,
+ coalesce((SELECT max(idf) FROM w WHERE w.p_name = g.a AND NOT list_contains(g.tb, w.token)), 0) AS ua, coalesce((SELECT sum(idf) FROM w WHERE w.p_name = g.b AND NOT list_contains(g.ta, w.token)), 0) AS ub FROM g)
+SELECT a, b, round(nc / (na + nb - nc), 6) AS nm_jac, round(nc / na, 6) AS nm_cont_a, round(nc / nb, 6) AS nm_cont_b, round(wc / (wa + wb - wc), 6) AS nm_idf_jac, round(wc / wa, 6) AS nm_idf_cont_a,
+ round(ua, 6) AS nm_max_idf_unmatched_a, round(ub, 6) AS nm_sum_idf_unmatched_b, nc::DOUBLE AS nm_n_common, na::DOUBLE AS nm_n_a, nb::DOUBLE AS nm_n_b FROM x""",
+)
+def f1(spark, d):
+    cols = features.set_overlap(F.col("ma"), F.col("mb"), "nm")
+    out = _names(spark, d).select("a", "b", *cols)
+    return six(out, *[c for c in out.columns if c not in "ab"])
+
+
+@query("f3_eq_or_missing", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN (o_orderstatus = l)::INT::DOUBLE END AS state_eq, (o_orderstatus <> '' AND o_orderstatus = l)::INT::DOUBLE AS key_eq FROM orders JOIN (SELECT l_orderkey, min(l_linestatus) AS l FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey")
+def f3(spark, d):
+    li = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linestatus").alias("l"))
+    j = read(spark, d, "orders").join(li, "o_orderkey")
+    a = F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit(""))  # some are missing
+    return j.select("o_orderkey", st.equal_or_missing(a, F.col("l")).alias("state_eq"), ((F.col("o_orderstatus") != "") & (F.col("o_orderstatus") == F.col("l"))).cast("double").alias("key_eq"))
+
+
+@query("f7_levenshtein", f"WITH {_NAMES_SQL} SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS nm_lev FROM g")
+def f7_lev(spark, d):
+    return six(_names(spark, d).select("a", "b", st.levenshtein_similarity(F.col("a"), F.col("b")).alias("nm_lev")), "nm_lev")
+
+
+@query("f7_jaro_winkler", f"WITH {_NAMES_SQL} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS nm_jw FROM g")
+def f7_jw(spark, d):
+    return six(_names(spark, d).select("a", "b", st.scorer("jaro_winkler")("a", "b").alias("nm_jw")), "nm_jw")
+
+
+@query("f7_token_ratios")
+def f7_tok(spark, d):
+    return six(_names(spark, d).select("a", "b", *[st.scorer(k)("a", "b").alias(k) for k in ("token_set", "token_sort", "partial")]), "token_set", "token_sort", "partial")
+
+
+@query("f8_variants_max")
+def f8(spark, d):
+    tail = F.substring_index("b", " ", -1)
+    return six(_names(spark, d).select("a", "b", features.best_over_variants(st.scorer("token_set"), [F.col("a")], [F.col("b"), tail, F.lit("")]).alias("nm_alt_tsr")), "nm_alt_tsr")
+
+
+@query("f9_suffix_rel", "SELECT s_suppkey, CASE WHEN a = '' AND b = '' THEN 3 WHEN a = '' OR b = '' THEN 2 WHEN a = b THEN 0 ELSE 1 END AS suffix_rel FROM (SELECT s_suppkey, coalesce(nullif(right(s_name, 1), '3'), '') AS a, coalesce(nullif(s_nationkey::VARCHAR, '7'), '') AS b FROM supplier)")
+def f9(spark, d):
+    a, b = F.coalesce(F.nullif(F.expr("right(s_name, 1)"), F.lit("3")), F.lit("")), F.coalesce(F.nullif(F.col("s_nationkey").cast("string"), F.lit("7")), F.lit(""))
+    return read(spark, d, "supplier").select("s_suppkey", features.suffix_relation(a, b).alias("suffix_rel"))
+
+
+@query(
+    "f11_house_number",
+    """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, coalesce(nullif(l_partkey::VARCHAR, '7'), '') AS a, coalesce(nullif(l_suppkey::VARCHAR, '7'), '') AS b FROM lineitem),
+y AS (SELECT *, nullif(a, '')::BIGINT AS i, nullif(b, '')::BIGINT AS j FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, (CASE WHEN i IS NOT NULL AND j IS NOT NULL THEN 0 WHEN i IS NULL AND j IS NULL THEN 3 WHEN i IS NULL THEN 2 ELSE 1 END)::DOUBLE AS hn_state,
+ round(ln(1 + abs(i - j)), 6) AS hn_absdiff_log, (abs(i - j) <= 5)::INT::DOUBLE AS hn_close, CASE WHEN i IS NOT NULL AND j IS NOT NULL THEN round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) END AS hn_digit_sim,
+ CASE WHEN i IS NOT NULL AND j IS NOT NULL THEN (a <> b AND (starts_with(a, b) OR starts_with(b, a) OR suffix(a, b) OR suffix(b, a)))::INT::DOUBLE END AS hn_prefix FROM y""",
+)
+def f11(spark, d):
+    c = lambda k: F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("7")), F.lit(""))
+    none = F.lit("")
+    out = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *features.house_number(c("l_partkey"), c("l_suppkey"), none, none, none, none, none, none))
+    return six(out.drop("hn_raw_eq", "hn_suffix_eq", "unit_eq"), "hn_absdiff_log", "hn_digit_sim")
+
+
+# ---------------------------------------------------------------- decision
+
+
+@query("d1_one_to_one", f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r FROM pairs) SELECT s1, cand, round(p, 6) AS p, source, r = 1 AND p - coalesce(max(CASE WHEN r = 2 THEN p END) OVER (PARTITION BY cand), 0) >= 0.05 AS o2o FROM r")
+def d1(spark, d):
+    return six(decide.one_to_one(scored(spark, d), 0.05), "p")
+
+
+@query("d2_logit_adjust", f"WITH {PAIRS_SQL} SELECT s1, cand, round(1 / (1 + exp(-(1.25 * ln(p / (1 - p)) - 0.5))), 6) AS pa FROM pairs")
+def d2(spark, d):
+    return six(decide.adjusted(scored(spark, d), 1.25, -0.5).select("s1", "cand", "pa"), "pa")
+
+
+@query("d3_expected_f")
+def d3(spark, d):
+    return six(decide.expected_f(scored(spark, d), "p"), "p")
+
+
+@query("d4_threshold", f"WITH {PAIRS_SQL} SELECT s1, cand, round(p, 6) AS p, p >= 0.6 AS keep FROM pairs")
+def d4(spark, d):
+    return six(decide.apply_rule(scored(spark, d).drop("source"), threshold=0.6, margin=None, cap=1 << 30), "p").withColumn("keep", F.col("p") >= 0.6).drop("pa")
+
+
+@query(
+    "d5_cap",
+    f"""WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS place FROM pairs),
+o AS (SELECT *, r = 1 AND p - coalesce(max(CASE WHEN r = 2 THEN p END) OVER (PARTITION BY cand), 0) >= 0 AS o2o FROM r)
+SELECT s1, cand, round(p, 6) AS p, o2o AND 1 / (1 + exp(-(1.5 * ln(p / (1 - p)) + 0.2))) >= 0.55 AND place <= 2 AS keep FROM o""",
+)
+def d5(spark, d):
+    return six(decide.apply_rule(scored(spark, d).drop("source"), threshold=0.55, a=1.5, b=0.2, cap=2), "p").drop("pa")
+
+
+@query("d6_tune")
+def d6(spark, d):
+    s, t, ids = scored(spark, d).cache(), truth(spark, d).cache(), entities(spark, d).cache()
+    _, results = decide.tune(s, t, ids, decide.grid("threshold"))
+    return spark.createDataFrame([(str(k), float(v)) for k, v in results], "setting string, macro_f05 double")
+
+
+@query("d7_splits", "WITH u AS (SELECT o_orderkey AS s1, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, ('0x' || substr(md5('fold:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS v FROM orders) SELECT s1, u < 0.15::DOUBLE AS hidden, floor(v * 5)::INT AS fold FROM u")
+def d7(spark, d):
+    return sampling.splits(entities(spark, d))
+
+
+# ---------------------------------------------------------------- metrics
+
+_F05_SQL = f"""{PAIRS_SQL}, pred AS (SELECT s1, cand FROM pairs WHERE p >= 0.5), c AS (
+  SELECT s1, sum(t) AS n_true, sum(q) AS n_pred, sum(t * q) AS tp FROM (SELECT s1, cand, max(t) AS t, max(q) AS q FROM (SELECT s1, cand, 1 AS t, 0 AS q FROM truth UNION ALL SELECT s1, cand, 0, 1 FROM pred) GROUP BY ALL) GROUP BY s1
+), e AS (
+  SELECT ids.s1, country, coalesce(n_true, 0)::BIGINT AS n_true, coalesce(n_pred, 0)::BIGINT AS n_pred, coalesce(tp, 0)::BIGINT AS tp FROM ids LEFT JOIN c USING (s1)
+), f AS (
+  SELECT *, CASE WHEN n_true = 0 AND n_pred = 0 THEN 1 WHEN tp = 0 THEN 0 ELSE 1.25 * tp / (0.25 * n_true + n_pred) END AS f05 FROM e
+)"""
+_SUMMARY_SQL = """round(avg(f05), 6) AS macro_f05, count(*) AS n_s1, round(avg(f05) FILTER (n_true = 0), 6) AS f05_singletons, round(avg(f05) FILTER (n_true > 0), 6) AS f05_matched, count(*) FILTER (n_true = 0) AS n_singletons,
+round(avg((n_true = 0)::INT), 6) AS singleton_rate_true, round(avg((n_pred = 0)::INT), 6) AS singleton_rate_pred, round(sum(tp) / greatest(sum(n_pred), 1), 6) AS micro_precision, round(sum(tp) / greatest(sum(n_true), 1), 6) AS micro_recall,
+sum(n_pred)::BIGINT AS n_pred_pairs, sum(n_true)::BIGINT AS n_true_pairs"""
+_RATES = ("macro_f05", "f05_singletons", "f05_matched", "singleton_rate_true", "singleton_rate_pred", "micro_precision", "micro_recall")
+
+
+@query("m1_macro_f05", f"WITH {_F05_SQL} SELECT s1, n_true, n_pred, tp, round(f05, 6) AS f05 FROM f")
+def m1(spark, d):
+    return six(metrics.per_entity(scored(spark, d).filter("p >= 0.5"), truth(spark, d), entities(spark, d)), "f05")
+
+
+@query("m2_breakdown", f"WITH {_F05_SQL} SELECT {_SUMMARY_SQL} FROM f")
+def m2(spark, d):
+    return six(metrics.breakdown(scored(spark, d).filter("p >= 0.5"), truth(spark, d), entities(spark, d)), *_RATES)
+
+
+@query("m3_by_group", f"WITH {_F05_SQL} SELECT country, {_SUMMARY_SQL} FROM f GROUP BY ROLLUP (country)")
+def m3(spark, d):
+    return six(metrics.by_group(scored(spark, d).filter("p >= 0.5"), truth(spark, d), entities(spark, d), "country"), *_RATES)
+
+
+@query("m4_blocking_recall", f"WITH {PAIRS_SQL}, q AS (SELECT s1 FROM ids WHERE country <> '5-LOW'), t AS (SELECT * FROM truth WHERE s1 IN (SELECT s1 FROM q)), b AS (SELECT s1, cand FROM pairs WHERE p > 0.2) SELECT (SELECT count(*) FROM t) AS n_gt_pairs, (SELECT count(*) FROM t JOIN b USING (s1, cand)) AS n_hit, round((SELECT count(*) FROM t JOIN b USING (s1, cand)) / (SELECT count(*) FROM t), 6) AS blocking_recall, (SELECT count(*) FROM b) AS n_pairs, round((SELECT count(*) FROM b) / (SELECT count(*) FROM q), 6) AS pairs_per_s1")
+def m4(spark, d):
+    return six(blocking.recall(scored(spark, d).filter("p > 0.2"), truth(spark, d), entities(spark, d).filter("country <> '5-LOW'")), "blocking_recall", "pairs_per_s1")
+
+
+@query("m5_pairs_to_sets", f"WITH {PAIRS_SQL} SELECT s1, list_sort(list(cand)) AS cands FROM truth GROUP BY s1")
+def m5(spark, d):
+    return truth(spark, d).groupBy("s1").agg(F.array_sort(F.collect_set("cand")).alias("cands"))
+
+
+# ---------------------------------------------------------------- validation
+
+_LINES_SQL = """
+l AS (SELECT l_suppkey::VARCHAR AS s1, list(CASE WHEN l_returnflag = 'R' THEN 'S2-' WHEN l_returnflag = 'A' THEN 'S3-' WHEN l_linenumber = 1 THEN 'S1-' ELSE 'X-' END || l_partkey) AS ids FROM lineitem WHERE l_suppkey <> 5 GROUP BY l_suppkey, l_linestatus)"""
+
+
+def _rows(spark, d):
+    """Result rows with every fault: two rows for an s1, repeated, own and unknown ids, a missing and no extra row."""
+    tag = F.when(F.col("l_returnflag") == "R", "S2-").when(F.col("l_returnflag") == "A", "S3-").when(F.col("l_linenumber") == 1, "S1-").otherwise("X-")
+    li = read(spark, d, "lineitem").filter("l_suppkey <> 5")
+    lines = li.groupBy("l_suppkey", "l_linestatus").agg(F.collect_list(F.concat(tag, F.col("l_partkey").cast("string"))).alias("ids"))
+    return validate.rows_of(lines.select(F.concat(F.col("l_suppkey").cast("string"), F.lit("\t"), F.array_join("ids", ",")).alias("line")))
+
+
+@query("v2_malformed", "SELECT url AS line FROM (SELECT CASE WHEN contains(url, '?') THEN replace(url, '?', chr(9)) ELSE url END AS url FROM pages) WHERE trim(url) <> '' AND NOT contains(url, chr(9))")
+def v2(spark, d):
+    return validate.malformed(read(spark, d, "pages").select(F.when(F.contains(F.col("url"), F.lit("?")), F.translate("url", "?", "\t")).otherwise(F.col("url")).alias("line")))
+
+
+@query("v3_dup_rows", f"WITH {_LINES_SQL} SELECT s1, count(*) AS n FROM l GROUP BY s1 HAVING count(*) > 1")
+def v3(spark, d):
+    return validate.duplicate_rows(_rows(spark, d))
+
+
+@query("v4_dup_ids", f"WITH {_LINES_SQL} SELECT s1, len(ids)::INT AS n, len(list_distinct(ids))::INT AS n_distinct FROM l WHERE len(ids) <> len(list_distinct(ids))")
+def v4(spark, d):
+    return validate.duplicate_ids(_rows(spark, d))
+
+
+@query("v5_wrong_prefix", f"WITH {_LINES_SQL} SELECT s1, id, CASE WHEN starts_with(id, 'S1-') THEN 'self_match' ELSE 'unknown_prefix' END AS issue FROM (SELECT s1, unnest(ids) AS id FROM l) WHERE NOT starts_with(id, 'S2-') AND NOT starts_with(id, 'S3-')")
+def v5(spark, d):
+    return validate.wrong_prefix(_rows(spark, d))
+
+
+@query("v6_unknown_ids", f"WITH {_LINES_SQL} SELECT s1, id FROM (SELECT s1, unnest(ids) AS id FROM l) WHERE id NOT IN (SELECT 'S2-' || p_partkey FROM part UNION ALL SELECT 'S3-' || p_partkey FROM part)")
+def v6(spark, d):
+    p = read(spark, d, "part").select(F.explode(F.array(*[F.concat(F.lit(t), F.col("p_partkey").cast("string")) for t in ("S2-", "S3-")])).alias("id"))
+    return validate.unknown_ids(_rows(spark, d), p)
+
+
+@query("v7_missing_rows", f"WITH {_LINES_SQL} SELECT s1, 'missing' AS issue FROM (SELECT s_suppkey::VARCHAR AS s1 FROM supplier EXCEPT SELECT s1 FROM l) UNION ALL SELECT s1, 'extra' FROM (SELECT s1 FROM l EXCEPT SELECT s_suppkey::VARCHAR FROM supplier WHERE s_acctbal > 0)")
+def v7(spark, d):
+    ids = read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("s1"), "s_acctbal")
+    rows = _rows(spark, d)
+    return validate.missing_rows(rows, ids).withColumn("issue", F.lit("missing")).unionByName(validate.extra_rows(rows, ids.filter("s_acctbal > 0")).withColumn("issue", F.lit("extra")))
+
+
+@query("v8_subset", f"WITH {_LINES_SQL} SELECT s1, id FROM (SELECT s1, unnest(ids) AS id FROM l) WHERE (s1, id) NOT IN (SELECT l_suppkey::VARCHAR, 'S2-' || l_partkey FROM lineitem)")
+def v8(spark, d):
+    c = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("s1")).agg(F.collect_set(F.concat(F.lit("S2-"), F.col("l_partkey").cast("string"))).alias("ids"))
+    return validate.not_among_candidates(_rows(spark, d), c)
+
+
+# ---------------------------------------------------------------- samples
+
+_U = "('0x' || substr(md5({0}::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query("q1_hash_sample", f"WITH {PAIRS_SQL}, k AS (SELECT s1 FROM ids WHERE {_U.format('s1')} < 0.3::DOUBLE), m AS (SELECT DISTINCT cand FROM truth WHERE s1 IN (SELECT s1 FROM k)) SELECT p_partkey AS cand, p_partkey IN (SELECT cand FROM m) AS matched FROM part WHERE p_partkey IN (SELECT cand FROM m) OR (p_partkey NOT IN (SELECT cand FROM truth) AND {_U.format('p_partkey')} < 0.3::DOUBLE)")
+def q1(spark, d):
+    pool = read(spark, d, "part").select(F.col("p_partkey").alias("cand"))
+    t = truth(spark, d)
+    kept, out = sampling.hash_sample(entities(spark, d), pool, t, 0.3)
+    hit = t.join(kept.select("s1"), "s1", "left_semi").select("cand").distinct().withColumn("matched", F.lit(True))
+    return out.join(hit, "cand", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+
+@query("q2_group_sample", f"""WITH c AS (SELECT lang AS country, coalesce(nullif(source, 'src0'), '') AS state FROM documents), t AS (SELECT country, count(*) AS total FROM c GROUP BY country), z AS (SELECT country, state, count(*) AS n FROM c WHERE state <> '' GROUP BY ALL),
+r AS (SELECT z.*, total, state = 'src3' AS must, coalesce(sum(n) OVER (PARTITION BY country ORDER BY CASE WHEN state = 'src3' THEN 0 ELSE 1 END, {_U.format("(country || '|' || state)")}, state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM z JOIN t USING (country))
+SELECT country, state, n FROM r WHERE must OR b < total * 0.15::DOUBLE""")
+def q2(spark, d):
+    s1 = read(spark, d, "documents").select(F.col("lang").alias("country"), F.coalesce(F.nullif("source", F.lit("src0")), F.lit("")).alias("state"))
+    return sampling.group_sample(s1, "state", "country", 0.15, ("src3",))
+
+
+# ---------------------------------------------------------------- models and the whole job
+
+
+@query("l2_out_of_fold")
+def l2(spark, d):
+    from kindred.operators import models
+
+    return six(models.demo(spark, d), "oof", "calibrated")
+
+
+@query("linkage_end_to_end")
+def end_to_end(spark, d):
+    """Documents linked by exact keys within languages, scored by their competition and decided one-to-one."""
+    s1, pool = records(spark, d)
+    flags = blocking.exact_key_pairs(s1, pool, ["n_key"]).withColumn("ex_name", F.lit(1))
+    near = blocking.exact_key_pairs(s1, pool, ["n_key"], gate="state").withColumn("ex_street", F.lit(1))
+    pairs = blocking.heuristic_cap(blocking.union_merge([flags, near])).select("s1", "cand", ((F.col("ex_name") + F.col("ex_street")) / 2.5).alias("p"))
+    return decide.apply_rule(pairs, threshold=0.5).select("s1", "cand", "p", "keep")

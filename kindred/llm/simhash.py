@@ -33,7 +33,9 @@ from kindred.llm.common import anti_join, table, written
 from kindred.llm.components import components
 
 SEED = 42
-BLOCK = 4096
+#: Rows of a cell that meet as one block: an eighth of all, so that small inputs fill all tasks, within these bounds.
+#: A row travels once for each block it meets, so blocks as large as a task can hold keep the shuffle down.
+BLOCK, MOST_BLOCK = 4096, 32_768
 STRIPE = 256
 #: Growth of text length from one band to the next, for large radii.
 BAND = 1.34
@@ -141,7 +143,7 @@ def links(reps: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
     cell, near = _cells("f0", radius)
     reps = reps.withColumn("cell", cell)
     counts = {r["cell"]: r["count"] for r in reps.groupBy("cell").count().collect()}  # at most 17 ** 4 cells, or a few hundred bands
-    block = max(BLOCK, -(-sum(counts.values()) // 512))
+    block = min(max(BLOCK, sum(counts.values()) // 8), MOST_BLOCK)
     parts = {c: -(-n // block) for c, n in counts.items()}
     plan, tiles = [], 0  # (cell, part, tile, whether at home there)
     for c in sorted(counts):

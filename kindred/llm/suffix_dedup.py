@@ -33,15 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.arrow import by_slices
-from kindred.llm.common import table, written
+from kindred.llm.common import drop_written, table, written
 
 LENGTH = 100
 GRAM = 32
 HOT = 2000
+OPEN, DECIDED, TOLD = range(3)
 _SEED = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte, and an odd base, for each of two polynomial hashes modulo 2 ** 64.
 _CODES = _SEED.integers(0, 2**64, (2, 256), np.uint64) | np.uint64(1)
@@ -216,27 +217,40 @@ def _batch(schema: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=[x.split()[0] for x in schema.split(", ")])
 
 
-def _freed() -> None:
-    """Lets Spark remove the shuffle files of plans that nothing holds any more."""
-    from pyspark.sql import SparkSession
-
+def _freed(*tables: DataFrame) -> None:
+    """Removes written tables that are done with, and lets Spark remove the shuffle files of plans that nothing holds."""
+    for t in tables:
+        drop_written(t)
     gc.collect()
     SparkSession.active()._jvm.System.gc()
 
 
+def _packed(p: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """A segment's anchor, and how far its first string starts before it and its last string behind that, as one number."""
+    return p << 20 | (p - a) << 10 | (z - a)
+
+
+def _unpacked(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    p = s >> 20
+    a = p - (s >> 10 & 1023)
+    return p, a, a + (s & 1023)
+
+
 def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc, p: anchors whose hash occurs elsewhere too."""
-    schema = "key long, known boolean, doc long, p int"
+    """doc, s: the segments (packed) whose anchor's hash occurs elsewhere too."""
+    if length - GRAM > 1000:
+        raise ValueError("length is too large for packed segments")
+    schema = "key long, kind int, doc long, s long"  # kind: place to decide, place decided, or a hash to be told of alone
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(b):
-            d, a, h, _, _ = segments([_bytes(t) for t in b.column(1).to_pylist()], length)
-            return b.column(0).to_numpy()[d], a.astype(np.int32), h
+            d, p, h, a, z = segments([_bytes(t) for t in b.column(1).to_pylist()], length)
+            return b.column(0).to_numpy()[d], _packed(p, a, z), h
 
         parts, size = [], 0
 
         def out():
-            doc, p, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+            doc, seg, h = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
             s = h[order]
             new = np.concatenate(([True], s[1:] != s[:-1]))
@@ -244,14 +258,12 @@ def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             many[order] = ~new | np.concatenate((~new[1:], [False]))
             lone = np.ones(len(h), bool)
             lone[order] = new  # one of each hash goes by hash
-            spread = (doc * 1_000_003 + p).astype(np.uint64) * np.uint64(_BASES[0])
-            key = np.where(lone, h, spread).view(np.int64)
-            known = many & ~lone
-            # a hash seen twice here is sent by hash as well, so that others learn of it; its own place is sure
-            sure = many & lone
-            yield _batch(schema, key, known, doc, p)
-            if sure.any():
-                yield _batch(schema, spread[sure].view(np.int64), np.ones(int(sure.sum()), bool), doc[sure], p[sure])
+            spread = (doc * 1_000_003 + seg).astype(np.uint64) * np.uint64(_BASES[0])
+            # of a hash seen twice here every place is decided; the hash is sent once more so that others learn of it
+            tell = many & lone
+            key = np.where(many, spread, h).view(np.int64)
+            yield _batch(schema, key, np.where(many, DECIDED, OPEN).astype(np.int32), doc, seg)
+            yield _batch(schema, h[tell].view(np.int64), np.full(int(tell.sum()), TOLD, np.int32), doc[tell], seg[tell])
 
         for b in batches:
             for i in range(0, b.num_rows, 512):
@@ -270,25 +282,58 @@ def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if not got:
             return
         t = pa.Table.from_batches(got)
-        key, known, doc, p = (t.column(k).to_numpy() for k in ("key", "known", "doc", "p"))
-        yield _batch("doc long, p int", doc[known], p[known])
-        key, doc, p = key[~known], doc[~known], p[~known]
+        key, state, doc, seg = (t.column(k).to_numpy() for k in ("key", "kind", "doc", "s"))
+        done = state == DECIDED
+        yield _batch("doc long, s long", doc[done], seg[done])
+        key, state, doc, seg = (x[~done] for x in (key, state, doc, seg))
         order = np.argsort(key, kind="stable")
         s = key[order]
         new = np.concatenate(([True], s[1:] != s[:-1]))
         twice = order[~new | np.concatenate((~new[1:], [False]))] if len(s) else order
-        yield _batch("doc long, p int", doc[twice], p[twice])
+        twice = twice[state[twice] == OPEN]
+        yield _batch("doc long, s long", doc[twice], seg[twice])
+
+    return docs.mapInArrow(emit, schema).repartition("key").mapInArrow(pick, "doc long, s long")
 
-    return docs.mapInArrow(emit, schema).repartition("key").mapInArrow(pick, "doc long, p int")
 
+def _digests(texts: DataFrame, length: int) -> DataFrame:
+    """h (of the anchor), g (of the whole segment), doc, s, again: whether an earlier equal segment stands in the same task.
+
+    texts: doc, text, s (array).  What is again is settled here; of each segment a task sends one on.
+    """
+    schema = "h long, g long, doc long, s long, again boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+
+        def out():
+            h, g, doc, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((seg, doc, g, h))
+            h, g, doc, seg = (x[order] for x in (h, g, doc, seg))
+            again = np.concatenate(([False], (h[1:] == h[:-1]) & (g[1:] == g[:-1])))
+            for i in range(0, len(h), 1 << 18):
+                yield _batch(schema, *(x[i : i + (1 << 18)] for x in (h, g, doc, seg, again)))
+
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                lists = part.column(2)
+                seg = lists.flatten().to_numpy()
+                d = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                buf, begin, _ = _joined([_bytes(t) for t in part.column(1).to_pylist()])
+                p, a, z = _unpacked(seg)
+                pre = Prefix(buf)
+                # the anchor's place belongs to what makes segments equal
+                g = pre.of(begin[d] + a, z + length - a) ^ ((p - a).astype(np.uint64) * np.uint64(_BASES[1]))
+                parts.append((pre.of(begin[d] + p, GRAM).view(np.int64), g.view(np.int64), part.column(0).to_numpy()[d], seg))
+                size += len(seg)
+            if size >= 2_000_000:
+                yield from out()
+                parts, size = [], 0
+        if parts:
+            yield from out()
 
-def _of_text(texts: list[bytes], wanted: list[list[int]], length: int) -> tuple[np.ndarray, ...]:
-    """Segments of texts whose anchor is wanted."""
-    d, p, h, a, z = segments(texts, length)
-    code = d * (1 << 40) + p
-    want = np.fromiter((i * (1 << 40) + x for i, w in enumerate(wanted) for x in w), np.int64)
-    keep = np.isin(code, want)
-    return d[keep], p[keep], h[keep], a[keep], z[keep]
+    return texts.mapInArrow(run, schema)
 
 
 def _spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -341,53 +386,56 @@ def _sort_task(length: int):
     return run, schema
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of a, b: half-open byte ranges that go)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n, ids = base.agg(F.count(F.lit(1)), F.countDistinct("id")).first()
-    if n > ids:  # ids that are null or occur twice: documents are numbered in order instead
-        order = Window.orderBy(F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first())
-        base = written(base.select("id", "text", F.row_number().over(order).cast("long").alias("doc")), "suffix-docs")
-    else:
-        base = base.withColumn("doc", F.col("id").cast("long"))
+def _candidates(base: DataFrame, length: int) -> DataFrame:
+    """doc, id, n_bytes; s and text where a segment may be a repeat, sha where none can be."""
     places = written(anchors(base.select("doc", "text"), length), "suffix-anchors")
     _freed()
-    per = places.groupBy("doc").agg(F.collect_list("p").alias("p"))
-    some = base.join(per, "doc", "left")
-    # texts without such an anchor are done; the others go on with theirs
-    cand = written(some.select("doc", "id", "p", F.when(F.col("p").isNotNull(), F.col("text")).alias("text"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.when(F.col("p").isNull(), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha")), "suffix-texts")
-    del per, some
-    _freed()
-    texts = cand.filter("p IS NOT NULL").select("doc", "text", "p")
+    per = places.groupBy("doc").agg(F.collect_list("s").alias("s"))
+    text = F.coalesce("text", F.lit(""))
+    some = F.col("s").isNotNull()
+    out = written(base.join(per, "doc", "left").select("doc", "id", "s", F.when(some, F.col("text")).alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.when(~some, F.sha2(text.cast("binary"), 256)).alias("sha")), "suffix-texts")
+    del per
+    _freed(places)
+    return out
+
+
+def _told_apart(cand: DataFrame, length: int) -> DataFrame:
+    """h, doc, s, first: segments, and whether each is the first of those equal to it."""
+    every = written(_digests(cand.filter("s IS NOT NULL").select("doc", "text", "s"), length), "suffix-segments")
+    # a task sends a segment once, so that no more rows than tasks meet here
+    place = F.row_number().over(Window.partitionBy("h", "g").orderBy("doc", "s"))
+    one = every.filter(~F.col("again")).select("h", "doc", "s", (place == 1).alias("first"))
+    out = written(one.unionByName(every.filter("again").select("h", "doc", "s", F.lit(False).alias("first"))), "suffix-firsts")
+    del one
+    _freed(every)
+    return out
 
-    def digests(b: pa.RecordBatch) -> pa.RecordBatch:
-        t = [_bytes(x) for x in b.column(1).to_pylist()]
-        d, p, h, a, z = _of_text(t, b.column(2).to_pylist(), length)
-        buf, begin, _ = _joined(t)
-        at, size = begin[d] + a, z + length - a
-        one, two = (Prefix(buf, k).of(at, size) if len(d) else np.array([], np.uint64) for k in (0, 1))
-        where = (p - a).astype(np.uint64) * np.uint64(_BASES[1])  # the anchor's place belongs to what makes segments equal
-        return _batch(seg, (one ^ where).view(np.int64), two.view(np.int64), h.view(np.int64), b.column(0).to_numpy()[d], p.astype(np.int32), a.astype(np.int32), (z + length).astype(np.int32))
-
-    seg = "g1 long, g2 long, h long, doc long, p int, a int, b int"
-    segs = written(by_slices(texts, digests, seg), "suffix-segments")
-    firsts = written(segs.groupBy("g1", "g2").agg(F.min(F.struct("doc", "a", "p", "b", "h")).alias("f")).select("g1", "g2", "f.*"), "suffix-firsts")
-    whole = segs.join(firsts.select("g1", "g2", F.col("doc").alias("d0"), F.col("a").alias("a0")), ["g1", "g2"]).filter("doc <> d0 OR a <> a0").select("doc", "a", "b")
-    anch = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    open_ = firsts.join(anch, "h").groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("o"))
+
+def _pieces(cand: DataFrame, segs: DataFrame, length: int) -> DataFrame:
+    """h, doc, p, a, n, bytes: the texts of first segments whose anchor stands in n of them, two or more."""
+    firsts = segs.filter("first").select("h", "doc", "s")
+    many = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    per = firsts.join(many, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "s", "n")).alias("o"))
+    raw = "h long, doc long, p int, a int, n long, bytes binary"
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column(2)
+        o = lists.flatten()
+        h, seg, n = (o.field(i).to_numpy() for i in range(3))
+        d = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+        p, a, z = _unpacked(seg)
         t = [_bytes(x) for x in b.column(1).to_pylist()]
-        o = b.column(2).to_pylist()
-        d, p, h, a, z = _of_text(t, [[x["p"] for x in w] for w in o], length)
-        n = [{x["p"]: x["n"] for x in w} for w in o]
-        return _batch(raw, h.view(np.int64), b.column(0).to_numpy()[d], p.astype(np.int32), a.astype(np.int32), pa.array([n[i][x] for i, x in zip(d.tolist(), p.tolist(), strict=True)], pa.int64()), pa.array([t[i][x : y + length] for i, x, y in zip(d.tolist(), a.tolist(), z.tolist(), strict=True)], pa.binary()))
+        strings = [t[i][x : y + length] for i, x, y in zip(d.tolist(), a.tolist(), z.tolist(), strict=True)]
+        return _batch(raw, h, b.column(0).to_numpy()[d], p.astype(np.int32), a.astype(np.int32), n, pa.array(strings, pa.binary()))
 
-    raw = "h long, doc long, p int, a int, n long, bytes binary"
-    pieces = written(by_slices(texts.select("doc", "text").join(open_, "doc"), cut, raw), "suffix-pieces")
-    run, schema = _sort_task(length)
-    sorted_ = pieces.filter(F.col("n") <= hot).drop("n").repartition("h").mapInArrow(run, schema)
+    out = written(by_slices(cand.filter("s IS NOT NULL").select("doc", "text").join(per, "doc"), cut, raw), "suffix-pieces")
+    del firsts, many, per
+    _freed()
+    return out
+
+
+def _hot_repeats(pieces: DataFrame, length: int) -> DataFrame:
+    """doc, a, b: strings of pieces that are equal to an earlier one, by their 128-bit hashes and an aggregation."""
 
     def strings(b: pa.RecordBatch) -> pa.RecordBatch:
         buf, begin, lens = _joined(b.column(5).to_pylist())
@@ -397,11 +445,38 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         one, two = (Prefix(buf, k).of(begin[s] + off, length).view(np.int64) for k in (0, 1))
         return _batch("g1 long, g2 long, doc long, a int", one, two, b.column(1).to_numpy()[s], (b.column(3).to_numpy()[s] + off).astype(np.int32))
 
-    each = by_slices(pieces.filter(F.col("n") > hot), strings, "g1 long, g2 long, doc long, a int")
+    each = by_slices(pieces, strings, "g1 long, g2 long, doc long, a int")
     least = each.groupBy("g1", "g2").agg(F.min(F.struct("doc", "a")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g1", "g2", F.col("f.doc").alias("d0"), F.col("f.a").alias("a0"))
-    by_hash = each.join(least, ["g1", "g2"]).filter("doc <> d0 OR a <> a0").select("doc", "a", (F.col("a") + length).alias("b"))
-    gone = written(whole.unionByName(sorted_).unionByName(by_hash).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("g")), "suffix-gone")
-    _freed()
+    return each.join(least, ["g1", "g2"]).filter("doc <> d0 OR a <> a0").select("doc", "a", (F.col("a") + length).alias("b"))
+
+
+def _repeated(cand: DataFrame, length: int, hot: int) -> DataFrame:
+    """doc, g: the byte ranges (a, b) of a document that go, in any order and overlapping."""
+    segs = _told_apart(cand, length)
+    pieces = _pieces(cand, segs, length)
+    a = (F.shiftright("s", 20) - F.shiftright("s", 10).bitwiseAND(F.lit(1023).cast("long"))).cast("int")
+    whole = segs.filter(~F.col("first")).select("doc", a.alias("a"), (a + F.col("s").bitwiseAND(F.lit(1023).cast("long")).cast("int") + length).alias("b"))
+    run, schema = _sort_task(length)
+    cold = pieces.filter(F.col("n") <= hot).drop("n").repartition("h").mapInArrow(run, schema)
+    every = whole.unionByName(cold).unionByName(_hot_repeats(pieces.filter(F.col("n") > hot), length))
+    out = written(every.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("g")), "suffix-gone")
+    del whole, cold, every
+    _freed(segs, pieces)
+    return out
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of a, b: half-open byte ranges that go)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    n, ids = base.agg(F.count(F.lit(1)), F.countDistinct("id")).first()
+    if n > ids:  # ids that are null or occur twice: documents are numbered in order instead
+        order = Window.orderBy(F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first())
+        base = written(base.select("id", "text", F.row_number().over(order).cast("long").alias("doc")), "suffix-docs")
+    else:
+        base = base.withColumn("doc", F.col("id").cast("long"))
+    cand = _candidates(base, length)
+    gone = _repeated(cand, length, hot)
 
     def rest(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -417,9 +492,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return _batch(end, b.column(0), b.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))))
 
     end = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:int,b:int>>"
-    hit = by_slices(cand.filter("p IS NOT NULL").join(gone, "doc", "left").select("id", "text", "n_bytes", "g"), rest, end)
-    none = cand.filter("p IS NULL").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
-    return hit.unionByName(none.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>"))))
+    hit = by_slices(cand.filter("s IS NOT NULL").select("doc", "id", "text", "n_bytes").join(gone, "doc", "left").select("id", "text", "n_bytes", "g"), rest, end)
+    zero, no_spans = F.lit(0).cast("long"), F.array().cast("array<struct<a:int,b:int>>")
+    none = cand.filter("s IS NULL").select("id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), no_spans.alias("spans"))
+    return hit.unionByName(none)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """s1, ids: the second column, whatever its name, split at commas; empty means no match."""
     raw = _read(spark, path)
     a, b = raw.columns[:2]
-    return raw.select(stripped(a).alias("s1"), F.filter(F.transform(F.split(F.coalesce(F.col(b), F.lit("")), ","), F.trim), lambda x: x != "").alias("ids"))
+    return raw.select(stripped(a).alias("s1"), F.filter(F.transform(F.split(F.coalesce(F.col(b), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "").alias("ids"))
 
 
 def read_split(spark: SparkSession, folder: str, split: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:

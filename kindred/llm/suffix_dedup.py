@@ -414,7 +414,8 @@ def _told_apart(cand: DataFrame, length: int) -> DataFrame:
 def _pieces(cand: DataFrame, segs: DataFrame, length: int) -> DataFrame:
     """h, doc, p, a, n, bytes: the texts of first segments whose anchor stands in n of them, two or more."""
     firsts = segs.filter("first").select("h", "doc", "s")
-    many = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that the join has a plain exchange on either side and a hot anchor can be split
+    many = written(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-shared")
     per = firsts.join(many, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "s", "n")).alias("o"))
     raw = "h long, doc long, p int, a int, n long, bytes binary"
 
@@ -429,8 +430,8 @@ def _pieces(cand: DataFrame, segs: DataFrame, length: int) -> DataFrame:
         return _batch(raw, h, b.column(0).to_numpy()[d], p.astype(np.int32), a.astype(np.int32), n, pa.array(strings, pa.binary()))
 
     out = written(by_slices(cand.filter("s IS NOT NULL").select("doc", "text").join(per, "doc"), cut, raw), "suffix-pieces")
-    del firsts, many, per
-    _freed()
+    del firsts, per
+    _freed(many)
     return out
 
 

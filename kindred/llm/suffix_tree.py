@@ -36,7 +36,7 @@ ALPHA = 0.1
 P_MIN = 1e-3
 GAMMA = 1e-2
 MIN_KL = 2e-3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:

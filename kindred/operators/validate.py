@@ -68,3 +68,13 @@ def report(rows: DataFrame, ids: DataFrame, pool: DataFrame | None = None, candi
         if n:
             found[name] = {"n": n, "examples": [r[0] for r in d.orderBy(d.columns[0]).limit(examples).collect()]}
     return found
+
+
+def header_issue(text: str, header: tuple[str, ...]) -> str | None:
+    """What is wrong with the first line of a result file; None if nothing is."""
+    first = text.split("\n", 1)[0].rstrip("\r")
+    if not first.strip():
+        return "the file is empty"
+    if tuple(first.split("\t")) == header:
+        return None
+    return "comma-separated, not tab-separated" if "," in first and "\t" not in first else f"the header is not {header}"

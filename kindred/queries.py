@@ -691,3 +691,311 @@ def end_to_end(spark, d):
     near = blocking.exact_key_pairs(s1, pool, ["n_key"], gate="state").withColumn("ex_street", F.lit(1))
     pairs = blocking.heuristic_cap(blocking.union_merge([flags, near])).select("s1", "cand", ((F.col("ex_name") + F.col("ex_street")) / 2.5).alias("p"))
     return decide.apply_rule(pairs, threshold=0.5).select("s1", "cand", "p", "keep")
+
+
+# ---------------------------------------------------------------- sources and sinks as round trips
+
+
+def _scratch(spark) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir where that is set."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/kindred-checkpoints"
+    return f"{base.rstrip('/')}/kindred/{uuid.uuid4().hex}"
+
+
+def _business(spark, d) -> DataFrame:
+    """Customers and suppliers as records of sources 1 and 2: names, made-up addresses, nations as countries."""
+    n = read(spark, d, "nation")
+    c = read(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    s = read(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    street = lambda k: F.concat(F.col(k).cast("string"), F.lit(" Main St, Peoria, IL"))
+    a = c.select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("entity_id"), F.concat_ws(" ", "c_name", "c_mktsegment", F.lit("Pvt. Ltd.")).alias("business_name"), street("c_custkey").alias("business_address"), F.lit("US").alias("country"), F.lit(1).alias("source"))
+    b = s.select(F.concat(F.lit("S2-"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.concat_ws(" ", "s_name", "n_name", F.lit("L.L.C.")).alias("business_name"), street("s_suppkey").alias("business_address"), F.lit("US").alias("country"), F.lit(2).alias("source"))
+    return a.unionByName(b)
+
+
+_BUSINESS_SQL = """
+biz AS (
+  SELECT 'S1-' || c_custkey AS entity_id, c_name || ' ' || c_mktsegment || ' Pvt. Ltd.' AS business_name, c_custkey || ' Main St, Peoria, IL' AS business_address, 'US' AS country, 1 AS source, c_custkey AS num FROM customer
+  UNION ALL SELECT 'S2-' || s_suppkey, s_name || ' ' || n_name || ' L.L.C.', s_suppkey || ' Main St, Peoria, IL', 'US', 2, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+)"""
+
+
+@query("io1_source_tsv", f"WITH {_BUSINESS_SQL} SELECT entity_id, business_name, business_address, country FROM biz")
+def io1(spark, d):
+    from kindred.sources import tsv
+
+    path = _scratch(spark)
+    _business(spark, d).drop("source").write.options(header=True, sep="\t", quote="", emptyValue="").csv(path)
+    return tsv.read_source(spark, path)
+
+
+@query("io3_load_split", f"WITH {_BUSINESS_SQL} SELECT source, country, count(*) AS n FROM biz GROUP BY ALL")
+def io3(spark, d):
+    from kindred.sources import tsv
+
+    folder, b = _scratch(spark), _business(spark, d)
+    for s in (1, 2, 3):
+        b.filter(F.col("source") == s).drop("source").write.options(header=True, sep="\t", quote="", emptyValue="").csv(f"{folder}/train_source{s}.tsv")
+    s1, pool, _ = tsv.read_split(spark, folder, "train")
+    return s1.unionByName(pool).groupBy(F.col("source").cast("int").alias("source"), "country").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("io6_store_gather", f"WITH {PAIRS_SQL} SELECT s1, cand, round(p, 6) AS p, source FROM pairs WHERE s1 IN (SELECT s1 FROM ids WHERE country = '1-URGENT')")
+def io6(spark, d):
+    from kindred.sources.store import Store
+
+    store = Store(spark, _scratch(spark))
+    store.save("pairs", scored(spark, d))
+    return six(store.gather("pairs", entities(spark, d).filter("country = '1-URGENT'").select("s1")), "p")
+
+
+@query("io7_write_lists", f"WITH {PAIRS_SQL} SELECT ids.s1::VARCHAR AS s1, coalesce(string_agg(cand::VARCHAR, ',' ORDER BY p DESC, cand), '') AS matched FROM ids LEFT JOIN (SELECT * FROM pairs WHERE p >= 0.8) q ON ids.s1 = q.s1 GROUP BY ids.s1")
+def io7(spark, d):
+    from kindred.sources import lists
+
+    path = _scratch(spark)
+    lists.write_lists(lists.id_lists(scored(spark, d).filter("p >= 0.8"), entities(spark, d), "matched"), path)
+    back = spark.read.options(header=True, sep="\t", quote="").csv(path)
+    return back.select("s1", F.coalesce("matched", F.lit("")).alias("matched"))
+
+
+@query("io13_score_lists", f"WITH {_F05_SQL} SELECT round(avg(f05), 6) AS all_f05, round(avg(f05) FILTER (n_true = 0), 6) AS singletons, round(avg(f05) FILTER (n_true > 0), 6) AS matched FROM f")
+def io13(spark, d):
+    from kindred.sources.lists import id_lists
+
+    ids = entities(spark, d)
+    each = lambda p: id_lists(p, ids, "m").select("s1", F.explode(F.filter(F.split("m", ","), lambda x: x != "")).alias("cand"))
+    b = metrics.breakdown(each(scored(spark, d).filter("p >= 0.5")), each(truth(spark, d).withColumn("p", F.lit(1.0))), ids)
+    return six(b.select(F.col("macro_f05").alias("all_f05"), F.col("f05_singletons").alias("singletons"), F.col("f05_matched").alias("matched")), "all_f05", "singletons", "matched")
+
+
+@query("io14_synthetic")
+def io14(spark, d):
+    from kindred.sources import synthetic
+
+    return synthetic.generate(spark, 200)[0]
+
+
+# ---------------------------------------------------------------- projections and joins
+
+
+@query("p2_queried_mask", "SELECT o_orderkey AS s1 FROM orders WHERE ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= 0.15::DOUBLE")
+def p2(spark, d):
+    return sampling.splits(entities(spark, d)).filter(~F.col("hidden")).select("s1")
+
+
+@query("p3_all_keys_present", "SELECT doc_id FROM documents WHERE coalesce(nullif(source, 'src0'), '') <> '' AND lang <> ''")
+def p3(spark, d):
+    x = read(spark, d, "documents").select("doc_id", "lang", F.coalesce(F.nullif("source", F.lit("src0")), F.lit("")).alias("state"))
+    return x.filter(blocking.all_present(["state", "lang"])).select("doc_id")
+
+
+@query("j8_dictionary_lookup", f"SELECT s_suppkey, coalesce(code, '') AS code FROM supplier LEFT JOIN (VALUES {', '.join(repr((k, v)) for c, k, v in lexicon.state_rows() if c == 'US')}) t(key, code) ON key = lower(chr((97 + s_suppkey % 26)::INT) || chr((97 + s_nationkey)::INT))")
+def j8(spark, d):
+    table = spark.createDataFrame([(k, v) for c, k, v in lexicon.state_rows() if c == "US"], "key string, code string")  # a fixed list
+    key = F.lower(F.concat(F.chr(97 + F.col("s_suppkey") % 26), F.chr(97 + F.col("s_nationkey").cast("long"))))
+    return read(spark, d, "supplier").withColumn("key", key).join(F.broadcast(table), "key", "left").select("s_suppkey", F.coalesce("code", F.lit("")).alias("code"))
+
+
+@query("j9_enrichment", f"WITH {PAIRS_SQL} SELECT s1, cand, o_orderpriority AS left_text, p_name AS right_text FROM truth JOIN orders ON s1 = o_orderkey JOIN part ON cand = p_partkey")
+def j9(spark, d):
+    left = read(spark, d, "orders").select(F.col("o_orderkey").alias("s1"), F.col("o_orderpriority").alias("left_text"))
+    right = read(spark, d, "part").select(F.col("p_partkey").alias("cand"), F.col("p_name").alias("right_text"))
+    return truth(spark, d).join(left, "s1").join(right, "cand").select("s1", "cand", "left_text", "right_text")
+
+
+@query("w9_top_by_confidence", f"WITH {PAIRS_SQL} SELECT s1, cand, round(p, 6) AS p FROM pairs ORDER BY p DESC, s1, cand LIMIT 100")
+def w9(spark, d):
+    return six(scored(spark, d).select("s1", "cand", "p").orderBy(F.col("p").desc(), "s1", "cand").limit(100), "p")
+
+
+@query("w11_ordered_distinct", f"WITH {_TOKENS_SQL}, e AS (SELECT doc_id, unnest(toks) AS t, unnest(range(len(toks))) AS i FROM k), f AS (SELECT doc_id, t, min(i) AS i FROM e GROUP BY ALL) SELECT k.doc_id, coalesce(string_agg(t, ' ' ORDER BY i), '') AS bag FROM k LEFT JOIN f ON k.doc_id = f.doc_id GROUP BY k.doc_id")
+def w11(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(native.plain_tokens(F.col("text"))), " ").alias("bag"))
+
+
+@query("x1_union_all", f"WITH {_BUSINESS_SQL} SELECT entity_id, source FROM biz")
+def x1(spark, d):
+    b = _business(spark, d)
+    return b.filter("source = 1").select("entity_id", "source").unionByName(b.filter("source = 2").select("entity_id", "source"))
+
+
+@query("x5_distinct_tokens", f"WITH {_TOKENS_SQL} SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(toks) AS token FROM k)")
+def x5(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(native.plain_tokens(F.col("text")))).alias("token"))
+
+
+# ---------------------------------------------------------------- text functions over Arrow
+
+
+@query("n1_strip_accents", "SELECT item_id, strip_accents(text) AS plain FROM benchmark")
+def n1(spark, d):
+    from kindred.functions import udfs
+
+    return read(spark, d, "benchmark").select("item_id", udfs.strip_accents()("text").alias("plain"))
+
+
+@query("n3_script_class", "SELECT doc_id, CASE WHEN regexp_matches(text, '[ऀ-෿]') THEN 1 ELSE 0 END AS script FROM documents")
+def n3(spark, d):
+    from kindred.functions import udfs
+
+    return read(spark, d, "documents").select("doc_id", udfs.scripts()("text").alias("script"))
+
+
+@query("n4_token_script", "SELECT conv_id, turn, regexp_matches(text, '[ऀ-෿]') AS indic FROM conversations")
+def n4(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", F.col("text").rlike("[ऀ-෿]").alias("indic"))
+
+
+@query("n5_alias_split", "SELECT s_suppkey, string_split(s_name || ' dba ' || n_name, ' dba ') AS halves FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def n5(spark, d):
+    j = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return j.select("s_suppkey", F.split(F.concat_ws(" dba ", "s_name", "n_name"), "(?i)" + lexicon.ALIAS_PATTERN).alias("halves"))
+
+
+@query("n7_glue_letters")
+def n7(spark, d):
+    from kindred.functions import udfs
+
+    return read(spark, d, "benchmark").select("item_id", udfs.glue_letters()(F.array_join(native.plain_tokens(F.col("text")), " ")).alias("glued"))
+
+
+@query("n12_segment")
+def n12(spark, d):
+    from kindred.functions import udfs
+    from kindred.functions.names import Segmenter
+
+    part = read(spark, d, "part").select("p_name").distinct()
+    known = {r["word"]: r["n"] for r in tokens.word_counts(read(spark, d, "part"), "p_name").collect()}  # the words of part names
+    return part.select("p_name", udfs.segment(Segmenter.of_counts(known))(F.regexp_replace("p_name", " ", "")).alias("words"))
+
+
+@query("n13_normalize_name")
+def n13(spark, d):
+    from kindred.functions import udfs
+
+    return _business(spark, d).select("entity_id", udfs.name_columns()("business_name").alias("n")).select("entity_id", "n.*")
+
+
+@query("n14_learned_dictionary")
+def n14(spark, d):
+    part = read(spark, d, "part").select(F.split(F.lower(F.concat_ws(" ", "p_brand", "p_type")), " ").alias("x"), F.split("p_name", " ").alias("y"))
+    return tokens.top_two(tokens.aligned_pairs(part, F.col("x"), F.col("y")))
+
+
+@query("n17_lookup_key", r"SELECT item_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS key FROM benchmark")
+def n17(spark, d):
+    from kindred.functions import udfs
+
+    return read(spark, d, "benchmark").select("item_id", udfs.lookup_key()("text").alias("key"))
+
+
+@query("n18_city_key", "SELECT n_nationkey, lower(replace(n_name, '_', ' ')) AS city FROM nation")
+def n18(spark, d):
+    from kindred.functions import udfs
+
+    return read(spark, d, "nation").select("n_nationkey", udfs.city_key()(F.concat(F.lit("City of "), F.col("n_name"))).alias("city"))
+
+
+@query("n21_parse_address", f"WITH {_BUSINESS_SQL} SELECT entity_id, 'IL' AS a_state, 'peoria' AS a_city, 'main street' AS a_street, num::VARCHAR AS a_hn, 3 AS a_ncomp FROM biz")
+def n21(spark, d):
+    from kindred.functions import udfs
+
+    a = udfs.address_columns({"US": {"peoria"}})("business_address", "country")
+    return _business(spark, d).select("entity_id", a.alias("a")).select("entity_id", "a.a_state", "a.a_city", "a.a_street", "a.a_hn", "a.a_ncomp")
+
+
+@query("n22_state_lexicon")
+def n22(spark, d):
+    return spark.createDataFrame(lexicon.state_rows(), "country string, key string, code string")
+
+
+@query("n23_postcodes", "SELECT p_partkey, regexp_full_match(p_partkey::VARCHAR, '[0-9]{5}') AS us, regexp_full_match(p_partkey::VARCHAR, '[0-9]{4,6}') AS elsewhere FROM part")
+def n23(spark, d):
+    c = F.col("p_partkey").cast("string")
+    return read(spark, d, "part").select("p_partkey", c.rlike(lexicon.POSTCODE["US"]).alias("us"), c.rlike(lexicon.POSTCODE_ELSEWHERE).alias("elsewhere"))
+
+
+@query("n24_landmarks", r"SELECT doc_id, regexp_matches(lower(text), '\b(near|nr|opp|opposite|behind|beside|next\s+to|adjacent|above|below|in\s+front\s+of)\b') AS landmark FROM documents")
+def n24(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.lower("text").rlike(lexicon.LANDMARK).alias("landmark"))
+
+
+@query("n27_retrieval_texts", f"WITH {_BUSINESS_SQL} SELECT entity_id, trim(lower(business_name) || ' | main street peoria') AS text FROM biz")
+def n27(spark, d):
+    return _business(spark, d).select("entity_id", F.trim(F.concat(F.lower("business_name"), F.lit(" | "), F.lit("main street"), F.lit(" "), F.lit("peoria"))).alias("text"))
+
+
+# ---------------------------------------------------------------- further features and models
+
+
+@query("f5_presence_flags", "SELECT doc_id, (coalesce(nullif(source, 'src0'), '') <> '')::INT::DOUBLE AS present, (text = '')::INT::DOUBLE AS empty FROM documents")
+def f5(spark, d):
+    state = F.coalesce(F.nullif("source", F.lit("src0")), F.lit(""))
+    return read(spark, d, "documents").select("doc_id", (state != "").cast("double").alias("present"), (F.col("text") == "").cast("double").alias("empty"))
+
+
+@query("f10_token_counts", f"WITH {_NAMES_SQL} SELECT a, b, len(ta) AS s1_ntok, len(tb) AS cand_ntok, round(least(len(ta), len(tb)) / greatest(len(ta), len(tb), 1), 6) AS ntok_ratio FROM g")
+def f10(spark, d):
+    n = _names(spark, d).select("a", "b", F.size(F.map_keys("ma")).cast("long").alias("s1_ntok"), F.size(F.map_keys("mb")).cast("long").alias("cand_ntok"))
+    return six(n.withColumn("ntok_ratio", F.least("s1_ntok", "cand_ntok") / F.greatest("s1_ntok", "cand_ntok", F.lit(1))), "ntok_ratio")
+
+
+@query("f14_cross_terms", f"WITH {_NAMES_SQL}, x AS (SELECT a, b, jaro_winkler_similarity(a, b) AS jw, CASE WHEN a < b THEN (length(a) = length(b))::INT::DOUBLE END AS hn FROM g) SELECT a, b, round(jw * coalesce(hn, 0), 6) AS x_hn, round(jw * coalesce(hn, 0.5), 6) AS x_name_hn FROM x")
+def f14(spark, d):
+    n = _names(spark, d).select("a", "b", st.scorer("jaro_winkler")("a", "b").alias("jw"), F.when(F.col("a") < F.col("b"), (F.length("a") == F.length("b")).cast("double")).alias("hn"))
+    return six(n.select("a", "b", (F.col("jw") * F.coalesce("hn", F.lit(0.0))).alias("x_hn"), (F.col("jw") * F.coalesce("hn", F.lit(0.5))).alias("x_name_hn")), "x_hn", "x_name_hn")
+
+
+@query("f_all_pair_features")
+def f_all(spark, d):
+    """All feature families over candidate pairs of customers and suppliers that share a house number and street."""
+    from kindred.operators import normalize as nz
+
+    b = _business(spark, d)
+    resources = nz.Resources(cities={"US": {"peoria"}})
+    s1, pool = (nz.normalize(b.filter(F.col("source") == k), resources) for k in (1, 2))
+    every = s1.unionByName(pool)
+    sides = []
+    for side in (s1, pool):
+        out = side
+        for p, c in features.SETS.items():
+            idf = tokens.idf(every.select(features.token_set(F.col(c)).alias("t")), "t")
+            out = out.join(features.weighted_set(side.select("id", features.token_set(F.col(c)).alias("t")), "t", idf, f"m_{p}"), "id", "left")
+        sides.append(out)
+    freq = tokens.key_frequencies(s1, pool, "n_key", "country", "a_city").select("id", "nk_cnt_country", "nk_cnt_city", "nk_cnt_pool_city")
+    pairs = blocking.union_merge([blocking.exact_key_pairs(s1, pool, ["a_hn", "a_street_key"]).withColumn("ex_hn", F.lit(1))])
+    return features.pair_features(pairs, sides[0].join(freq, "id"), sides[1])
+
+
+@query("l1_subsample", "SELECT s1, cand, y FROM (SELECT l_orderkey AS s1, l_partkey AS cand, max((l_returnflag = 'R')::INT) AS y FROM lineitem GROUP BY ALL) WHERE y = 1 OR ('0x' || substr(md5(s1 || '|' || cand), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25::DOUBLE")
+def l1(spark, d):
+    from kindred.functions.native import id_fraction
+
+    y = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("s1"), F.col("l_partkey").alias("cand")).agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("y"))
+    return y.filter((F.col("y") == 1) | (id_fraction(F.concat_ws("|", "s1", "cand")) < 0.25))
+
+
+@query("l6_quality", f"WITH {PAIRS_SQL}, k AS (SELECT p, (truth.s1 IS NOT NULL)::INT AS y FROM pairs LEFT JOIN truth USING (s1, cand)), t AS (SELECT p, sum(y) AS pos, count(*) AS n FROM k GROUP BY p), c AS (SELECT pos, sum(pos) OVER w AS cp, sum(n) OVER w AS cn FROM t WINDOW w AS (ORDER BY p DESC)) SELECT round((SELECT sum(pos * cp / cn) / sum(pos) FROM c), 6) AS average_precision, round((SELECT avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) FROM k), 6) AS log_loss")
+def l6(spark, d):
+    from kindred.operators import models
+
+    q = models.quality(blocking.labelled(scored(spark, d), truth(spark, d)))
+    return six(spark.createDataFrame([(q["average_precision"], q["log_loss"])], "average_precision double, log_loss double"), "average_precision", "log_loss")
+
+
+@query("v1_headers")
+def v1(spark, d):
+    header = ("source1_entity_id", "matched_entity_ids")
+    cases = ["\t".join(header), ",".join(header), "other\theader", ""]
+    return spark.createDataFrame([(c, validate.header_issue(c, header) or "") for c in cases], "first_line string, issue string")
+
+
+@query("q5_by_country", "SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents GROUP BY lang")
+def q5(spark, d):
+    path = _scratch(spark)
+    read(spark, d, "documents").select("doc_id", "lang").write.partitionBy("lang").parquet(path)
+    return spark.read.parquet(path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"))

@@ -107,10 +107,11 @@ def recall(pairs: DataFrame, truth: DataFrame, queried: DataFrame) -> DataFrame:
     """One row: n_gt_pairs, n_hit, blocking_recall, n_pairs, pairs_per_s1, over the s1 that are queried."""
     t = truth.select("s1", "cand").join(queried.select("s1"), "s1", "left_semi")
     hit = t.join(pairs.select("s1", "cand").distinct().withColumn("hit", F.lit(1)), ["s1", "cand"], "left")
-    a = hit.agg(F.count(F.lit(1)).alias("n_gt_pairs"), F.count("hit").alias("n_hit"))
-    b = pairs.agg(F.count(F.lit(1)).alias("n_pairs"))
-    c = queried.agg(F.count(F.lit(1)).alias("n_s1"))
-    one = a.crossJoin(b).crossJoin(c)  # one row each
+    tag = lambda d, k, hit: d.select(F.lit(k).alias("k"), hit.alias("hit"))
+    none = F.lit(None).cast("int")
+    every = tag(hit, "true", F.col("hit")).unionByName(tag(pairs, "pair", none)).unionByName(tag(queried, "s1", none))
+    of = lambda k: F.count(F.when(F.col("k") == k, 1))
+    one = every.agg(of("true").alias("n_gt_pairs"), F.count("hit").alias("n_hit"), of("pair").alias("n_pairs"), of("s1").alias("n_s1"))
     return one.select("n_gt_pairs", "n_hit", (F.col("n_hit") / F.nullif("n_gt_pairs", F.lit(0))).alias("blocking_recall"), "n_pairs", (F.col("n_pairs") / F.greatest("n_s1", F.lit(1))).alias("pairs_per_s1"))
 
 

@@ -10,10 +10,11 @@ from kindred.functions import native
 
 def idf(records: DataFrame, tokens: str, by: tuple[str, ...] = ()) -> DataFrame:
     """by, token, df, idf = ln((N + 1) / (df + 1)) + 1; N counts all records, those without tokens too."""
-    n = records.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     df = records.select(*by, F.explode(F.array_distinct(tokens)).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
-    n = F.broadcast(n) if not by else n  # one row
-    joined = df.join(n, list(by)) if by else df.crossJoin(n)
+    if by:
+        joined = df.join(records.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), list(by))
+    else:
+        joined = df.withColumn("n", F.lit(records.count()))
     return joined.select(*by, "token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 

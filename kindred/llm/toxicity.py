@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.llm.arrow import by_slices
 from kindred.llm.common import ALNUM_WORD, ascii_lower, table, words_of, written
@@ -145,7 +146,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         s = pa.array(1 / (1 + np.exp(-np.clip(x, -40, 40))))
         return pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, score_col])
 
-    return by_slices(docs, f, ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in docs.schema) + f", `{score_col}` double")
+    return by_slices(docs, f, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def model(spark, docs):
 
 OPERATORS = {
     "simhash": lambda spark, d: simhash.near_duplicates(d),
-    "simhash_wide": lambda spark, d: simhash.near_duplicates(d, shingle=5, radius=44, lanes=4),
+    "simhash_wide": lambda spark, d: simhash.near_duplicates(d, shingle=5, radius=52, lanes=4, sure=24, similarity=0.8),
     "decontamination": lambda spark, d: decontamination.contamination(d, items(spark)),
     "toxicity": lambda spark, d: toxicity.score(d, model(spark, d)).select("doc_id", "score"),
     "quality_rules": lambda spark, d: quality_rules.ledger(d),

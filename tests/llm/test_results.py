@@ -66,19 +66,20 @@ def test_simhash(spark, sf, docs):
 def test_tiles_find_all_pairs(values, radius):
     f = np.array(sorted(values, key=int.bit_count), np.uint64)[:, None]
     key = np.bitwise_count(f).astype(np.int64)[:, 0]
-    got = {(int(a), int(b)) for x, y in simhash.compare(f, f, key, key, key - radius, key + radius, radius) for a, b in zip(x, y, strict=True)}
+    got = {(int(a), int(b)) for x, y, _ in simhash.compare(f, f, key, key, key - radius, key + radius, radius) for a, b in zip(x, y, strict=True)}
     v = f[:, 0].tolist()
     assert got == {(i, j) for i in range(len(v)) for j in range(len(v)) if (v[i] ^ v[j]).bit_count() <= radius}
 
 
 def test_small_blocks_give_the_same(spark, sf, monkeypatch):
     d = table(spark, sf, "documents")
-    for args in ({}, {"shingle": 5, "radius": 44, "lanes": 4}):
+    for args in ({}, {"shingle": 5, "radius": 52, "lanes": 4}, {"shingle": 5, "radius": 52, "lanes": 4, "sure": 20, "similarity": 0.8}):
         want = {r["id"]: r["component"] for r in simhash.near_duplicates(d, **args).collect()}
         with monkeypatch.context() as m:
             m.setattr(simhash, "BLOCK", 3)
             m.setattr(simhash, "MOST_BLOCK", 3)
             m.setattr(simhash, "STRIPE", 2)
+            m.setattr(simhash, "PART", 2)
             assert {r["id"]: r["component"] for r in simhash.near_duplicates(d, **args).collect()} == want
 
 
@@ -327,7 +328,14 @@ def test_pipeline(spark, sf):
     near = [(g[0], x) for g in reps.values() for x in g[1:]]
     heads = [g[0] for g in reps.values()]
     fits = lambda a, b: math.floor(size[a] / simhash.BAND) <= size[b] <= math.ceil(size[a] * simhash.BAND)
-    near += [(a, b) for k, a in enumerate(heads) for b in heads[k + 1 :] if sum((x ^ y).bit_count() for x, y in zip(fp[a], fp[b], strict=True)) <= 44 and (fits(a, b) or fits(b, a))]
+    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(fp[a], fp[b], strict=True))
+    alike = lambda a, b: simhash.jaccard(want[a]["text"], want[b]["text"], 5) >= 0.8
+    loose = [(a, b, d) for k, a in enumerate(heads) for b in heads[k + 1 :] if (d := bits(a, b)) <= 52 and (fits(a, b) or fits(b, a))]
+    groups = {}
+    for i, g in linked(heads, [(a, b) for a, b, _ in loose]).items():
+        groups.setdefault(g, []).append(i)
+    near += [(a, b) for a, b, d in loose if d <= 24]
+    near += [(a, b) for g in groups.values() for k, a in enumerate(g) for b in g[k + 1 :] if alike(a, b)]
     root = linked(ids, near)
     want = {i: want[i] for i in ids if root[i] == i}
     d2 = step("simhash_near_dedup", d1)

@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingles of five words at an estimated similarity of 0.8 or more, the smallest id stays."""
+    """Of documents linked by shingles of five words at a similarity of 0.8 or more, the smallest id stays."""
     return simhash.keep_one(docs)
 
 

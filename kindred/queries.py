@@ -999,3 +999,57 @@ def q5(spark, d):
     path = _scratch(spark)
     read(spark, d, "documents").select("doc_id", "lang").write.partitionBy("lang").parquet(path)
     return spark.read.parquet(path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"))
+
+
+@query("io5_parquet_round_trip", f"WITH {PAIRS_SQL} SELECT s1, cand FROM truth")
+def io5(spark, d):
+    from kindred.sources.store import Store
+
+    return Store(spark, _scratch(spark)).save("truth", truth(spark, d))
+
+
+@query("io11_json_artifacts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def io11(spark, d):
+    from kindred.sources.store import Store
+
+    store = Store(spark, _scratch(spark))
+    rows = read(spark, d, "documents").groupBy("lang").count().collect()  # one row a language
+    store.report(languages={r["lang"]: r["count"] for r in rows})
+    return spark.createDataFrame(list(store.load_json("report.json")["languages"].items()), "lang string, n long")
+
+
+@query("io9_validation_report", f"WITH {_LINES_SQL}, e AS (SELECT s1, unnest(ids) AS id FROM l) SELECT 'duplicate_rows' AS issue, count(*) AS n FROM (SELECT s1 FROM l GROUP BY s1 HAVING count(*) > 1) UNION ALL SELECT 'duplicate_ids', count(*) FROM l WHERE len(ids) <> len(list_distinct(ids)) UNION ALL SELECT 'wrong_prefix', count(*) FROM e WHERE NOT starts_with(id, 'S2-') AND NOT starts_with(id, 'S3-') UNION ALL SELECT 'missing_rows', count(*) FROM (SELECT s_suppkey::VARCHAR FROM supplier EXCEPT SELECT s1 FROM l)")
+def io9(spark, d):
+    ids = read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("s1"))
+    found = validate.report(_rows(spark, d), ids)
+    return spark.createDataFrame([(k, v["n"]) for k, v in found.items()], "issue string, n long")
+
+
+@query("q3_state_extraction", f"WITH {_BUSINESS_SQL} SELECT entity_id, 'IL' AS a_state FROM biz")
+def q3(spark, d):
+    from kindred.functions import udfs
+
+    return _business(spark, d).select("entity_id", udfs.address_columns()("business_address", "country").getField("a_state").alias("a_state"))
+
+
+@query("q4_city_lexicon", f"WITH {_BUSINESS_SQL} SELECT 'US' AS country, 'peoria' AS city FROM biz HAVING count(*) >= 2")
+def q4(spark, d):
+    from kindred.functions.translit import Dictionary
+    from kindred.operators import normalize as nz
+
+    cities = nz.fit_cities(_business(spark, d), Dictionary())
+    return spark.createDataFrame([(c, x) for c, v in cities.items() for x in sorted(v)], "country string, city string")
+
+
+@query("f12_address_scorers", f"WITH {_BUSINESS_SQL} SELECT entity_id, 1.0::DOUBLE AS city_jw, 100.0::DOUBLE AS st_tsr, round(jaro_winkler_similarity(business_address, 'Main St, Peoria, IL'), 6) AS st_jw FROM biz")
+def f12(spark, d):
+    jw, tset = st.scorer("jaro_winkler"), st.scorer("token_set")
+    b = _business(spark, d)
+    return six(b.select("entity_id", jw(F.lit("peoria"), F.lit("peoria")).alias("city_jw"), tset(F.lit("main street"), F.concat(F.lit("main street "), F.col("country"))).alias("st_tsr"), jw("business_address", F.lit("Main St, Peoria, IL")).alias("st_jw")), "city_jw", "st_tsr", "st_jw")
+
+
+@query("f13_component_counts", f"WITH {_BUSINESS_SQL} SELECT entity_id, len(string_split(business_address, ','))::INT AS ncomp FROM biz")
+def f13(spark, d):
+    from kindred.functions import udfs
+
+    return _business(spark, d).select("entity_id", udfs.address_columns()("business_address", "country").getField("a_ncomp").alias("ncomp"))

@@ -84,25 +84,31 @@ def pair_counts(train: DataFrame, names: dict[bytes, int], contexts: list[tuple[
     keys = np.array(sorted(two), np.int64)
     places = np.array([two[k] for k in keys.tolist()], np.int64)
 
+    def rows(total: Counter) -> pa.RecordBatch:
+        code = np.fromiter(total.keys(), np.int64, len(total))
+        return pa.RecordBatch.from_arrays([pa.array((code // n).astype(np.int32)), pa.array((code % n).astype(np.int32)), pa.array(np.fromiter(total.values(), np.int64, len(total)))], names=["ctx", "w", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for b in batches:
-            found = []
-            for x in _numbered(b.column(0).to_pylist(), names):
-                c = first[x[:-1]]
-                hit = (c >= 0) & (x[1:] >= 0)
-                found.append(c[hit] * n + x[1:][hit])
-                if len(keys) and len(x) > 2:
-                    p = np.where((x[:-2] >= 0) & (x[1:-1] >= 0), x[:-2] * n + x[1:-1], -1)
-                    at = np.minimum(np.searchsorted(keys, p), len(keys) - 1)
-                    hit = (keys[at] == p) & (x[2:] >= 0)
-                    found.append(places[at[hit]] * n + x[2:][hit])
-            if found:
+            for i in range(0, b.num_rows, 1024):
+                found = []
+                for x in _numbered(b.column(0).slice(i, 1024).to_pylist(), names):
+                    c = first[x[:-1]]
+                    hit = (c >= 0) & (x[1:] >= 0)
+                    found.append(c[hit] * n + x[1:][hit])
+                    if len(keys) and len(x) > 2:
+                        p = np.where((x[:-2] >= 0) & (x[1:-1] >= 0), x[:-2] * n + x[1:-1], -1)
+                        at = np.minimum(np.searchsorted(keys, p), len(keys) - 1)
+                        hit = (keys[at] == p) & (x[2:] >= 0)
+                        found.append(places[at[hit]] * n + x[2:][hit])
                 code, c = np.unique(np.concatenate(found), return_counts=True)
                 total.update(dict(zip(code.tolist(), c.tolist(), strict=True)))
+                if len(total) > 400_000:  # sent on in part; the sums are made where they meet
+                    yield rows(total)
+                    total.clear()
         if total:
-            code = np.fromiter(total.keys(), np.int64, len(total))
-            yield pa.RecordBatch.from_arrays([pa.array((code // n).astype(np.int32)), pa.array((code % n).astype(np.int32)), pa.array(np.fromiter(total.values(), np.int64, len(total)))], names=["ctx", "w", "c"])
+            yield rows(total)
 
     return train.select("text").mapInArrow(run, "ctx int, w int, c long").groupBy("ctx", "w").agg(F.sum("c").alias("c"))
 
@@ -228,6 +234,7 @@ def score_block(tree: Tree, docs: list[list[bytes]], count: dict[bytes, int], to
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, block_bytes: int = BLOCK_BYTES, **params) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score; train says which rows are learnt from."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     learn = ~held_out(F.col(id_col)) if train is None else train
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), learn.alias("learn"))

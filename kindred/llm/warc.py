@@ -48,7 +48,8 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     copies = d.filter(F.length("payload") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_id")
-    d = d.join(copies, "digest", "left")
+    # written, so that the join has a plain exchange on either side and a hot digest can be split
+    d = d.join(written(copies, "warc-copies"), "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return d.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 

@@ -64,7 +64,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     key names a document by its content (see text_key).
     """
     wins = written(windows(items, item_col, item_text, window), "benchmark-windows")
-    n_windows = wins.count()
+    n_windows = wins.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]  # with the items of each: what a broadcast would hold
     widths = sorted(r["width"] for r in wins.select("width").distinct().collect())  # at most SHINGLE rows
     words = docs.select(text_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), words_of(ascii_lower(F.col(text_col)), ALNUM_WORD).alias("w"))
     plain = words.select("key", "id", F.size("w").cast("long").alias("n_words"))

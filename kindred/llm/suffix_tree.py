@@ -36,7 +36,7 @@ ALPHA = 0.1
 P_MIN = 1e-3
 GAMMA = 1e-2
 MIN_KL = 2e-3
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -183,17 +183,39 @@ def fit(train: DataFrame, counts: DataFrame, total: int, distinct: int, p_min: f
     return build(names, uni, levels, gamma, min_kl)
 
 
-def score_block(tree: Tree, docs: list[list[bytes]], count: dict[bytes, int], total: int, distinct: int) -> tuple[np.ndarray, ...]:
-    """For each document n_tokens, n_known, base score and score, all in one pass over the block's tokens."""
+@dataclass(frozen=True)
+class Words:
+    """The words of a block that the training texts have: their places, and for each place count and number in the tree.
+
+    The last place, which -1 names, stands for all other words.
+    """
+
+    place: dict[bytes, int]
+    count: np.ndarray
+    number: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[bytes], counts: np.ndarray, tree: Tree) -> Words:
+        place = dict(zip(words, range(len(words)), strict=True))
+        number = np.full(len(words) + 1, -1, np.int64)
+        for w, i in tree.names.items():
+            at = place.get(w)
+            if at is not None:
+                number[at] = i
+        return cls(place, np.append(counts, 0), number)
+
+
+def score_block(tree: Tree, docs: list[list[bytes]], words: Words, total: int, distinct: int) -> tuple[np.ndarray, ...]:
+    """For each document n_tokens, n_known, base score and score, all in one pass over the tokens."""
     lens = np.fromiter(map(len, docs), np.int64, len(docs))
     ends = np.cumsum(lens)
-    local = {w: i for i, w in enumerate(dict.fromkeys(x for d in docs for x in d))}
-    ids = np.fromiter((local[x] for d in docs for x in d), np.int64, int(lens.sum()))
-    c = np.fromiter((count.get(w, 0) for w in local), np.int64, len(local))
-    uni = np.log10((c + ALPHA) / (total + ALPHA * (distinct + 1)))[ids]
-    known = (c > 0)[ids]
+    get = words.place.get
+    ids = np.fromiter((get(x, -1) for d in docs for x in d), np.int64, int(lens.sum()))
+    c = words.count[ids]
+    uni = np.log10((c + ALPHA) / (total + ALPHA * (distinct + 1)))
+    known = c > 0
     n = max(1, len(tree.names))
-    num = np.fromiter((tree.names.get(w, -1) for w in local), np.int64, len(local))[ids]
+    num = words.number[ids]
     one = np.full(n + 1, -1)
     for w, s in tree.after.items():
         one[w] = s
@@ -242,7 +264,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     blocks = max(1, -(-size // block_bytes))
     laid = rows.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)).cast("int"))
 
-    def words(key, t):
+    def ask(key, t):
         seen: Counter = Counter()
         also: set = set()
         for i in range(0, t.num_rows, 256):
@@ -256,7 +278,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         w = [*seen, *also]
         return pa.table([pa.array([key[0].as_py()] * len(w), pa.int32()), pa.array(w, pa.binary()), pa.array([*seen.values(), *([0] * len(also))], pa.int64())], names=["block", "word", "c"])
 
-    asked = written(laid.groupBy("block").applyInArrow(words, "block int, word binary, c long"), "lm-words")
+    asked = written(laid.groupBy("block").applyInArrow(ask, "block int, word binary, c long"), "lm-words")
     counts = asked.groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0")
     counts = written(counts, "lm-counts")
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
@@ -264,11 +286,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     answers = asked.select("block", "word").join(counts, "word").select("block", "word", "c")
 
     def run(key, t, known):
-        count = dict(zip(known.column("word").to_pylist(), known.column("c").to_pylist(), strict=True))
+        words = Words.of(known.column("word").to_pylist(), known.column("c").to_numpy(), tree)
         parts = []
         for i in range(0, t.num_rows, 512):
             s = t.slice(i, 512)
-            parts.append(score_block(tree, [tokens(x) for x in s.column("text").to_pylist()], count, total, distinct))
+            parts.append(score_block(tree, [tokens(x) for x in s.column("text").to_pylist()], words, total, distinct))
         cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.array([])] * 4
         out = [t.column("id").combine_chunks(), t.column("learn").combine_chunks()]
         return pa.table([*out, *(pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=["id", "learn", "n_tokens", "n_known", "base_score", "score"])

@@ -262,9 +262,11 @@ def _verified(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, s
     are joined already and not compared.  Texts go to as many tiles as their group has blocks, and pairs never leave a tile.
     """
     several = members.groupBy("loose").agg(F.min("sure").alias("lo"), F.max("sure").alias("hi")).filter("lo <> hi").select("loose")
-    m = written(members.join(several, "loose"), "simhash-members")
+    # group tables are written, so that their joins have plain exchanges on either side and a large group can be split
+    m = written(members.join(written(several, "simhash-groups"), "loose"), "simhash-members")
     count = m.groupBy("loose", "sure").agg(F.count(F.lit(1)).alias("n"))
-    mixed = count.filter(F.col("n") < PART).groupBy("loose").agg(F.sum("n").alias("few"))
+    count = written(count, "simhash-counts")
+    mixed = written(count.filter(F.col("n") < PART).groupBy("loose").agg(F.sum("n").alias("few")), "simhash-mixed")
     h = F.xxhash64("rep")
     large = F.col("n") >= PART
     parts = lambda c: F.ceil(F.col(c) / PART)

@@ -14,7 +14,12 @@ def plain_tokens(text: Column) -> Column:
 
 
 def sorted_key(tokens: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
+    return F.array_join(F.sort_array(F.array_distinct(tokens)), " ")
+
+
+def digest_key(tokens: Column) -> Column:
+    """A key as short for long texts as for names; no tokens, no key."""
+    return F.when(F.size(tokens) > 0, F.md5(sorted_key(tokens))).otherwise(F.lit(""))
 
 
 def core(tokens: Column) -> Column:
@@ -25,7 +30,7 @@ def core(tokens: Column) -> Column:
 
 
 def legal_forms(tokens: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(tokens, lambda t: t.isin(*sorted(lx.LEGAL_TOKENS)))))
+    return F.sort_array(F.array_distinct(F.filter(tokens, lambda t: t.isin(*sorted(lx.LEGAL_TOKENS)))))
 
 
 def canonical(tokens: Column) -> Column:

@@ -12,7 +12,7 @@ SETS = {"nm": "n_core", "ad": "a_tokens", "st": "a_street", "num": "a_nums"}
 
 
 def token_set(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda t: t != "")))
+    return F.sort_array(F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda t: t != "")))
 
 
 def weighted_set(rows: DataFrame, tokens: str, idf: DataFrame, out: str, key: str = "id") -> DataFrame:

@@ -13,16 +13,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(s1, pool): documents with and without a label; country is the language, state the source, missing for src0."""
+    """(s1, pool): documents with and without a label; country is the language, state the source, missing for src0.
+
+    The key stands for all sorted tokens of a text by their digest, so that joins move no texts.
+    """
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id").distinct()
-    d = docs.select("doc_id", F.col("doc_id").alias("id"), F.col("lang").alias("country"), F.coalesce(F.nullif("source", F.lit("src0")), F.lit("")).alias("state"), native.sorted_key(native.plain_tokens(F.col("text"))).alias("n_key"))
+    d = docs.select("doc_id", F.col("doc_id").alias("id"), F.col("lang").alias("country"), F.coalesce(F.nullif("source", F.lit("src0")), F.lit("")).alias("state"), native.digest_key(native.plain_tokens(F.col("text"))).alias("n_key"))
+    d = d.persist()  # a few narrow columns that several joins read, dear to make from whole texts
     return d.join(labels, "doc_id", "left_semi").drop("doc_id"), d.join(labels, "doc_id", "left_anti").drop("doc_id")
 
 
 RECORDS_SQL = """
 d AS (
   SELECT doc_id AS id, lang AS country, coalesce(nullif(source, 'src0'), '') AS state,
-    array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[0-9a-z]+'))), ' ') AS n_key
+    CASE WHEN len(regexp_extract_all(lower(text), '[0-9a-z]+')) = 0 THEN '' ELSE md5(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[0-9a-z]+'))), ' ')) END AS n_key
   FROM documents
 ), s1 AS (SELECT * FROM d WHERE id IN (SELECT doc_id FROM labels)
 ), pool AS (SELECT * FROM d WHERE id NOT IN (SELECT doc_id FROM labels)

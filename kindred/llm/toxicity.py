@@ -2,7 +2,7 @@
 
 A logistic model on which words, and which beginnings of words, occur in a text: beginnings let it know an insult's
 other forms.  In every labelled text that names a group, the group's name is swapped for
-another of its kind, and the squared change of the score before the link is penalised: the model may not read toxicity
+another of its kind, and the squared change of the score before the link is penalised, by the word and by its beginnings: the model may not read toxicity
 from a neutral mention of a group, so weights of names in one kind are drawn together and towards what their use bears.
 
 The fit reads at most ``MAX_TRAIN`` labelled rows, those with the smallest hash of their id, and at most
@@ -17,6 +17,8 @@ repeated rows are scored each; an empty table gives no rows.  Extra columns are
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -63,8 +65,11 @@ class Model:
 def features(text: str | None) -> set[str]:
     """The words, and as ``abcd*`` the beginnings of PREFIXES characters of longer words."""
     found = set(b" ".join(words(text)).decode("utf-8", "surrogatepass").split())
-    starts = {f"{x}*" for n in PREFIXES for x in {w[:n] for w in found if len(w) > n}}
-    return found | starts
+    return found.union(*map(beginnings, found))
+
+
+def beginnings(word: str) -> list[str]:
+    return [f"{word[:n]}*" for n in PREFIXES if len(word) > n]
 
 
 def held_out(id_col: Column, folds: int = 5) -> Column:
@@ -76,25 +81,44 @@ def _dot(ptr: np.ndarray, idx: np.ndarray, w: np.ndarray) -> np.ndarray:
     return s[ptr[1:]] - s[ptr[:-1]]
 
 
-def fit_rows(rows: list[list[int]], y: np.ndarray, n: int, swaps: list[tuple[int, int]], l2: float = 1.0, fair: float = 20.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def swapped(found: list[str], other: dict[str, str]) -> list[tuple[list[str], list[str]]]:
+    """(what goes, what comes) among the ``features`` of a text when a name in it, each in turn, is replaced by its other."""
+    own = set(found)
+    names = own & other.keys()
+    if not names:
+        return []
+    at_stake = {s for x in names for s in beginnings(x)}
+    held = Counter(s for x in own if not x.endswith("*") and x[: PREFIXES[0]] + "*" in at_stake for s in beginnings(x))
+    out = []
+    for x in sorted(names):
+        y = other[x]
+        gone = [x, *(s for s in beginnings(x) if held[s] == 1 and s not in beginnings(y))]
+        out.append((gone, [s for s in (y, *beginnings(y)) if s not in own]))
+    return out
+
+
+def fit_rows(rows: list[list[int]], y: np.ndarray, n: int, swaps: list[tuple[list[int], list[int], int]], l2: float = 1.0, fair: float = 20.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise log loss + l2/2 |w|^2 + fair/2 * the swaps' squared changes of the logit.
 
-    rows: feature ids of each text; swaps: (name, the name put in its place), one for each labelled mention.  Newton
+    rows: feature ids of each text; swaps: (ids that go, ids that come, how many labelled mentions do so).  Newton
     steps take the diagonal of the curvature, damped by momentum.
     """
     ptr = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
     idx = np.fromiter((i for r in rows for i in r), np.int64, int(ptr[-1]))
     row = np.repeat(np.arange(len(rows)), np.diff(ptr))
-    a, b = (np.array([s[k] for s in swaps], np.int64) for k in (0, 1))
+    swap = np.fromiter((k for k, (gone, come, _) in enumerate(swaps) for _ in (*gone, *come)), np.int64)
+    moved = np.fromiter((i for gone, come, _ in swaps for i in (*gone, *come)), np.int64)
+    sign = np.fromiter((x for gone, come, _ in swaps for x in (*[1.0] * len(gone), *[-1.0] * len(come))), float)
+    times = np.array([t for _, _, t in swaps], float)
     w, bias = np.zeros(n), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     m1, m2, mb1, mb2 = np.zeros(n), np.zeros(n), 0.0, 0.0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(_dot(ptr, idx, w) + bias, -30, 30)))
         e = p - y
         g = np.bincount(idx, weights=e[row], minlength=n) + l2 * w
-        if len(a):
-            change = fair * (w[a] - w[b])
-            g += np.bincount(a, weights=change, minlength=n) - np.bincount(b, weights=change, minlength=n)
+        if len(swaps):
+            change = fair * times * np.bincount(swap, weights=sign * w[moved], minlength=len(swaps))
+            g += np.bincount(moved, weights=sign * change[swap], minlength=n)
         gb = e.sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         mb1, mb2 = 0.9 * mb1 + 0.1 * gb, 0.99 * mb2 + 0.01 * gb * gb
@@ -130,8 +154,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bare = found.select("k", "y").join(coded.select("k"), "k", "left_anti").groupBy("y").count().collect()  # texts without any of these words
     y = np.array([r[1] for r in rows] + [r["y"] for r in bare for _ in range(r["count"])], float)
     ids = [r[2] for r in rows] + [[] for r in bare for _ in range(r["count"])]
-    other = {place[x]: place[k[(j + 1) % len(k)]] for k in IDENTITY.values() for j, x in enumerate(k)}
-    swaps = [(i, other[i]) for r in ids for i in r if i in other]
+    other = {x: k[(j + 1) % len(k)] for k in IDENTITY.values() for j, x in enumerate(k)}
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = Counter()
+            for w in b.column(0).to_pylist():
+                total.update(tuple(tuple(sorted(place[x] for x in side if x in place)) for side in both) for both in swapped(w, other))
+            sides = [pa.array([s[k] for s in total], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*sides, pa.array([*total.values()], pa.int64())], names=["gone", "come", "c"])
+
+    mentions = found.select("w").mapInArrow(changes, "gone array<int>, come array<int>, c long").groupBy("gone", "come").agg(F.sum("c").alias("c"))  # a few for each name
+    swaps = sorted((r["gone"], r["come"], r["c"]) for r in mentions.collect())
     w, bias = fit_rows(ids, y, len(place), swaps, fair=fair)
     return Model({x: float(w[i]) for x, i in place.items() if abs(w[i]) > 1e-6}, bias)
 

@@ -114,6 +114,27 @@ def test_swapped_names_score_alike(spark):
     assert gap(fair) < 0.2 * gap(free) and fair.logit("awful scum") > 0 > fair.logit("kind folk")
 
 
+def test_swaps_change_whole_feature_sets(spark):
+    """What a swap is penalised for is what it changes of a text's features, beginnings included."""
+    other = {x: k[(j + 1) % len(k)] for k in toxicity.IDENTITY.values() for j, x in enumerate(k)}
+    for text in ("muslims filler text", "the muslims and muslim folk", "immigrants met immigration refugees", "old man and young girl", "american africans african americana", "nobody named"):
+        want = []
+        for x in sorted(set(text.split()) & other.keys()):
+            after = toxicity.features(" ".join(other[x] if w == x else w for w in text.split()))
+            want.append((toxicity.features(text) - after, after - toxicity.features(text)))
+        assert [(set(a), set(b)) for a, b in toxicity.swapped(sorted(toxicity.features(text)), other)] == want
+    # all weight can flow to beginnings: the fit must close the gap of the whole swap, not of the word alone
+    ids = {x: i for i, x in enumerate(sorted(toxicity.features("muslims christians scum folk")))}
+    texts = [("muslims scum", 1), ("christians folk", 0)] * 100 + [("scum", 1), ("folk", 0)] * 50
+    rows = [sorted(ids[x] for x in toxicity.features(t)) for t, _ in texts]
+    moves = Counter(tuple(tuple(ids[x] for x in side if x in ids) for side in both) for t, _ in texts for both in toxicity.swapped(sorted(toxicity.features(t)), {"muslims": "christians", "christians": "muslims"}))
+    gap = {}
+    for fair in (0.0, 20.0):
+        w, _ = toxicity.fit_rows(rows, np.array([y for _, y in texts], float), len(ids), [(list(a), list(b), c) for (a, b), c in moves.items()], fair=fair)
+        gap[fair] = abs(sum(w[ids[x]] for x in toxicity.features("muslims")) - sum(w[ids[x]] for x in toxicity.features("christians")))
+    assert gap[20.0] < 0.2 * gap[0.0]
+
+
 def test_quality_ablations(spark, sf):
     led = quality_rules.ledger(table(spark, sf, "documents"))
     bits = [r["fail_bits"] for r in led.collect()]

@@ -72,6 +72,16 @@ def beginnings(word: str) -> list[str]:
     return [f"{word[:n]}*" for n in PREFIXES if len(word) > n]
 
 
+def with_starts(found: DataFrame) -> DataFrame:
+    """found with the beginnings of its words in w as well: the column's ``features``."""
+
+    def starts(n: int) -> Column:
+        # lambdas of one parameter: a second one would be given the index
+        return F.transform(F.filter("w", lambda x: F.char_length(x) > n), lambda x: F.concat(F.substring(x, 1, n), F.lit("*")))
+
+    return found.withColumn("w", F.array_distinct(F.concat("w", *[starts(n) for n in PREFIXES])))
+
+
 def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
@@ -133,9 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("k IS NOT NULL AND y IS NOT NULL")
     marks = marks.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_train)
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(marks), "k")  # at most max_train rows
-    found = texts.select("y", F.array_distinct(words_of(ascii_lower(F.col("t")), ALNUM_WORD)).alias("w"))
-    starts = [F.transform(F.filter("w", lambda x, n=n: F.char_length(x) > n), lambda x, n=n: F.concat(F.substring(x, 1, n), F.lit("*"))) for n in PREFIXES]
-    found = found.select("y", F.array_distinct(F.concat("w", *starts)).alias("w"))
+    found = with_starts(texts.select("y", F.array_distinct(words_of(ascii_lower(F.col("t")), ALNUM_WORD)).alias("w")))
     found = found.groupBy(F.xxhash64("w").alias("k")).agg(F.max("y").alias("y"), F.first("w").alias("w"))
     found = written(found, "toxicity-train")
     n, pos = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()

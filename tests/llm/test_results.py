@@ -11,10 +11,11 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kindred.llm import decontamination, licenses, mixing, quality_rules, registry, sharding, simhash, suffix_dedup, suffix_tree, toxicity, warc
-from kindred.llm.common import table
+from kindred.llm.common import ALNUM_WORD, ascii_lower, table, words_of
 from kindred.llm.components import components
 from tests.oracle import same_rows
 
@@ -103,6 +104,16 @@ def test_toxicity_held_out(spark):
     assert np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.96
 
 
+def test_fit_learns_the_features_that_are_scored(spark):
+    """The beginnings of all words of a text, at their own lengths."""
+    text = " ".join(f"{x}ingness{i}" for i, x in enumerate(("alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel", "india", "juliet", "kilo", "lima", "mike", "November", "été"))) + " four fiver sixsix"
+    got = toxicity.with_starts(spark.createDataFrame([(text,)], "t string").select(F.array_distinct(words_of(ascii_lower(F.col("t")), ALNUM_WORD)).alias("w"))).first()["w"]
+    assert set(got) == toxicity.features(text) and len(got) == len(set(got))
+    rows = [(i, f"{' '.join(f'pad{i % 9}x{k}' for k in range(12))} {'rottenness' if i % 2 else 'pleasantry'}") for i in range(60)]
+    m = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    assert m.logit("rottenest") > 0 > m.logit("pleasantly")  # forms never seen, named after the tenth word
+
+
 def test_swapped_names_score_alike(spark):
     """In these labels toxic texts name one group and clean ones another; the penalty keeps that out of the score."""
     rows = [(i, f"{'muslims' if i % 2 else 'christians'} {'awful scum' if i % 2 else 'kind folk'} filler{i % 7} text") for i in range(200)]

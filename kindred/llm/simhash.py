@@ -7,10 +7,11 @@ of a fingerprint, and cells whose counts differ by more than the radius in all a
 bit counts no longer separate, a cell is a band of text lengths, and bands whose lengths bar the similarity are
 skipped.  Inside a tile, rows are ordered by bit count (or length), and the same bounds cut the stripes to compare.
 
-Where a similarity is asked for, a pair within ``sure`` bits is linked. Groups that the radius joins but ``sure`` does not
-are compared again, in tiles of a few texts, by the Jaccard similarity of their shingle sets, which then decides.
+Where a similarity is asked for, fingerprints and lengths count each shingle of a text once, the radius follows from the
+two lengths (``limits``). A pair within ``sure`` bits is linked; groups that the radius joins but ``sure`` does not are
+compared again, in tiles of a few texts, by the Jaccard similarity of their shingle sets, which then decides.
 
-Equal fingerprints are one row throughout.  Cells are dealt out in blocks of bounded size, so a hot cell is many
+Equal fingerprints (with a similarity: of equal shingle sets) are one row throughout.  Cells are dealt out in blocks of bounded size, so a hot cell is many
 tiles; a tile returns a star for each of its components instead of all pairs, and components are joined up by
 ``kindred.llm.components``.  Only the counts of cells reach the driver, at most 17 ** 4 of them.
 
@@ -23,7 +24,9 @@ than id and text are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import product
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,8 @@ STRIPE = 256
 PART = 64
 #: Growth of text length from one band to the next, for large radii.
 BAND = 1.34
+#: Chance that a pair at exactly the similarity asked for is not compared, and the length from which radii are alike.
+LOSS, ALIKE = 1e-6, 128
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
@@ -79,16 +84,58 @@ def majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, lanes: int = 1) -> DataFrame:
-    """id, n (shingles, one at least) and f0, f1, ... (64 bits each, as signed longs)."""
+@cache
+def limits(similarity: float, bits: int) -> np.ndarray:
+    """[a, b]: the bits in which texts of a and b shingles at that Jaccard similarity can differ; -1 where lengths bar it.
+
+    With i shingles shared, a bit differs where the majorities of Bin(i) + Bin(a - i) and Bin(i) + Bin(b - i) do, each
+    bit independently; the limit leaves a chance of LOSS beyond.  Index ALIKE stands for all lengths from there on.
+    """
+    pmf = lambda k: np.array([comb(k, x) / 2**k for x in range(k + 1)])
+
+    def above(k: int, own: int, x: np.ndarray) -> np.ndarray:
+        """P(2 (x + Bin(own)) > k)."""
+        tail = np.concatenate((np.cumsum(pmf(own)[::-1])[::-1], [0.0]))  # P(Bin >= j)
+        return tail[np.clip(k // 2 - x + 1, 0, own + 1)]
+
+    def most(p: float) -> int:
+        left, r = 1.0, -1
+        while left > LOSS and r < bits:
+            r += 1
+            left -= comb(bits, r) * p**r * (1 - p) ** (bits - r)
+        return r
+
+    out = np.full((ALIKE + 1, ALIKE + 1), -1, np.int64)
+    for a in range(1, ALIKE + 1):
+        for b in range(a, ALIKE + 1):
+            i = ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if i <= a:
+                x = np.arange(i + 1)
+                pa, pb = above(a, a - i, x), above(b, b - i, x)
+                out[a, b] = out[b, a] = most(float((pmf(i) * (pa * (1 - pb) + pb * (1 - pa))).sum()))
+    far = out[ALIKE // 2 :, ALIKE // 2 :].max()  # longer texts differ in fewer bits
+    near = np.arange(ALIKE + 1) >= int(similarity * ALIKE)
+    out[ALIKE, near] = out[near, ALIKE] = far
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """id, n (shingles, one at least) and f0, f1, ... (64 bits each, as signed longs).
+
+    With distinct each shingle of a text counts once, and a column s tells shingle sets apart.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     names = [f"f{k}" for k in range(lanes)]
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         hashes = [shingle_hashes(t, shingle) for t in b.column(1).to_pylist()]
+        hashes = [np.unique(h) for h in hashes] if distinct else hashes
         cols = [pa.array(np.array([majority(_mixed(h, k)) for h in hashes], np.uint64).view(np.int64)) for k in range(lanes)]
+        if distinct:
+            cols.append(pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes], np.uint64).view(np.int64)))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([max(1, len(h)) for h in hashes], pa.int64()), *cols], names=["id", "n", *names])
 
+    names = [*names, "s"] if distinct else names
     return by_slices(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), f, f"id {kind}, n long, " + ", ".join(f"{x} long" for x in names))
 
 
@@ -113,16 +160,17 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def compare(own: np.ndarray, other: np.ndarray, own_key: np.ndarray, other_key: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index pairs (own, other) at ``radius`` bits or fewer, and their bits.  Both sides are ordered by key; low and high bound the keys that an own row can meet."""
     lanes = own.shape[1]
+    dense = min(lanes, 2) if radius <= 56 else lanes  # two lanes of unlike texts differ in 64 bits
     for i in range(0, len(own), STRIPE):
         j0, j1 = np.searchsorted(other_key, low[i : i + STRIPE].min(), "left"), np.searchsorted(other_key, high[i : i + STRIPE].max(), "right")
         for j in range(j0, j1, 8192):
             x, y = own[i : i + STRIPE], other[j : min(j + 8192, j1)]
             d = np.bitwise_count(x[:, 0, None] ^ y[None, :, 0])
-            if lanes > 1:
-                d = d + np.bitwise_count(x[:, 1, None] ^ y[None, :, 1])
+            for k in range(1, dense):
+                d = np.add(d, np.bitwise_count(x[:, k, None] ^ y[None, :, k]), dtype=np.uint8 if k < 3 else np.uint16)
             a, b = np.nonzero(d <= radius)
             bits = d[a, b].astype(np.int64)
-            for k in range(2, lanes):  # the other lanes only where the first two leave room
+            for k in range(dense, lanes):  # the other lanes only where the first two leave room
                 bits = bits + np.bitwise_count(x[a, k] ^ y[b, k])
                 near = bits <= radius
                 a, b, bits = a[near], b[near], bits[near]
@@ -144,9 +192,11 @@ def _cells(f0: str, radius: int) -> tuple:
     return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long"), lambda c: [c - 1, c, c + 1]
 
 
-def links(reps: DataFrame, radius: int, lanes: int = 1, sure: int | None = None) -> DataFrame:
-    """a, b, sure: stars that join all of reps (rep, n, f0, ...; different fingerprints) within the radius, tile by tile,
-    and with ``sure`` also those that join them within ``sure`` bits alone, marked so."""
+def links(reps: DataFrame, radius: int, lanes: int = 1, sure: int | None = None, limit: np.ndarray | None = None) -> DataFrame:
+    """a, b, sure: stars that join all of reps (rep, n, f0, ...) within the radius, tile by tile, and with ``sure`` also
+    those that join them within ``sure`` bits alone, marked so; with ``limit`` the radius is that of a pair's lengths."""
+    if limit is not None:
+        radius = max(radius, int(limit.max()))
     spark, fs = reps.sparkSession, [f"f{k}" for k in range(lanes)]
     cell, near = _cells("f0", radius)
     reps = reps.withColumn("cell", cell)
@@ -186,7 +236,7 @@ def links(reps: DataFrame, radius: int, lanes: int = 1, sure: int | None = None)
         f = np.stack([t.column(x).to_numpy() for x in fs], axis=1).view(np.uint64)
         key = n if banded else np.bitwise_count(f).astype(np.int64).sum(axis=1)
         order = np.lexsort((rep, key, ~home, tile))
-        tile, home, rep, key, f = (x[order] for x in (tile, home, rep, key, f))
+        tile, home, rep, key, n, f = (x[order] for x in (tile, home, rep, key, n, f))
         cuts = np.flatnonzero(np.diff(tile)) + 1
         for s, e in zip([0, *cuts], [*cuts, len(tile)], strict=True):
             h = s + int(home[s:e].sum())
@@ -207,6 +257,9 @@ def links(reps: DataFrame, radius: int, lanes: int = 1, sure: int | None = None)
             sides = [(other, h - s)] + ([(own, 0)] if first[int(tile[s])] else [])
             for side, shift in sides:
                 for x, y, bits in compare(f[own], f[side], key[own], key[side], low, high, radius):
+                    if limit is not None:
+                        fits = bits <= limit[np.minimum(n[own][x], ALIKE), np.minimum(n[side][y], ALIKE)]
+                        x, y, bits = x[fits], y[fits], bits[fits]
                     joined[False].append((x, y + shift))
                     if sure is not None:
                         joined[True].append((x[bits <= sure], y[bits <= sure] + shift))
@@ -305,27 +358,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n, f0, ..., component: the smallest id that can be reached by links.
 
     Links are pairs of ``radius`` bits or fewer; with a similarity, pairs of ``sure`` bits or fewer, and of the others
-    within the radius (or joined by such pairs) those whose shingle sets reach it.
+    joined by ``radius`` bits, or what ``limits`` says where that is more, those whose shingle sets reach it.
     """
     fs = [f"f{k}" for k in range(lanes)]
-    prints = written(fingerprints(docs, id_col, text_col, shingle, lanes), "simhash")
-    # one row a fingerprint; with a large radius equal fingerprints of texts of another length stay apart until linked
-    reps = written(prints.filter("id IS NOT NULL").groupBy(*fs).agg(F.min("id").alias("rep"), F.min("n").alias("n")), "simhash-reps")
+    one = fs if similarity is None else [*fs, "s"]
+    prints = written(fingerprints(docs, id_col, text_col, shingle, lanes, similarity is not None), "simhash")
+    # one row a fingerprint; with a similarity, a row a shingle set
+    reps = written(prints.filter("id IS NOT NULL").groupBy(*one).agg(F.min("id").alias("rep"), F.min("n").alias("n")), "simhash-reps")
     if similarity is None:
         comp = components(links(reps, radius, lanes))
     else:
-        found = written(links(reps, radius, lanes, sure), "simhash-links")
+        limit = limits(similarity, 64 * lanes)
+        found = written(links(reps, radius, lanes, sure, np.where(limit < 0, limit, np.maximum(limit, radius))), "simhash-links")
         certain = found.filter("sure").select("a", "b")
         named = lambda d, c: written(components(d), c).select(F.col("node").alias("rep"), F.col("component").alias(c))
         members = named(found, "loose").join(named(certain, "sure"), "rep", "left").select("rep", "loose", F.coalesce("sure", "rep").alias("sure"))
         comp = components(certain.unionByName(_verified(members, docs, id_col, text_col, shingle, similarity)))
-    named = reps.join(comp, F.col("rep") == F.col("node"), "left").select(*fs, F.coalesce("component", "rep").alias("component"))
-    out = prints.join(named, fs, "left")
+    named = reps.join(comp, F.col("rep") == F.col("node"), "left").select(*one, F.coalesce("component", "rep").alias("component"))
+    out = prints.join(named, one, "left")
     return out.select("id", "n", *fs, F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
 #: Of 256 bits.  A shingle vector at cosine c differs in arccos(c) / pi of the bits: texts that share 0.8 of their shingles
-#: (Jaccard) in 39 of them, with a standard deviation of 6.  Within SURE no verification is needed, beyond RADIUS none helps.
+#: (Jaccard) in 39 of them, with a standard deviation of 6.  Within SURE no verification is needed; RADIUS is the least radius.
 SURE, RADIUS, LANES = 24, 52, 4
 
 

@@ -84,6 +84,34 @@ def test_small_blocks_give_the_same(spark, sf, monkeypatch):
             assert {r["id"]: r["component"] for r in simhash.near_duplicates(d, **args).collect()} == want
 
 
+def plain_jaccard(rows, shingle=5, similarity=0.8):
+    """Component of each id, from all pairs of shingle sets, without fingerprints or bounds."""
+    sets = {i: {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if (w := t.lower().split()) else set() for i, t in rows}
+    ids = sorted(sets)
+    return linked(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])])
+
+
+def keep_one_keeps(spark, rows):
+    return {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_near_copies_are_not_lost(spark):
+    """A line stated some times more, and texts of a few words: what plain Jaccard links, the stage links."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    rows = []
+    for i in range(0, 60, 2):
+        line, own = words(14), words(190 + 4 * i)
+        rows += [(i, f"{own} {line}"), (i + 1, f"{own} {line}" + f" {line}" * (3 + i % 4))]
+    for i in range(100, 220, 2):
+        t = words(8 + i % 3)
+        rows += [(i, t), (i + 1, f"{t} {words(1)}")]
+    rows += [(300 + i, t) for i, t in enumerate(("", "  ", "a", "a b", "a b c d e", "a b c d e f"))]
+    want = plain_jaccard(rows)
+    assert sum(want[i] == i for i, _ in rows) < len(rows) - 60
+    assert keep_one_keeps(spark, rows) == {i for i in want if want[i] == i}
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]

@@ -8,8 +8,8 @@ bit counts no longer separate, a cell is a band of text lengths, and bands whose
 skipped.  Inside a tile, rows are ordered by bit count (or length), and the same bounds cut the stripes to compare.
 
 Where a similarity is asked for, fingerprints and lengths count each shingle of a text once, the radius follows from the
-two lengths (``limits``). A pair within ``sure`` bits is linked; groups that the radius joins but ``sure`` does not are
-compared again, in tiles of a few texts, by the Jaccard similarity of their shingle sets, which then decides.
+two lengths (``limits``), and the Jaccard similarity of the shingle sets decides every link: groups that ``sure`` bits join
+are compared in tiles of a few texts, each with the group's first, and then what the radius joins and these links do not.
 
 Equal fingerprints (with a similarity: of equal shingle sets) are one row throughout.  Cells are dealt out in blocks of bounded size, so a hot cell is many
 tiles; a tile returns a star for each of its components instead of all pairs, and components are joined up by
@@ -308,8 +308,19 @@ def _similar(texts: list[str | None], shingle: int, similarity: float) -> tuple[
     return np.nonzero(np.triu((both >= similarity * union) | (union == 0), 1))
 
 
-def _verified(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """a, b: stars that join members (rep, loose, sure) whose texts are similar enough, within each loose group.
+def _centred(members: DataFrame) -> DataFrame:
+    """tile, rep: members (rep, loose, sure) by their sure component, up to PART in a tile, each tile with the component's first."""
+    count = members.groupBy("sure").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    count = written(count, "simhash-sizes")  # plain exchanges on either side of the join
+    m = members.join(count, "sure")
+    m = m.select("sure", "rep", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / PART)).alias("part"))
+    m = written(m, "simhash-stars")
+    tile = F.xxhash64("sure", "part").alias("tile")
+    return m.select(tile, "rep").unionByName(m.select("sure", "part").distinct().select(tile, F.col("sure").alias("rep"))).distinct()
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """tile, rep: members (rep, loose, sure) so that any two of a loose group and of different sure components meet in a tile.
 
     A group of several sure components meets in tiles of two blocks of up to PART texts; blocks within one sure component
     are joined already and not compared.  Texts go to as many tiles as their group has blocks, and pairs never leave a tile.
@@ -330,11 +341,17 @@ def _verified(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, s
     tiles = blocks.join(other, "loose").filter((F.col("block") <= F.col("block2")) & ~F.coalesce(F.col("of") == F.col("of2"), F.lit(False)))
     tile = F.xxhash64("loose", "block", "block2")
     rooms = tiles.select(tile.alias("tile"), "loose", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    return m.select("rep", "loose", "block").join(rooms, ["loose", "block"]).select("tile", "rep")
+
+
+def _verified(rooms: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """a, b: stars that join those of rooms (tile, rep) whose texts are similar enough, within each tile."""
+    rooms = written(rooms, "simhash-rooms")
+    wanted = rooms.select("rep").distinct()
+    few = rooms.count() <= 200_000
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rep"), F.col(text_col).alias("t"))
-    few = m.count() <= 200_000
-    wanted = m.select("rep").distinct()
     texts = written(texts.join(F.broadcast(wanted) if few else wanted, "rep", "left_semi").groupBy("rep").agg(F.min("t").alias("t")), "simhash-texts")  # of texts with one id the least stands for it
-    kind = members.schema["rep"].dataType.simpleString()
+    kind = rooms.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -351,14 +368,14 @@ def _verified(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, s
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[rows][out]), pa.array(rep[rows][star[out]])], names=["a", "b"])
 
-    return m.select("rep", "loose", "block").join(rooms, ["loose", "block"]).select("tile", "rep").join(texts, "rep").repartition("tile").mapInArrow(run, f"a {kind}, b {kind}")
+    return rooms.join(texts, "rep").repartition("tile").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, lanes: int = 1, sure: int | None = None, similarity: float | None = None) -> DataFrame:
     """id, n, f0, ..., component: the smallest id that can be reached by links.
 
-    Links are pairs of ``radius`` bits or fewer; with a similarity, pairs of ``sure`` bits or fewer, and of the others
-    joined by ``radius`` bits, or what ``limits`` says where that is more, those whose shingle sets reach it.
+    Links are pairs of ``radius`` bits or fewer; with a similarity, pairs whose shingle sets reach it, of those that
+    ``radius`` bits, or what ``limits`` says where that is more, join.
     """
     fs = [f"f{k}" for k in range(lanes)]
     one = fs if similarity is None else [*fs, "s"]
@@ -370,17 +387,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         limit = limits(similarity, 64 * lanes)
         found = written(links(reps, radius, lanes, sure, np.where(limit < 0, limit, np.maximum(limit, radius))), "simhash-links")
-        certain = found.filter("sure").select("a", "b")
         named = lambda d, c: written(components(d), c).select(F.col("node").alias("rep"), F.col("component").alias(c))
-        members = named(found, "loose").join(named(certain, "sure"), "rep", "left").select("rep", "loose", F.coalesce("sure", "rep").alias("sure"))
-        comp = components(certain.unionByName(_verified(members, docs, id_col, text_col, shingle, similarity)))
+        loose = named(found, "loose")
+        within = lambda c: loose.join(c, "rep", "left").select("rep", "loose", F.coalesce("sure", "rep").alias("sure"))
+        alike = lambda rooms: written(_verified(rooms, docs, id_col, text_col, shingle, similarity), "simhash-alike")
+        # near ones against the first of their component; then all that is not joined by that
+        certain = alike(_centred(written(within(named(found.filter("sure").select("a", "b"), "sure")), "simhash-near")))
+        comp = components(certain.unionByName(alike(_blocks(written(within(named(certain, "sure")), "simhash-loose")))))
     named = reps.join(comp, F.col("rep") == F.col("node"), "left").select(*one, F.coalesce("component", "rep").alias("component"))
     out = prints.join(named, one, "left")
     return out.select("id", "n", *fs, F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
 #: Of 256 bits.  A shingle vector at cosine c differs in arccos(c) / pi of the bits: texts that share 0.8 of their shingles
-#: (Jaccard) in 39 of them, with a standard deviation of 6.  Within SURE no verification is needed; RADIUS is the least radius.
+#: (Jaccard) in 39 of them, with a standard deviation of 6.  Pairs within SURE are verified first; RADIUS is the least radius.
 SURE, RADIUS, LANES = 24, 52, 4
 
 

@@ -112,6 +112,22 @@ def test_near_copies_are_not_lost(spark):
     assert keep_one_keeps(spark, rows) == {i for i in want if want[i] == i}
 
 
+def test_shared_boilerplate_is_no_near_copy(spark):
+    """One line stated often on either side brings fingerprints together, not shingle sets."""
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    line = words(14)
+    rows = [(i, words(150) + f" {line}" * 40) for i in range(12)] + [(20 + i, words(40) + f" {line}" * 20) for i in range(12)]
+    assert set(plain_jaccard(rows).values()) == {i for i, _ in rows}
+    assert keep_one_keeps(spark, rows) == {i for i, _ in rows}
+    # a chain within SURE bits of one another, and of the first, is judged text by text
+    base = words(400).split()
+    rows = [(i, " ".join(base[9 * i : 9 * i + 300])) for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash.near_duplicates(d, shingle=5, radius=simhash.RADIUS, lanes=4, sure=256, similarity=0.99).collect()}
+    assert got == plain_jaccard(rows, similarity=0.99) == {i: i for i, _ in rows}
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]

@@ -8,6 +8,8 @@ line is walked at most ``max_repeats`` times.
 
 Hot sources: ranks and offsets are prefix sums in two levels (per chunk of slots, per hash bucket of documents), so
 no task holds a whole source.  The schedule has at most ``slots`` slots whatever the input's size; B grows instead.
+The sequence meets a target to within two blocks or so; therefore, where B is over one word, sources of fewer than FEW blocks are
+not left to it: they take their target to the word, in blocks spread evenly over the slots beside what those have, the last block cut short.
 
 Defined results: a null text has size 0 and gives no words; null sources form one source, last in order; null ids
 are shuffled like the empty string; repeated rows are laid out and taken one by one; ties in the shuffle are broken by
@@ -28,6 +30,8 @@ GOLDEN = 0.6180339887498949
 BROADCAST_SOURCES = 20_000
 CELLS = 4096
 CHUNK = 4096
+#: Blocks of a target below which a source takes it exactly; from here on two blocks, by which the sequence can err, are a twentieth.
+FEW = 40
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -69,18 +73,26 @@ def targets(sizes: DataFrame, share: float = 1.5, max_repeats: int = 2, weights:
 
 
 def schedule(of: DataFrame, total: float, block: int, small: bool) -> DataFrame:
-    """slot, src, k: which source fills each slot, and with which of its blocks."""
+    """slot, src, k, end: which source fills each slot, and with which of its blocks; end is where the source's last is cut."""
     n = int(-(-total // block)) if total > 0 else 0
+    few = (F.col("target") < FEW * block) if block > 1 else F.lit(False)
     x = (F.col("id") + 0.5) * GOLDEN
     points = of.sparkSession.range(n).select(F.col("id").alias("slot"), (x - F.floor(x)).alias("x"))
     points = points.withColumn("cell", F.floor(F.col("x") * CELLS))
-    spans = of.filter("target > 0").select("src", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS))).alias("cell"))
+    spans = of.filter("target > 0").filter(~few).select("src", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS))).alias("cell"))
     placed = points.join(F.broadcast(spans) if small else spans, "cell").filter("x >= lo AND x < hi").select("slot", "src", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     counts = placed.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("src", "chunk", F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("start"))
     nth = F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot"))
-    return placed.select("*", nth.alias("nth")).join(starts, ["src", "chunk"]).select("slot", "src", (F.col("start") + F.col("nth") - 1).alias("k"))
+    plan = placed.select("*", nth.alias("nth")).join(starts, ["src", "chunk"]).select("slot", "src", (F.col("start") + F.col("nth") - 1).alias("k"), F.lit(None).cast("long").alias("end"))
+    if block == 1:
+        return plan
+    end = F.floor(F.col("target") + 0.5)
+    rest = of.filter("target > 0").filter(few).select("src", end.alias("end")).filter("end > 0").withColumn("m", F.ceil(F.col("end") / block))
+    rest = rest.select("src", "m", "end", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("k"))
+    at = F.col("k") / F.col("m") + F.crc32(F.col("src").cast("binary")) / float(1 << 32)  # each source's own start
+    return plan.unionByName(rest.select(F.least(F.floor((at - F.floor(at)) * n), F.lit(n - 1)).cast("long").alias("slot"), "src", "k", "end"))
 
 
 def lines(sizes: DataFrame) -> DataFrame:
@@ -96,7 +108,7 @@ def lines(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS, slots: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, schedule, pieces).
 
-    documents: id, src, size, source_size, target, taken.  schedule: slot, src, k.  pieces: slot, id, src, o, words and
+    documents: id, src, size, source_size, target, taken.  schedule: slot, src, k, end.  pieces: slot, id, src, o, words and
     repeat (0 for a document's first walk): what each slot takes from which document.
     """
     sizes = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
@@ -111,9 +123,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         laid.select("*", F.explode(F.array(*[F.lit(i).cast("long") for i in range(max_repeats)])).alias("repeat"))
         .withColumn("at", at)
         .withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
-        .withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("k") + 1) * block) - F.greatest(F.col("at"), F.col("k") * block))
     )
-    pieces = cut.join(plan, ["src", "k"]).select("slot", "id", "src", "o", "words", "repeat")
+    words = F.least(F.col("at") + F.col("size"), (F.col("k") + 1) * block, F.col("end")) - F.greatest(F.col("at"), F.col("k") * block)  # a null end does not count
+    pieces = cut.join(plan, ["src", "k"]).withColumn("words", words).filter("words > 0").select("slot", "id", "src", "o", "words", "repeat")
     took = pieces.groupBy("src", "o").agg(F.sum("words").alias("taken"))  # (src, o) names a document with words
     out = laid.join(took, ["src", "o"], "left").select("id", "src", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     out = out.unionByName(sizes.filter("size = 0").select("id", "src", "size", F.lit(0).cast("long").alias("taken")))

@@ -381,6 +381,22 @@ def test_schedule_is_even(spark, sf):
     assert all(r[1] <= block for r in pieces.groupBy("slot").agg({"words": "sum"}).collect())
 
 
+def test_small_sources_get_their_words(spark):
+    """Sources whose target is a part of a block, or a few blocks, beside a large one."""
+    rows = [(i, "w " * 100, "large") for i in range(400)]
+    rows += [(1000 + i, "w " * (1 + i % 9), f"s{i % 60:02d}") for i in range(240)]
+    docs, plan, pieces = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), slots=500)
+    of = {}
+    for r in docs.collect():
+        assert r["taken"] <= 2 * r["size"]
+        of.setdefault(r["src"], [0, r["target"]])[0] += r["taken"]
+    block = -(-int(sum(t for _, t in of.values())) // 500)
+    assert block > 50 and sum(t < 1.5 * block for _, t in of.values()) == 60
+    assert all(abs(taken - t) <= (0.51 if s != "0large" else 4 * block) for s, (taken, t) in of.items())
+    assert pieces.agg({"words": "sum"}).first()[0] == sum(t for t, _ in of.values())
+    assert {r["slot"] for r in plan.collect()} <= set(range(500))
+
+
 def test_pipeline(spark, sf):
     """Each stage, on its own input, against plain Python."""
     docs = table(spark, sf, "documents")

@@ -17,7 +17,7 @@ PLACES = {
     "US": (("Euclid", "OH"), ("Peoria", "IL"), ("Columbus", "OH"), ("Austin", "TX"), ("Salem", "OR"), ("Tampa", "FL")),
     "India": (("Lucknow", "Uttar Pradesh"), ("Bangalore", "Karnataka"), ("Pune", "Maharashtra"), ("Jaipur", "Rajasthan"), ("Patna", "Bihar")),
 }
-#: Chances of 0, 1, 2, ... matches of a record.
+#: Weights of 0, 1, 2, ... matches of a record.
 MATCHES = (5.6, 5.4, 17.0, 24.0, 22.0, 14.6, 7.5, 2.9, 0.9, 0.2)
 
 

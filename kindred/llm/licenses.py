@@ -3,10 +3,13 @@
 A text's words, joined by single spaces, run through one automaton that holds all notice phrases and the words of
 identifier tags.  A tag's expression (``A OR B AND C WITH d``) is read from the raw line behind it, brought into
 postfix order by precedence (WITH over AND over OR, brackets first) and evaluated against a set of allowed licences.
+A tag's line may go on behind the expression (a comment's end, code, prose): the expression is the longest start of it
+that is well-formed and names licences alone, by ``IDENTIFIER``, ``REFERENCE`` and, behind WITH, ``EXCEPTION``.
 
-Defined results: a null or empty text has no words and no labels; very long texts are scanned whole; a malformed
-expression still gives the identifiers it names, and evaluates to null; repeated rows get a row each; an empty table
-gives no rows; a null id is kept; columns other than id and text are ignored, whatever their names.
+Defined results: a null or empty text has no words and no labels; very long texts are scanned whole; a tag without a
+well-formed start gives the known identifiers that stand before the first other word, and evaluates to null; several
+tags of a text must all be met to be allowed; repeated rows get a row each; an empty table gives no rows; a null id is
+kept; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,8 +49,18 @@ ALLOWED = frozenset({"mit", "apache-2.0", "apache-2", "bsd-2-clause", "bsd-3-cla
 _GAPS = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _TO_SPACE = bytes.maketrans(_GAPS, b" " * len(_GAPS))
 _TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9.+:-]+)")
 _POWER = {"OR": 1, "AND": 2, "WITH": 3}
+#: Identifiers of the SPDX list by family; references to texts outside of it; names of exceptions.
+IDENTIFIER = re.compile(
+    r"(?:mit(?:-0|-cmu|-modern-variant)?|isc|zlib|unlicense|wtfpl|ncsa|x11|curl|libpng(?:-2\.0)?|openssl|postgresql|ruby|vim|w3c|beerware|json|sleepycat"
+    r"|0bsd|bsd-[1234]-clause(?:-[a-z-]+)?|bsl-1\.0|busl-1\.1|sspl-1\.0|ms-(?:pl|rl)|(?:psf|python|artistic|zpl|ofl|odbl|odc-by|pddl|upl|hpnd|cecill(?:-[bc])?|ecl|nasa|php|qpl|rpl|tcl)(?:-[0-9.]+)?"
+    r"|apache(?:-2|-[0-9]+\.[0-9]+)|(?:a|l)?gpl-[0-9]+(?:\.[0-9]+)?(?:-only|-or-later)?|gfdl-[0-9]+\.[0-9]+(?:-only|-or-later)?"
+    r"|(?:mpl|epl|eupl|cddl|cpl|afl|osl|lppl|ipl|apsl|cpal|npl|spl)-[0-9]+(?:\.[0-9]+)?[a-z]?(?:-no-copyleft-exception)?|cc0-1\.0|cc-by(?:-nc|-sa|-nd)*-[0-9]\.[0-9](?:-[a-z]+)?)\+?",
+    re.IGNORECASE,
+)
+REFERENCE = re.compile(r"(?:documentref-[a-z0-9.-]+:)?(?:licenseref|additionref)-[a-z0-9.-]+", re.IGNORECASE)
+EXCEPTION = re.compile(r"[a-z0-9.-]*(?:exception|syscall-note)[a-z0-9.-]*", re.IGNORECASE)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -55,55 +68,63 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TO_SPACE).split()
 
 
-def postfix(expression: str) -> list[str] | None:
-    """The expression in postfix order; None where it is malformed.
+def parse(line: str) -> tuple[list[str], str, list[str]]:
+    """(postfix order of the expression that the line starts with, its text, licences and exceptions it names).
+
+    Without a well-formed start the order is empty, and the names are those before the first word that is none.
 
-    >>> postfix("MIT OR GPL-2.0 WITH x AND (A OR B)")
-    ['MIT', 'GPL-2.0', 'x', 'WITH', 'A', 'B', 'OR', 'AND', 'OR']
+    >>> parse("MIT OR GPL-2.0-only WITH x-exception AND (0BSD OR ISC) */ int main")[0]
+    ['MIT', 'GPL-2.0-only', 'x-exception', 'WITH', '0BSD', 'ISC', 'OR', 'AND', 'OR']
     """
     out: list[str] = []
     held: list[str] = []
-    operand = True  # what has to come next
-    for t in _TOKEN.findall(expression):
+    names: list[str] = []
+    best: tuple[list[str], int, int] = ([], 0, 0)  # order, end in the line, how many names
+    open_, after, at = True, "", 0  # whether an operand has to come next, and the last operator
+    while m := _TOKEN.match(line, at):
+        t, at = m[1], m.end()
         op = t.upper()
         if op in _POWER:
-            if operand:
-                return None
+            if open_ or (op == "WITH" and out[-1] in _POWER):  # an exception is granted to a licence
+                break
             while held and held[-1] != "(" and _POWER[held[-1]] >= _POWER[op]:
                 out.append(held.pop())
             held.append(op)
-            operand = True
-        elif t == "(":
-            if not operand:
-                return None
+            open_, after = True, op
+            continue
+        if t == "(":
+            if not open_ or after == "WITH":
+                break
             held.append(t)
-        elif t == ")":
-            if operand:
-                return None
-            while held and held[-1] != "(":
+            after = t
+            continue
+        if t == ")":
+            if open_ or "(" not in held:
+                break
+            while held[-1] != "(":
                 out.append(held.pop())
-            if not held:
-                return None
             held.pop()
         else:
-            if not operand:
-                return None
+            known = (EXCEPTION if after == "WITH" else IDENTIFIER).fullmatch(t) or REFERENCE.fullmatch(t)
+            if not open_ or not known:
+                break
             out.append(t)
-            operand = False
-    if operand or "(" in held:
-        return None
-    return out + held[::-1]
+            names.append(t.lower())
+            open_, after = False, ""
+        if "(" not in held:
+            best = (out + held[::-1], at, len(names))
+    order, end, n = best
+    return order, line[:end].strip(), names[:n] if order else names
 
 
-def evaluate(expression: str, allowed: frozenset[str] = ALLOWED) -> tuple[list[str], bool | None]:
-    """(identifiers named, whether the expression can be met by allowed licences alone; None if malformed).
+def evaluate(line: str, allowed: frozenset[str] = ALLOWED) -> tuple[list[str], bool | None, str]:
+    """(names, whether the expression can be met by allowed licences alone, None if there is none, its text).
 
     An exception behind WITH only grants more, so that A WITH x is met where A is.
     """
-    names = [t.lower() for t in _TOKEN.findall(expression) if t not in "()" and t.upper() not in _POWER]
-    order = postfix(expression)
-    if order is None:
-        return names, None
+    order, text, names = parse(line)
+    if not order:
+        return names, None, ""
     stack: list[bool] = []
     for t in order:
         if t in _POWER:
@@ -111,7 +132,7 @@ def evaluate(expression: str, allowed: frozenset[str] = ALLOWED) -> tuple[list[s
             stack.append(a if t == "WITH" else a and b if t == "AND" else a or b)
         else:
             stack.append(t.lower() in allowed)
-    return names, stack[0]
+    return names, stack[0], text
 
 
 def automaton(phrases: tuple[tuple[str, str], ...] = BASE + NOTICES) -> ahocorasick.Automaton:
@@ -143,10 +164,10 @@ def scan_text(a: ahocorasick.Automaton, text: str | None, phrases=BASE + NOTICES
     found, allowed = [], None
     if tags:
         for m in _TAG_LINE.finditer(text or ""):
-            names, ok = evaluate(m[1])
-            found.append(m[1].strip())
+            names, ok, expression = evaluate(m[1])
             labels.update(names)
             if ok is not None:
+                found.append(expression)
                 allowed = ok if allowed is None else allowed and ok
     n = sum(h[3] for h in hits)
     score = 1.0 if found else 1.0 - 0.75**n  # each word of a phrase adds to the certainty

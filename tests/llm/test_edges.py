@@ -140,6 +140,18 @@ def test_warc_values(spark):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_license_values(spark):
+    d = documents(spark, [*ROWS, (12, "cc by nc " * 20_000 + "SPDX-License-Identifier: MIT, and so on", "en", "a")])
+    got = {}
+    for r in licenses.scan(d).collect():
+        got.setdefault(r["id"], []).append(r)
+    for i in (2, 3, 8):
+        assert [(r["n_words"], r["n_base"], r["first_word"], r["labels"], r["score"], r["allowed"]) for r in got[i]] == [(0, 0, None, "", 0.0, None)]
+    assert len(got[10]) == len(got[11]) == 2 and got[None][0]["n_words"] == 4 and got[5][0]["n_words"] == 30_000 and got[5][0]["labels"] == ""
+    r = got[12][0]
+    assert (r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["expressions"]) == (20_000, 0, 59_997, "cc-by-nc", "cc-by-nc,mit", ["MIT"])
+
+
 def test_sharding_values(spark):
     got = [(r["doc_id"], r["shard"]) for r in sharding.assign(documents(spark)).collect()]
     assert len({s for i, s in got if i == 11}) == 1 and len({s for i, s in got if i is None}) == 1

@@ -270,13 +270,84 @@ def test_licenses(spark, sf, docs):
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
 
 
+def plain_labels(text):
+    """Labels and score by a plain reading: phrases word by word, tags by trying each start of their line, longest first."""
+    w = [x.decode() for x in WORD.findall((text or "").encode().lower())]
+    found = [(label, len(p.split())) for p, label in licenses.BASE + licenses.NOTICES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    labels, valid, tagged = {x for x, _ in found}, False, False
+    licence = lambda t: bool(licenses.IDENTIFIER.fullmatch(t) or licenses.REFERENCE.fullmatch(t))
+    for line in re.findall(r"(?i)spdx-license-identifier:[ \t]*([^\r\n]*)", text or ""):
+        toks = []
+        for part in re.findall(r"[ \t]*(?:\(|\)|[A-Za-z0-9.+:-]+)|.", line):
+            if not re.fullmatch(r"\(|\)|[A-Za-z0-9.+:-]+", part.strip(" \t")):
+                break
+            toks.append(part.strip(" \t"))
+
+        def whole(t):  # OR over AND over WITH, by recursion
+            for op in ("OR", "AND"):
+                depth = 0
+                for i in range(len(t) - 1, -1, -1):
+                    depth += (t[i] == ")") - (t[i] == "(")
+                    if depth == 0 and t[i].upper() == op:
+                        return whole(t[:i]) and whole(t[i + 1 :])
+            if len(t) == 3 and t[1].upper() == "WITH":
+                return licence(t[0]) and bool(licenses.EXCEPTION.fullmatch(t[2]) or licenses.REFERENCE.fullmatch(t[2]))
+            if len(t) > 2 and t[0] == "(" and t[-1] == ")":
+                return whole(t[1:-1])
+            return len(t) == 1 and licence(t[0])
+
+        n = next((n for n in range(len(toks), 0, -1) if toks[:n].count("(") == toks[:n].count(")") and whole(toks[:n])), 0)
+        if n:
+            valid = True
+            labels |= {t.lower() for t in toks[:n] if t not in "()" and t.upper() not in ("OR", "AND", "WITH")}
+        else:
+            tagged = True  # malformed: at most known names
+    return labels, 1.0 if valid else 1.0 - 0.75 ** sum(n for _, n in found), tagged
+
+
+TAGGED = (
+    "SPDX-License-Identifier: MIT */ int main() { return 0; }",
+    "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC; see LICENSE for the rest",
+    "// spdx-license-identifier: gpl-2.0-only with linux-syscall-note or bsd-3-clause and then some prose",
+    "SPDX-License-Identifier: MIT and the text goes on",
+    "SPDX-License-Identifier: LicenseRef-Own-1 AND DocumentRef-a:LicenseRef-b this is code",
+    "SPDX-License-Identifier: GPL-3.0-or-later\nSPDX-License-Identifier: ISC\tunder the mit license",
+    "SPDX-License-Identifier: ((MIT)) OR (Zlib AND (0BSD OR X11)) extra ) words (",
+    "SPDX-License-Identifier: MIT WITH Apache-2.0 AND CC-BY-4.0",
+    "SPDX-License-Identifier: Apache-2.0 OR",
+    "spdx license identifier MIT without its colon, cc by nc",
+    "no tag at all, all rights reserved",
+    "",
+    None,
+)
+
+
+def test_labels_and_scores(spark, docs):
+    """Text behind an expression on its line gives no labels."""
+    a = licenses.automaton()
+    for text in (*TAGGED, *docs.values()):
+        labels, score, malformed = plain_labels(text)
+        r = licenses.scan_text(a, text)
+        assert not malformed and set(filter(None, r[5].split(","))) == labels and r[6] == pytest.approx(score)
+    of = lambda t: licenses.scan_text(a, t)[5]
+    assert of(TAGGED[0]) == "mit" and of(TAGGED[3]) == "mit" and of(TAGGED[4]) == "documentref-a:licenseref-b,licenseref-own-1"
+    for bad, names in (("int main", ""), ("(MIT OR foo", "mit"), ("OR MIT", ""), ("see the file", ""), ("", "")):
+        assert (of(f"SPDX-License-Identifier: {bad}"), licenses.evaluate(bad)[1]) == (names, None)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TAGGED)], "doc_id long, text string")
+    got = {r["id"]: (r["labels"], r["score"], r["allowed"]) for r in licenses.scan(rows).collect()}
+    assert got == {i: (x[5], x[6], x[8]) for i, x in enumerate(licenses.scan_text(a, t) for t in TAGGED)}
+
+
 def test_licence_expressions():
-    assert licenses.evaluate("MIT OR GPL-3.0") == (["mit", "gpl-3.0"], True)
-    assert licenses.evaluate("MIT AND GPL-3.0")[1] is False
-    assert licenses.evaluate("GPL-3.0 AND (MIT OR ISC)")[1] is False and licenses.evaluate("(GPL-3.0 OR MIT) AND ISC")[1] is True
-    assert licenses.evaluate("Apache-2.0 WITH LLVM-exception")[1] is True
-    for bad in ("", "MIT OR", "(MIT", "MIT)", "MIT ISC", "AND MIT", "()"):
-        assert licenses.evaluate(bad)[1] is None
+    say = lambda e: licenses.evaluate(e)[:2]
+    assert say("MIT OR GPL-3.0") == (["mit", "gpl-3.0"], True)
+    assert say("MIT AND GPL-3.0")[1] is False
+    assert say("GPL-3.0 AND (MIT OR ISC)")[1] is False and say("(GPL-3.0 OR MIT) AND ISC")[1] is True
+    assert say("Apache-2.0 WITH LLVM-exception")[1] is True
+    for bad in ("", "(MIT", "AND MIT", "()", "WITH x-exception"):
+        assert say(bad)[1] is None
+    for longer in ("MIT OR", "MIT)", "MIT ISC", "MIT AND (ISC", "MIT WITH ISC"):
+        assert say(longer) == (["mit"], True)
     r = licenses.scan_text(licenses.automaton(), "# SPDX-License-Identifier: MIT OR GPL-2.0-only\nUnder the MIT License, cc by-nc")
     assert r[5] == "cc-by-nc,gpl-2.0-only,mit" and r[6] == 1.0 and r[7] == ["MIT OR GPL-2.0-only"] and r[8] is True
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from kindred.functions.lexicon import without_accents
@@ -42,17 +44,69 @@ def skeleton(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub("[aeiou]", "", word.lower()))
 
 
+#: Letters that Unicode's names double for length or for the place of the tongue.
+_DOUBLED = {"AA": "A", "II": "I", "UU": "U", "EE": "E", "OO": "O", "TT": "T", "DD": "D", "NN": "N", "SS": "SH", "LL": "L", "RR": "R"}
+
+
+def romanise(token: str) -> str:
+    """A Latin reading of a token in any of SCRIPTS, by the names that Unicode gives its characters.
+
+    A consonant has an a behind it unless a vowel sign or a virama follows; long vowels are written short; the a at the
+    end of a word of several consonants is not spoken.  Characters without a reading are left out.
+
+    >>> romanise("कमल"), romanise("பிரகாஷ்"), romanise("ভারত")
+    ('kamal', 'pirakash', 'bharat')
+    """
+    out: list[str] = []
+    open_ = False  # whether the last sound is a consonant whose a is not yet settled
+    for ch in unicodedata.normalize("NFC", token):
+        script, _, rest = unicodedata.name(ch, "").partition(" ")
+        if script not in SCRIPTS:
+            if open_:
+                out.append("a")
+            open_ = False
+            if ch.isascii() and ch.isalnum():
+                out.append(ch.lower())
+            continue
+        kind, _, sound = rest.rpartition(" ")
+        for long, short in _DOUBLED.items():
+            sound = sound.replace(long, short)
+        sound = sound.lower()
+        if kind in ("SIGN", ""):
+            if sound == "virama":
+                open_ = False
+            elif sound in ("anusvara", "candrabindu", "bindi", "tippi", "visarga"):
+                out.append(("a" if open_ else "") + ("h" if sound == "visarga" else "n"))
+                open_ = False
+        elif kind.startswith("VOWEL SIGN"):
+            out.append(sound)
+            open_ = False
+        elif kind.startswith("LETTER"):
+            if open_:
+                out.append("a")
+            open_ = len(sound) > 1 and sound.endswith("a") and sound[0] not in "aeiou"
+            out.append(sound[:-1] if open_ else sound)
+        elif kind == "DIGIT":
+            if open_:
+                out.append("a")
+            open_ = False
+            out.append(str(unicodedata.digit(ch)))
+    if open_ and len(out) == 1:
+        out.append("a")
+    return "".join(out)
+
+
 @dataclass(frozen=True)
 class Dictionary:
     """best: Indic token to its most common Latin rendering; second: to a runner-up that is common enough.
 
-    fallback, if given, renders a token that best lacks (for example a romanisation scheme); its result is replaced
-    by a known rendering of the same consonant skeleton.
+    fallback renders a token that best lacks, ``romanise`` by default; its result is replaced by a known rendering of
+    the same consonant skeleton.
     """
 
     best: dict[str, str] = field(default_factory=dict)
     second: dict[str, str] = field(default_factory=dict)
-    fallback: object = None
+    fallback: Callable[[str], str] | None = romanise
 
     def _known(self) -> dict[str, str]:
         table = self.__dict__.get("_by_skeleton")

@@ -80,9 +80,14 @@ def quality(df: DataFrame, p: str = "p", y: str = "y") -> dict[str, float]:
     """auc, average_precision (a step sum over thresholds) and log_loss."""
     q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
     loss = df.agg(F.avg(-F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q)))).first()[0]
-    at = df.groupBy(F.col(p).alias("t")).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ap = at.select("pos", F.sum("pos").over(w).alias("cp"), F.sum("n").over(w).alias("cn")).agg(F.sum(F.col("pos") * F.col("cp") / F.col("cn")) / F.nullif(F.sum("pos"), F.lit(0))).first()[0]
+    at = df.groupBy(F.col(p).alias("t")).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("bucket", F.floor(F.col("t") * 4096))
+    # running sums in two levels: over buckets of scores, of which there are a few thousand, and within each
+    per = at.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"))
+    above = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("bucket", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("bn"))
+    w = Window.partitionBy("bucket").orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = at.join(F.broadcast(per), "bucket").select("pos", (F.col("bp") + F.sum("pos").over(w)).alias("cp"), (F.col("bn") + F.sum("n").over(w)).alias("cn"))
+    ap = run.agg(F.sum(F.col("pos") * F.col("cp") / F.col("cn")) / F.nullif(F.sum("pos"), F.lit(0))).first()[0]
     auc = BinaryClassificationEvaluator(rawPredictionCol=p, labelCol=y, metricName="areaUnderROC").evaluate(df.select(F.col(p).cast("double"), F.col(y).cast("double")))
     return {"auc": float(auc), "average_precision": float(ap or 0.0), "log_loss": float(loss)}
 
@@ -116,12 +121,12 @@ def prune(scored: DataFrame, most: int = 20, least: float = 0.003) -> DataFrame:
     return scored.withColumn("prune_rank", r).filter((F.col("prune_rank") < most) & (F.col("prune_p") >= least))
 
 
-def demo(spark, sf_dir: str) -> DataFrame:
-    """Labelled documents' quality from their sizes, out of fold and calibrated: s1, y, oof, calibrated."""
+def demo(spark, sf_dir: str) -> tuple[DataFrame, dict, DataFrame]:
+    """Labelled documents' quality from their sizes, in two folds: (rows with features, models, s1, y, fold, oof and calibrated)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("s1"), F.lit(0).alias("cand"), F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", r"\s+")).cast("double").alias("n_words"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("double").alias("n_symbols"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("s1"), F.col("quality").alias("y"))
-    data = docs.join(labels, "s1").withColumn("fold", F.floor(id_fraction(F.col("s1")) * 2).cast("int")).repartition(8, "s1").sortWithinPartitions("s1").cache()
+    data = docs.join(labels, "s1").withColumn("fold", F.floor(id_fraction(F.col("s1")) * 2).cast("int")).repartition(8, "s1").sortWithinPartitions("s1")
     names = ["n_chars", "n_words", "n_symbols"]
     models = train_folds(data, names, folds=2, iterations=5, depth=3)
     scored = predict(models, data, names, "oof", oof=True)
-    return calibrated(calibrate(scored, "oof"), scored, "oof", "calibrated").select("s1", "y", "oof", "calibrated")
+    return data, models, calibrated(calibrate(scored, "oof"), scored, "oof", "calibrated").select("s1", "y", "fold", "oof", "calibrated")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.config import Config
@@ -16,7 +16,7 @@ from kindred.functions.translit import Dictionary
 from kindred.operators import tokens
 
 INDIC = "[ऀ-෿]"
-#: Entries up to which a learnt resource is sent to all tasks; a larger one is an error, not a cut.
+#: Entries up to which a learnt resource is sent to all tasks.
 MOST_ENTRIES = 2_000_000
 
 
@@ -34,11 +34,19 @@ class Resources:
         return cls(Dictionary(d["best"], d["second"]), Segmenter(d["costs"], d["unknown"]), {c: set(v) for c, v in d["cities"].items()})
 
 
-def _small(df: DataFrame) -> list:
-    rows = df.limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"a learnt resource has more than {MOST_ENTRIES} entries")
-    return rows
+def _small(df: DataFrame, count: str, most: int = MOST_ENTRIES) -> list:
+    """The entries of a learnt resource.  Of more than ``most``, those stay whose count is at least the smallest one at
+    which they fit: one threshold for all, raised as the records grow, because resources are sent to every task."""
+    if df.count() > most:
+        sizes = df.groupBy(F.col(count).alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("c").desc()).collect()  # one row a count
+        room, least = most, None
+        for r in sizes:
+            room -= r["n"]
+            if room < 0:
+                break
+            least = r["c"]
+        df = df.filter(F.col(count) >= F.lit(least)) if least is not None else df.limit(0)
+    return df.collect()
 
 
 def fit_dictionary(s1: DataFrame, pool: DataFrame, truth: DataFrame, min_count: int = 2, runner_up_share: float = 0.2) -> Dictionary:
@@ -50,14 +58,14 @@ def fit_dictionary(s1: DataFrame, pool: DataFrame, truth: DataFrame, min_count:
     texts = j.select(F.col("n2").alias("theirs"), F.col("n1").alias("ours")).unionByName(parts).filter(F.col("theirs").rlike(INDIC))
     toks = lambda c: F.filter(F.transform(F.split(c, r"\s+"), lambda t: F.regexp_replace(t, r"[!-/:-@\[-`{-~]", "")), lambda t: t != "")
     aligned = tokens.aligned_pairs(texts, toks(F.col("theirs")), F.transform(toks(F.col("ours")), lambda t: F.lower(t))).filter(F.col("a").rlike(INDIC) & ~F.col("b").rlike(INDIC))
-    rows = _small(tokens.top_two(aligned, min_count, runner_up_share))
+    rows = _small(tokens.top_two(aligned, min_count, runner_up_share), "n_best")
     return Dictionary({r["a"]: r["best"] for r in rows}, {r["a"]: r["second"] for r in rows if r["second"]})
 
 
 def fit_segmenter(s1: DataFrame, pool: DataFrame, min_count: int = 3) -> Segmenter:
     """Word counts of all Latin names that are no domains."""
     names = s1.select("business_name").unionByName(pool.filter(~F.col("business_name").rlike(INDIC) & ~F.contains("business_name", F.lit("."))).select("business_name"))
-    return Segmenter.of_counts({r["word"]: r["n"] for r in _small(tokens.word_counts(names, "business_name", min_count))})
+    return Segmenter.of_counts({r["word"]: r["n"] for r in _small(tokens.word_counts(names, "business_name", min_count), "n")})
 
 
 def fit_cities(s1: DataFrame, dictionary: Dictionary, min_count: int = 2) -> dict[str, set]:
@@ -67,7 +75,7 @@ def fit_cities(s1: DataFrame, dictionary: Dictionary, min_count: int = 2) -> dic
 
     found = s1.select("country", city("business_address", "country").alias("city")).filter("city IS NOT NULL")
     out: dict[str, set] = {}
-    for r in _small(tokens.vocabulary(found, ["country", "city"], min_count)):
+    for r in _small(tokens.vocabulary(found, ["country", "city"], min_count), "n"):
         out.setdefault(r["country"], set()).add(r["city"])
     return out
 
@@ -96,3 +104,12 @@ def normalize(records: DataFrame, resources: Resources) -> DataFrame:
 
     d = records.select(F.col("entity_id").alias("id"), "business_name", "business_address", "country", F.col("source").cast("int").alias("source"))
     return d.mapInPandas(run, f"id string, business_name string, business_address string, country string, source int, {NAME_SCHEMA}, {ADDRESS_SCHEMA}")
+
+
+def retrieval_texts() -> dict[str, Column]:
+    """The texts of a normalised record that similarity joins compare: name, name with place, address."""
+    return {
+        "name": F.concat_ws(" ", F.col("n_core"), F.nullif("n_alt1", F.lit(""))),
+        "na": F.trim(F.concat(F.col("n_core"), F.lit(" | "), F.col("a_street"), F.lit(" "), F.col("a_city"))),
+        "addr": F.concat_ws(" ", "a_hn", "a_street", "a_city", "a_postcode"),
+    }

@@ -29,13 +29,27 @@ def tfidf(texts: DataFrame, min_df: int = 2, max_share: float = 0.02, floor: int
     df = tf.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).join(size, "country")
     most = F.least(F.greatest(F.floor(F.col("n") * max_share), F.lit(floor)), F.col("n"))
     df = df.filter((F.col("df") >= F.least(F.lit(min_df), most)) & (F.col("df") <= most))
-    df = df.withColumn("place", F.row_number().over(Window.partitionBy("country").orderBy(F.col("cf").desc(), "gram"))).filter(F.col("place") <= max_features)
+    df = most_frequent(df, max_features)
     df = df.select("country", "gram", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     raw = tf.join(df, ["country", "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("side", "country", "id")))
     return raw.select("id", "side", "country", "gram", (F.col("w") / norm).alias("w"))
 
 
+def most_frequent(df: DataFrame, most: int) -> DataFrame:
+    """The ``most`` grams of largest cf in each country, ties by gram; df: country, gram, cf.
+
+    How many grams have each count says which counts stay as a whole; only those of the one count at the edge are ranked.
+    """
+    counts = df.groupBy("country", "cf").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("country").orderBy(F.col("cf").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    room = counts.withColumn("left", most - (upto.cast("long") - F.col("c"))).filter("left > 0").select("country", "cf", F.col("c").alias("grams"), "left")
+    met = df.join(room, ["country", "cf"])
+    edge = met.filter(F.col("grams") > F.col("left"))
+    place = F.row_number().over(Window.partitionBy("country", "cf").orderBy("gram"))
+    return met.filter(F.col("grams") <= F.col("left")).unionByName(edge.withColumn("place", place).filter(F.col("place") <= F.col("left")).drop("place")).drop("grams", "left")
+
+
 def aligned_pairs(pairs: DataFrame, left: Column, right: Column) -> DataFrame:
     """a, b: tokens at the same place of two token arrays of equal length."""
     zipped = F.arrays_zip(left.alias("a"), right.alias("b"))

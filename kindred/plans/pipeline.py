@@ -66,11 +66,7 @@ class Linkage:
         asked = self.store.load("ids").filter(~F.col("hidden")).select(F.col("s1").alias("id"))
         a, b = self.store.load("s1_norm").join(asked, "id"), self.store.load("pool_norm")
         label = F.col("a_state") if cfg.by_state else F.lit("")
-        text = {
-            "name": F.concat_ws(" ", F.col("n_core"), F.nullif("n_alt1", F.lit(""))),
-            "na": F.trim(F.concat(F.col("n_core"), F.lit(" | "), F.col("a_street"), F.lit(" "), F.col("a_city"))),
-            "addr": F.concat_ws(" ", "a_hn", "a_street", "a_city", "a_postcode"),
-        }
+        text = normalize.retrieval_texts()
         weights = {"min_df": cfg.min_df, "max_share": cfg.max_df, "floor": cfg.max_df_floor, "max_features": cfg.max_features, "n": cfg.ngram}
         frames = []
         for n, k, back in (("name", cfg.k_name, 0), ("na", cfg.k_name_addr, cfg.k_reverse), ("addr", cfg.k_addr, 0)):
@@ -111,10 +107,14 @@ class Linkage:
     def prune(self) -> None:
         pairs = self.store.load("pairs")
         a, b = self._records()
-        x = a.select(F.col("id").alias("s1"), F.col("m_nm").alias("x_nm"), F.col("m_ad").alias("x_ad"), F.col("a_state").alias("x_st"), F.col("a_hn").alias("x_hn"), "nk_cnt_country")
-        y = b.select(F.col("id").alias("cand"), F.col("m_nm").alias("y_nm"), F.col("m_ad").alias("y_ad"), F.col("a_state").alias("y_st"), F.col("a_hn").alias("y_hn"), F.col("n_is_domain").cast("int").alias("cand_is_domain"))
-        eq = lambda p, q: F.nullif(p, F.lit("")) == F.nullif(q, F.lit(""))
-        j = pairs.join(x, "s1").join(y, "cand").select(*pairs.columns, *features.set_overlap(F.col("x_nm"), F.col("y_nm"), "nm"), *features.set_overlap(F.col("x_ad"), F.col("y_ad"), "ad"), eq("x_st", "y_st").cast("double").alias("state_eq"), eq("x_hn", "y_hn").cast("double").alias("hn_eq"), "nk_cnt_country", "cand_is_domain")
+        both = {"st": "a_state", "hn": "a_hn", "city": "a_city", "pc": "a_postcode", "key": "n_key", "nm": "m_nm", "ad": "m_ad"}
+        x = a.select(F.col("id").alias("s1"), *[F.col(c).alias(f"x_{n}") for n, c in both.items()], "nk_cnt_country", "nk_cnt_city", "nk_cnt_pool_city")
+        y = b.select(F.col("id").alias("cand"), *[F.col(c).alias(f"y_{n}") for n, c in both.items()], F.col("n_is_domain").cast("int").alias("cand_is_domain"), F.col("a_empty").cast("int").alias("cand_addr_empty"), F.col("source").alias("cand_source"), F.col("n_script").alias("cand_script"))
+        eq = lambda n: (F.nullif(f"x_{n}", F.lit("")) == F.nullif(f"y_{n}", F.lit(""))).cast("double")
+        here = lambda c: (F.col(c) != "").cast("double")
+        pairs = pairs.join(pairs.groupBy("s1").agg(F.log1p(F.count(F.lit(1))).alias("log_n_cands_union")), "s1")
+        equal = [eq("st").alias("state_eq"), eq("hn").alias("hn_eq"), eq("city").alias("city_eq"), eq("pc").alias("pc_eq"), F.coalesce(eq("key"), F.lit(0.0)).alias("key_eq"), here("x_hn").alias("hn_present_s1"), here("y_hn").alias("hn_present_c")]
+        j = pairs.join(x, "s1").join(y, "cand").select(*pairs.columns, *features.set_overlap(F.col("x_nm"), F.col("y_nm"), "nm"), *features.set_overlap(F.col("x_ad"), F.col("y_ad"), "ad"), *equal, *[c for c in x.columns if c.startswith("nk_")], "cand_is_domain", "cand_addr_empty", "cand_source", "cand_script")
         names = [c for c in j.columns if c not in KEYS]
         scored = self._fit_and_score(self.store.save("cheap", self._labelled(j)), "pruner", names, "prune_p")
         kept = models.prune(scored.select(*pairs.columns, "prune_p"), self.cfg.prune_top, self.cfg.prune_min_p)
@@ -178,10 +178,19 @@ class Linkage:
         ids, matches, cands = self.store.load("ids"), self.store.load("matches"), self.store.load("candidates")
         got = lists.id_lists(matches, ids, "matched_entity_ids")
         all_ = lists.id_lists(cands.withColumn("p", F.col("prune_p")), ids, "candidate_entity_ids")
-        lists.write_lists(got, f"{self.store.folder}/matches_tsv")
-        lists.write_lists(all_, f"{self.store.folder}/candidates_tsv")
+        named = lambda d: d.withColumnRenamed("s1", "source1_entity_id")
+        lists.write_lists(named(got), f"{self.store.folder}/matches_tsv")
+        lists.write_lists(named(all_), f"{self.store.folder}/candidates_tsv")
         rows = lambda d: validate.rows_of(d.select(F.concat_ws("\t", *d.columns).alias("line")))
         pool = self.store.load("pool").select(F.col("entity_id").alias("id"))
+        if self.store.has("truth"):
+            raw = lambda d, k, side: d.select(F.col("entity_id").alias(k), F.concat_ws(" | ", "business_name", "business_address").alias(side))
+            left, right = raw(self.store.load("s1"), "s1", "left_text"), raw(self.store.load("pool"), "cand", "right_text")
+            truth = self.store.load("truth").join(ids.filter(~F.col("hidden")).select("s1"), "s1", "left_semi")
+            kept = matches.select(*KEYS, F.lit(True).alias("keep"))
+            decided = blocking.labelled(self.store.load("p_cal").join(kept, list(KEYS), "left").withColumn("keep", F.coalesce("keep", F.lit(False))), truth)
+            errors = lists.error_dump(decided, left, right).unionByName(lists.missed_dump(blocking.missed(truth, self.store.load("pairs")), left, right))
+            self.store.report(errors={r["kind"]: r["count"] for r in self.store.save("errors", errors).groupBy("kind").count().collect()})
         issues = validate.report(rows(got), ids.select("s1"), pool, rows(all_))
         self.store.report(issues=issues)
         if issues:

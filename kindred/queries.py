@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred import worked
 from kindred.functions import lexicon, native
 from kindred.functions import strings as st
 from kindred.operators import blocking, context, decide, features, metrics, sampling, tokens, validate
@@ -29,6 +30,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: A number in [0, 1) from an id.
+_U = "('0x' || substr(md5({0}::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
 def six(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
 
@@ -36,10 +41,17 @@ def six(df: DataFrame, *names: str) -> DataFrame:
 # ---------------------------------------------------------------- sources, lists, sinks
 
 
-@query("io2_list_file", "SELECT l_orderkey AS s1, list_sort(list_distinct(list(l_partkey::VARCHAR))) AS ids FROM lineitem GROUP BY l_orderkey")
+@query("io2_list_file", "SELECT l_orderkey AS s1, list_sort(list_distinct(list(l_partkey::VARCHAR))) AS ids FROM lineitem GROUP BY l_orderkey UNION ALL SELECT 0 - s_suppkey, [] FROM supplier")
 def io2(spark, d):
-    line = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat_ws("\t", F.first(F.col("l_orderkey").cast("string")), F.array_join(F.collect_set(F.col("l_partkey").cast("string")), ",")).alias("line"))
-    return validate.rows_of(line).select(F.col("s1").cast("long").alias("s1"), F.array_sort("ids").alias("ids"))
+    """Written as a list file with spaces around ids and empty lists, and read as a source of truth."""
+    from kindred.sources import tsv
+
+    path = _scratch(spark)
+    ids = F.array_join(F.transform(F.collect_set("l_partkey"), lambda x: F.concat(F.lit(" "), x.cast("string"))), " ,")
+    some = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("s1")).agg(ids.alias("ids"))
+    none = read(spark, d, "supplier").select((-F.col("s_suppkey")).cast("string").alias("s1"), F.lit("").alias("ids"))
+    some.unionByName(none).filter("s1 IS NOT NULL").write.options(header=True, sep="\t", quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return tsv.read_truth(spark, path).select(F.col("s1").cast("long").alias("s1"), F.array_sort("ids").alias("ids"))
 
 
 @query(
@@ -47,10 +59,11 @@ def io2(spark, d):
     "SELECT DISTINCT l_orderkey AS s1, l_partkey AS cand FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10) AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
 )
 def io4(spark, d):
-    lists = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("s1")).agg(F.collect_set("l_partkey").alias("ids"))
-    known = read(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("s1"))
-    pool = read(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("cand"))
-    return lists.select("s1", F.explode("ids").alias("cand")).join(known, "s1").join(pool, "cand").select("s1", "cand")
+    from kindred.sources import tsv
+
+    lists = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("s1")).agg(F.collect_list("l_partkey").alias("ids"))
+    known = read(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("entity_id"))
+    return tsv.truth_pairs(lists, known, read(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("entity_id")))
 
 
 @query(
@@ -383,6 +396,10 @@ def n6(spark, d):
     return read(spark, d, "documents").select("doc_id", native.plain_tokens(F.col("text")).alias("toks"))
 
 
+for _name, _made in worked.MADE.items():
+    query(_name, worked.sql(_name))(lambda spark, d, made=_made: made(spark))
+
+
 def _sql_list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
 
@@ -481,17 +498,6 @@ def f7_jw(spark, d):
     return six(_names(spark, d).select("a", "b", st.scorer("jaro_winkler")("a", "b").alias("nm_jw")), "nm_jw")
 
 
-@query("f7_token_ratios")
-def f7_tok(spark, d):
-    return six(_names(spark, d).select("a", "b", *[st.scorer(k)("a", "b").alias(k) for k in ("token_set", "token_sort", "partial")]), "token_set", "token_sort", "partial")
-
-
-@query("f8_variants_max")
-def f8(spark, d):
-    tail = F.substring_index("b", " ", -1)
-    return six(_names(spark, d).select("a", "b", features.best_over_variants(st.scorer("token_set"), [F.col("a")], [F.col("b"), tail, F.lit("")]).alias("nm_alt_tsr")), "nm_alt_tsr")
-
-
 @query("f9_suffix_rel", "SELECT s_suppkey, CASE WHEN a = '' AND b = '' THEN 3 WHEN a = '' OR b = '' THEN 2 WHEN a = b THEN 0 ELSE 1 END AS suffix_rel FROM (SELECT s_suppkey, coalesce(nullif(right(s_name, 1), '3'), '') AS a, coalesce(nullif(s_nationkey::VARCHAR, '7'), '') AS b FROM supplier)")
 def f9(spark, d):
     a, b = F.coalesce(F.nullif(F.expr("right(s_name, 1)"), F.lit("3")), F.lit("")), F.coalesce(F.nullif(F.col("s_nationkey").cast("string"), F.lit("7")), F.lit(""))
@@ -526,7 +532,15 @@ def d2(spark, d):
     return six(decide.adjusted(scored(spark, d), 1.25, -0.5).select("s1", "cand", "pa"), "pa")
 
 
-@query("d3_expected_f")
+@query(
+    "d3_expected_f",
+    f"""WITH {PAIRS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS r FROM pairs), l AS (SELECT s1, list(p ORDER BY r) AS ps FROM o GROUP BY s1),
+m AS (SELECT s1, ps, len(ps) AS n, unnest(range(0, 1 << len(ps))) AS m FROM l),
+w AS (SELECT s1, n, bit_count(m) AS t, m, list_product([CASE WHEN m >> (i - 1) & 1 = 1 THEN ps[i] ELSE 1 - ps[i] END FOR i IN range(1, n + 1)]) AS q FROM m),
+e AS (SELECT s1, k, sum(q * CASE WHEN k = 0 THEN (t = 0)::INT::DOUBLE ELSE 1.25 * bit_count(m & ((1 << k) - 1)) / (0.25 * t + k) END) AS e FROM (SELECT *, unnest(range(0, least(n, 12) + 1)) AS k FROM w) GROUP BY s1, k),
+b AS (SELECT s1, first(k ORDER BY round(e, 9) DESC, k) AS k FROM e GROUP BY s1)
+SELECT s1, cand, round(p, 6) AS p, source, r <= k AS chosen FROM o JOIN b USING (s1)""",
+)
 def d3(spark, d):
     return six(decide.expected_f(scored(spark, d), "p"), "p")
 
@@ -546,11 +560,19 @@ def d5(spark, d):
     return six(decide.apply_rule(scored(spark, d).drop("source"), threshold=0.55, a=1.5, b=0.2, cap=2), "p").drop("pa")
 
 
-@query("d6_tune")
+@query(
+    "d6_tune",
+    f"""WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS place FROM pairs),
+o AS (SELECT *, r = 1 AS first, p - coalesce(max(CASE WHEN r = 2 THEN p END) OVER (PARTITION BY cand), 0) AS gap FROM r),
+z AS (SELECT * FROM (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS threshold) a, (SELECT unnest([0.0, 0.05, 0.1])::DOUBLE AS margin) b),
+k AS (SELECT threshold, margin, s1, cand FROM o, z WHERE first AND gap >= margin AND 1 / (1 + exp(-ln(p / (1 - p)))) >= threshold AND place <= 12),
+q AS (SELECT threshold, margin, s1, count(*) AS n_pred, count(truth.s1) AS tp FROM k LEFT JOIN truth USING (s1, cand) GROUP BY ALL), t AS (SELECT s1, count(*) AS n_true FROM truth GROUP BY s1),
+f AS (SELECT z.threshold, z.margin, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM ids CROSS JOIN z LEFT JOIN q ON q.s1 = ids.s1 AND q.threshold = z.threshold AND q.margin = z.margin LEFT JOIN t ON t.s1 = ids.s1)
+SELECT threshold, margin, round(avg(CASE WHEN n_true = 0 AND n_pred = 0 THEN 1 WHEN tp = 0 THEN 0 ELSE 1.25 * tp / (0.25 * n_true + n_pred) END), 6) AS macro_f05 FROM f GROUP BY ALL""",
+)
 def d6(spark, d):
-    s, t, ids = scored(spark, d).cache(), truth(spark, d).cache(), entities(spark, d).cache()
-    _, results = decide.tune(s, t, ids, decide.grid("threshold"))
-    return spark.createDataFrame([(str(k), float(v)) for k, v in results], "setting string, macro_f05 double")
+    _, results = decide.tune(scored(spark, d), truth(spark, d), entities(spark, d), decide.grid("threshold"))
+    return six(spark.createDataFrame([(float(k["threshold"]), float(k["margin"]), float(v)) for k, v in results], "threshold double, margin double, macro_f05 double"), "macro_f05")
 
 
 @query("d7_splits", "WITH u AS (SELECT o_orderkey AS s1, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, ('0x' || substr(md5('fold:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS v FROM orders) SELECT s1, u < 0.15::DOUBLE AS hidden, floor(v * 5)::INT AS fold FROM u")
@@ -653,9 +675,6 @@ def v8(spark, d):
 
 # ---------------------------------------------------------------- samples
 
-_U = "('0x' || substr(md5({0}::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-
-
 @query("q1_hash_sample", f"WITH {PAIRS_SQL}, k AS (SELECT s1 FROM ids WHERE {_U.format('s1')} < 0.3::DOUBLE), m AS (SELECT DISTINCT cand FROM truth WHERE s1 IN (SELECT s1 FROM k)) SELECT p_partkey AS cand, p_partkey IN (SELECT cand FROM m) AS matched FROM part WHERE p_partkey IN (SELECT cand FROM m) OR (p_partkey NOT IN (SELECT cand FROM truth) AND {_U.format('p_partkey')} < 0.3::DOUBLE)")
 def q1(spark, d):
     pool = read(spark, d, "part").select(F.col("p_partkey").alias("cand"))
@@ -676,11 +695,20 @@ def q2(spark, d):
 # ---------------------------------------------------------------- models and the whole job
 
 
-@query("l2_out_of_fold")
+@query("l2_out_of_fold", f"""SELECT documents.doc_id AS s1, quality AS y, floor({_U.format('documents.doc_id')} * 2)::INT AS fold, true AS oof_is_a_probability, true AS own_model_left_out, true AS calibration_rises FROM documents JOIN labels USING (doc_id)""")
 def l2(spark, d):
+    """L2 to L5: scores of a model that has not seen a row's fold, and a calibration that never falls."""
+    from pyspark.sql import Window
+
     from kindred.operators import models
 
-    return six(models.demo(spark, d), "oof", "calibrated")
+    data, fitted, out = models.demo(spark, d)
+    other = models.predict({0: fitted[1], 1: fitted[0]}, data, ["n_chars", "n_words", "n_symbols"], "theirs", oof=True).select("s1", "theirs")
+    seen = models.predict({k: m for k, m in fitted.items()}, data, ["n_chars", "n_words", "n_symbols"], "mean").select("s1", F.col("mean"))
+    rank = F.percent_rank().over(Window.partitionBy("fold").orderBy("oof"))
+    j = out.join(other, "s1").join(seen, "s1").withColumn("before", F.lag("calibrated").over(Window.partitionBy("fold").orderBy("oof", "s1"))).withColumn("rank", rank)
+    mean = F.abs((F.col("oof") + F.col("theirs")) / 2 - F.col("mean")) < 1e-9  # the two folds' models are told apart
+    return j.select("s1", "y", "fold", F.col("oof").between(0, 1).alias("oof_is_a_probability"), mean.alias("own_model_left_out"), (F.coalesce(F.col("before"), F.lit(0.0)) <= F.col("calibrated")).alias("calibration_rises"))
 
 
 @query("linkage_end_to_end")
@@ -701,25 +729,43 @@ def _scratch(spark) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/kindred-checkpoints"
-    return f"{base.rstrip('/')}/kindred/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/kindred-checkpoints"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/kindred/{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # with the session
+    return path.toString()
 
 
 def _business(spark, d) -> DataFrame:
-    """Customers and suppliers as records of sources 1 and 2: names, made-up addresses, nations as countries."""
+    """Customers and suppliers as records of sources 1 and 2: names, made-up addresses in several forms, all in one country."""
     n = read(spark, d, "nation")
     c = read(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     s = read(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-    street = lambda k: F.concat(F.col(k).cast("string"), F.lit(" Main St, Peoria, IL"))
-    a = c.select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("entity_id"), F.concat_ws(" ", "c_name", "c_mktsegment", F.lit("Pvt. Ltd.")).alias("business_name"), street("c_custkey").alias("business_address"), F.lit("US").alias("country"), F.lit(1).alias("source"))
-    b = s.select(F.concat(F.lit("S2-"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.concat_ws(" ", "s_name", "n_name", F.lit("L.L.C.")).alias("business_name"), street("s_suppkey").alias("business_address"), F.lit("US").alias("country"), F.lit(2).alias("source"))
+    num = lambda k: F.col(k).cast("string")
+    ours = F.when(F.col("c_custkey") % 4 == 0, F.concat(num("c_custkey"), F.lit(" Main St, Peoria, IL"))).when(F.col("c_custkey") % 4 == 1, F.concat(num("c_custkey"), F.lit(" Main St, Euclid, Ohio")))
+    ours = ours.when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("OR, SALEM, "), num("c_custkey"), F.lit(" MAIN STREET"))).otherwise("null")
+    theirs = F.when(F.col("s_suppkey") % 3 == 0, F.concat(num("s_suppkey"), F.lit(" Main St, Peoria, IL"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("Suite 5, "), num("s_suppkey"), F.lit(" Main St, Euclid, OH")))
+    theirs = theirs.otherwise(F.concat(num("s_suppkey"), F.lit(" Main St, Salem, Oregon")))
+    a = c.select(F.concat(F.lit("S1-"), num("c_custkey")).alias("entity_id"), F.concat_ws(" ", "c_name", "c_mktsegment", F.lit("Pvt. Ltd.")).alias("business_name"), ours.alias("business_address"), F.lit("US").alias("country"), F.lit(1).alias("source"))
+    b = s.select(F.concat(F.lit("S2-"), num("s_suppkey")).alias("entity_id"), F.concat_ws(" ", "s_name", "n_name", F.lit("L.L.C.")).alias("business_name"), theirs.alias("business_address"), F.lit("US").alias("country"), F.lit(2).alias("source"))
     return a.unionByName(b)
 
 
+_CITIES = {"US": {"peoria", "euclid", "salem"}}
 _BUSINESS_SQL = """
 biz AS (
-  SELECT 'S1-' || c_custkey AS entity_id, c_name || ' ' || c_mktsegment || ' Pvt. Ltd.' AS business_name, c_custkey || ' Main St, Peoria, IL' AS business_address, 'US' AS country, 1 AS source, c_custkey AS num FROM customer
-  UNION ALL SELECT 'S2-' || s_suppkey, s_name || ' ' || n_name || ' L.L.C.', s_suppkey || ' Main St, Peoria, IL', 'US', 2, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  SELECT 'S1-' || c_custkey AS entity_id, c_name || ' ' || c_mktsegment || ' Pvt. Ltd.' AS business_name, 1 AS source, c_custkey AS num, c_custkey % 4 AS place,
+    CASE c_custkey % 4 WHEN 0 THEN c_custkey || ' Main St, Peoria, IL' WHEN 1 THEN c_custkey || ' Main St, Euclid, Ohio' WHEN 2 THEN 'OR, SALEM, ' || c_custkey || ' MAIN STREET' ELSE 'null' END AS business_address,
+    'US' AS country, replace(lower(c_name), '#', ' ') || ' ' || lower(c_mktsegment) AS core FROM customer
+  UNION ALL SELECT 'S2-' || s_suppkey, s_name || ' ' || n_name || ' L.L.C.', 2, s_suppkey, s_suppkey % 3,
+    CASE s_suppkey % 3 WHEN 0 THEN s_suppkey || ' Main St, Peoria, IL' WHEN 1 THEN 'Suite 5, ' || s_suppkey || ' Main St, Euclid, OH' ELSE s_suppkey || ' Main St, Salem, Oregon' END,
+    'US', replace(lower(s_name), '#', ' ') || ' ' || replace(lower(n_name), '_', ' ') FROM supplier JOIN nation ON s_nationkey = n_nationkey
+), site AS (
+  SELECT *, CASE place WHEN 0 THEN 'peoria' WHEN 1 THEN 'euclid' WHEN 2 THEN 'salem' ELSE '' END AS city, CASE place WHEN 0 THEN 'IL' WHEN 1 THEN 'OH' WHEN 2 THEN 'OR' ELSE '' END AS state,
+    CASE WHEN place = 3 THEN '' ELSE num::VARCHAR END AS hn, CASE WHEN place = 3 THEN '' ELSE 'main street' END AS street, CASE WHEN place = 3 THEN 0 WHEN source = 2 AND place = 1 THEN 4 ELSE 3 END AS ncomp FROM biz
 )"""
 
 
@@ -772,11 +818,20 @@ def io13(spark, d):
     return six(b.select(F.col("macro_f05").alias("all_f05"), F.col("f05_singletons").alias("singletons"), F.col("f05_matched").alias("matched")), "all_f05", "singletons", "matched")
 
 
-@query("io14_synthetic")
+@query("io14_synthetic", "SELECT 200 AS n_s1, 0 AS s1_without_truth, 0 AS unknown_matches, 0 AS matched_twice, 0 AS repeated_ids, true AS same_in_one_task")
 def io14(spark, d):
+    """What generated records have to keep: an s1 each, matches that exist, once, and the same rows from any number of tasks."""
     from kindred.sources import synthetic
 
-    return synthetic.generate(spark, 200)[0]
+    records, t = synthetic.generate(spark, 200)
+    pairs = t.select("s1", F.explode("ids").alias("entity_id"))
+    met = pairs.join(records.filter("source > 1").select("entity_id", F.lit(1).alias("there")), "entity_id", "left")
+    n = records.filter("source = 1").count()
+    alone = [r for i in range(200) for r in synthetic.entity(i, 3, "a")[0]]
+    same = sorted(map(tuple, records.select("source", "entity_id", "business_name", "business_address", "country").collect())) == sorted(alone)
+    unknown, twice = met.agg(F.count(F.when(F.col("there").isNull(), 1)), F.count(F.lit(1)) - F.countDistinct("entity_id")).first()
+    repeated = records.agg(F.count(F.lit(1)) - F.countDistinct("entity_id")).first()[0]
+    return spark.createDataFrame([(n, n - t.count(), unknown, twice, repeated, same)], "n_s1 int, s1_without_truth int, unknown_matches int, matched_twice int, repeated_ids int, same_in_one_task boolean")
 
 
 # ---------------------------------------------------------------- projections and joins
@@ -838,52 +893,24 @@ def n1(spark, d):
     return read(spark, d, "benchmark").select("item_id", udfs.strip_accents()("text").alias("plain"))
 
 
-@query("n3_script_class", "SELECT doc_id, CASE WHEN regexp_matches(text, '[ऀ-෿]') THEN 1 ELSE 0 END AS script FROM documents")
-def n3(spark, d):
-    from kindred.functions import udfs
-
-    return read(spark, d, "documents").select("doc_id", udfs.scripts()("text").alias("script"))
-
-
-@query("n4_token_script", "SELECT conv_id, turn, regexp_matches(text, '[ऀ-෿]') AS indic FROM conversations")
-def n4(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", F.col("text").rlike("[ऀ-෿]").alias("indic"))
-
-
 @query("n5_alias_split", "SELECT s_suppkey, string_split(s_name || ' dba ' || n_name, ' dba ') AS halves FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def n5(spark, d):
     j = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return j.select("s_suppkey", F.split(F.concat_ws(" dba ", "s_name", "n_name"), "(?i)" + lexicon.ALIAS_PATTERN).alias("halves"))
 
 
-@query("n7_glue_letters")
+@query(
+    "n7_glue_letters",
+    """WITH k AS (SELECT item_id, text, unnest(t) AS w, unnest(range(len(t))) AS i FROM (SELECT item_id, text, regexp_extract_all(lower(replace(text, 'the', 't h e')), '[0-9a-z]+') AS t FROM benchmark)),
+l AS (SELECT *, coalesce(regexp_full_match(w, '[a-z]') AND lag(regexp_full_match(w, '[a-z]')) OVER (PARTITION BY item_id ORDER BY i), false) AS joins FROM k),
+g AS (SELECT *, sum((NOT joins)::INT) OVER (PARTITION BY item_id ORDER BY i) AS g FROM l), j AS (SELECT item_id, g, string_agg(w, '' ORDER BY i) AS w FROM g GROUP BY ALL)
+SELECT item_id, string_agg(w, ' ' ORDER BY g) AS glued FROM j GROUP BY item_id""",
+)
 def n7(spark, d):
     from kindred.functions import udfs
 
-    return read(spark, d, "benchmark").select("item_id", udfs.glue_letters()(F.array_join(native.plain_tokens(F.col("text")), " ")).alias("glued"))
-
-
-@query("n12_segment")
-def n12(spark, d):
-    from kindred.functions import udfs
-    from kindred.functions.names import Segmenter
-
-    part = read(spark, d, "part").select("p_name").distinct()
-    known = {r["word"]: r["n"] for r in tokens.word_counts(read(spark, d, "part"), "p_name").collect()}  # the words of part names
-    return part.select("p_name", udfs.segment(Segmenter.of_counts(known))(F.regexp_replace("p_name", " ", "")).alias("words"))
-
-
-@query("n13_normalize_name")
-def n13(spark, d):
-    from kindred.functions import udfs
-
-    return _business(spark, d).select("entity_id", udfs.name_columns()("business_name").alias("n")).select("entity_id", "n.*")
-
-
-@query("n14_learned_dictionary")
-def n14(spark, d):
-    part = read(spark, d, "part").select(F.split(F.lower(F.concat_ws(" ", "p_brand", "p_type")), " ").alias("x"), F.split("p_name", " ").alias("y"))
-    return tokens.top_two(tokens.aligned_pairs(part, F.col("x"), F.col("y")))
+    spelt = F.regexp_replace("text", "the", "t h e")  # so that there are letters to glue
+    return read(spark, d, "benchmark").select("item_id", udfs.glue_letters()(F.array_join(native.plain_tokens(spelt), " ")).alias("glued"))
 
 
 @query("n17_lookup_key", r"SELECT item_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS key FROM benchmark")
@@ -900,15 +927,29 @@ def n18(spark, d):
     return read(spark, d, "nation").select("n_nationkey", udfs.city_key()(F.concat(F.lit("City of "), F.col("n_name"))).alias("city"))
 
 
-@query("n21_parse_address", f"WITH {_BUSINESS_SQL} SELECT entity_id, 'IL' AS a_state, 'peoria' AS a_city, 'main street' AS a_street, num::VARCHAR AS a_hn, 3 AS a_ncomp FROM biz")
+@query("n21_business_addresses", f"WITH {_BUSINESS_SQL} SELECT entity_id, state AS a_state, city AS a_city, street AS a_street, hn AS a_hn, ncomp AS a_ncomp, CASE WHEN source = 2 AND place = 1 THEN '5' ELSE '' END AS a_unit, place = 3 AS a_empty FROM site")
 def n21(spark, d):
     from kindred.functions import udfs
 
-    a = udfs.address_columns({"US": {"peoria"}})("business_address", "country")
-    return _business(spark, d).select("entity_id", a.alias("a")).select("entity_id", "a.a_state", "a.a_city", "a.a_street", "a.a_hn", "a.a_ncomp")
+    a = udfs.address_columns(_CITIES)("business_address", "country")
+    return _business(spark, d).select("entity_id", a.alias("a")).select("entity_id", "a.a_state", "a.a_city", "a.a_street", "a.a_hn", "a.a_ncomp", "a.a_unit", "a.a_empty")
+
+
+_STATES_SQL = ", ".join(
+    f"('{c}', '{lexicon.lookup_key(k)}', '{v}')"
+    for c, names in (("US", lexicon.US_STATES), ("India", lexicon.INDIA_STATES))
+    for code, name in names.items()
+    for k, v in ((code, code), (name, code))
+)
+_OTHER_STATES_SQL = ", ".join(f"('{c}', '{lexicon.lookup_key(k)}', '{v}')" for c, names in (("India", lexicon.INDIA_OTHER_NAMES), ("France", lexicon.FRANCE_OTHER_NAMES), ("France", {n: c for c, n in lexicon.FRANCE_REGIONS.items()})) for k, v in names.items())
+_DEPARTMENTS_SQL = ", ".join(f"('{number}', '{name}', '{region}')" for number, (region, name) in lexicon.FRANCE_DEPARTMENTS.items())
 
 
-@query("n22_state_lexicon")
+@query(
+    "n22_state_lexicon",
+    f"""WITH d AS (SELECT * FROM (VALUES {_DEPARTMENTS_SQL}) t(number, name, code)) SELECT DISTINCT * FROM (VALUES {_STATES_SQL}, {_OTHER_STATES_SQL}) t(country, key, code)
+UNION SELECT 'France', name, code FROM d UNION SELECT 'France', 'dept ' || number, code FROM d""",
+)
 def n22(spark, d):
     return spark.createDataFrame(lexicon.state_rows(), "country string, key string, code string")
 
@@ -924,18 +965,15 @@ def n24(spark, d):
     return read(spark, d, "documents").select("doc_id", F.lower("text").rlike(lexicon.LANDMARK).alias("landmark"))
 
 
-@query("n27_retrieval_texts", f"WITH {_BUSINESS_SQL} SELECT entity_id, trim(lower(business_name) || ' | main street peoria') AS text FROM biz")
+@query("n27_retrieval_texts", f"WITH {_BUSINESS_SQL} SELECT entity_id AS id, core AS name, trim(core || ' | ' || street || ' ' || city) AS na, hn || ' ' || street || ' ' || city || ' ' AS addr FROM site")
 def n27(spark, d):
-    return _business(spark, d).select("entity_id", F.trim(F.concat(F.lower("business_name"), F.lit(" | "), F.lit("main street"), F.lit(" "), F.lit("peoria"))).alias("text"))
-
+    from kindred.operators import normalize as nz
 
-# ---------------------------------------------------------------- further features and models
+    texts = nz.retrieval_texts()
+    return nz.normalize(_business(spark, d), nz.Resources(cities=_CITIES)).select("id", *[c.alias(n) for n, c in texts.items()])
 
 
-@query("f5_presence_flags", "SELECT doc_id, (coalesce(nullif(source, 'src0'), '') <> '')::INT::DOUBLE AS present, (text = '')::INT::DOUBLE AS empty FROM documents")
-def f5(spark, d):
-    state = F.coalesce(F.nullif("source", F.lit("src0")), F.lit(""))
-    return read(spark, d, "documents").select("doc_id", (state != "").cast("double").alias("present"), (F.col("text") == "").cast("double").alias("empty"))
+# ---------------------------------------------------------------- further features and models
 
 
 @query("f10_token_counts", f"WITH {_NAMES_SQL} SELECT a, b, len(ta) AS s1_ntok, len(tb) AS cand_ntok, round(least(len(ta), len(tb)) / greatest(len(ta), len(tb), 1), 6) AS ntok_ratio FROM g")
@@ -944,19 +982,15 @@ def f10(spark, d):
     return six(n.withColumn("ntok_ratio", F.least("s1_ntok", "cand_ntok") / F.greatest("s1_ntok", "cand_ntok", F.lit(1))), "ntok_ratio")
 
 
-@query("f14_cross_terms", f"WITH {_NAMES_SQL}, x AS (SELECT a, b, jaro_winkler_similarity(a, b) AS jw, CASE WHEN a < b THEN (length(a) = length(b))::INT::DOUBLE END AS hn FROM g) SELECT a, b, round(jw * coalesce(hn, 0), 6) AS x_hn, round(jw * coalesce(hn, 0.5), 6) AS x_name_hn FROM x")
-def f14(spark, d):
-    n = _names(spark, d).select("a", "b", st.scorer("jaro_winkler")("a", "b").alias("jw"), F.when(F.col("a") < F.col("b"), (F.length("a") == F.length("b")).cast("double")).alias("hn"))
-    return six(n.select("a", "b", (F.col("jw") * F.coalesce("hn", F.lit(0.0))).alias("x_hn"), (F.col("jw") * F.coalesce("hn", F.lit(0.5))).alias("x_name_hn")), "x_hn", "x_name_hn")
+_FLAGS = ("state_eq", "city_eq", "pc_eq", "hn_eq", "key_eq", "core_eq", "hn_present_s1", "hn_present_c", "cand_addr_empty", "cand_source", "cand_script", "cand_is_domain", "cand_oov", "cand_has_alias", "cand_landmark", "s1_ncomp", "cand_ncomp")
 
 
-@query("f_all_pair_features")
-def f_all(spark, d):
+def _pair_features(spark, d) -> DataFrame:
     """All feature families over candidate pairs of customers and suppliers that share a house number and street."""
     from kindred.operators import normalize as nz
 
     b = _business(spark, d)
-    resources = nz.Resources(cities={"US": {"peoria"}})
+    resources = nz.Resources(cities=_CITIES)
     s1, pool = (nz.normalize(b.filter(F.col("source") == k), resources) for k in (1, 2))
     every = s1.unionByName(pool)
     sides = []
@@ -971,27 +1005,52 @@ def f_all(spark, d):
     return features.pair_features(pairs, sides[0].join(freq, "id"), sides[1])
 
 
-@query("l1_subsample", "SELECT s1, cand, y FROM (SELECT l_orderkey AS s1, l_partkey AS cand, max((l_returnflag = 'R')::INT) AS y FROM lineitem GROUP BY ALL) WHERE y = 1 OR ('0x' || substr(md5(s1 || '|' || cand), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25::DOUBLE")
+@query(
+    "f_pair_flags",
+    f"""WITH {_BUSINESS_SQL} SELECT a.entity_id AS s1, b.entity_id AS cand, (a.state = b.state)::INT::DOUBLE AS state_eq, (a.city = b.city)::INT::DOUBLE AS city_eq, NULL::DOUBLE AS pc_eq, 1.0::DOUBLE AS hn_eq, 0.0::DOUBLE AS key_eq, 0.0::DOUBLE AS core_eq,
+1.0::DOUBLE AS hn_present_s1, 1.0::DOUBLE AS hn_present_c, 0.0::DOUBLE AS cand_addr_empty, 2.0::DOUBLE AS cand_source, 0.0::DOUBLE AS cand_script, 0.0::DOUBLE AS cand_is_domain, 0.0::DOUBLE AS cand_oov, 0.0::DOUBLE AS cand_has_alias, 0.0::DOUBLE AS cand_landmark,
+a.ncomp::DOUBLE AS s1_ncomp, b.ncomp::DOUBLE AS cand_ncomp FROM site a JOIN site b ON a.source = 1 AND b.source = 2 AND a.num = b.num AND a.place <> 3""",
+)
+def f_flags(spark, d):
+    """F2, F4, F5 and F13 of real pairs: equality, presence and counts of components."""
+    return _pair_features(spark, d).select("s1", "cand", *[F.col(c).cast("double").alias(c) for c in _FLAGS])
+
+
+@query(
+    "f_pair_scores",
+    f"""WITH {_BUSINESS_SQL}, j AS (SELECT a.entity_id AS s1, b.entity_id AS cand, a.core AS x, b.core AS y, a.city AS c, b.city AS e FROM site a JOIN site b ON a.source = 1 AND b.source = 2 AND a.num = b.num AND a.place <> 3)
+SELECT s1, cand, round(jaro_winkler_similarity(c, e), 6) AS city_jw, 1.0::DOUBLE AS st_jw, 100.0::DOUBLE AS st_tsr, round(jaro_winkler_similarity(x, y), 6) AS nm_jw, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) AS nm_lev, 1.0::DOUBLE AS x_hn_street,
+1 AS n_cands, round(ln(2), 6) AS log_n_cands, 0.0::DOUBLE AS x_name_hn_rest FROM j""",
+)
+def f_scores(spark, d):
+    """F6, F7, F12 and F14 of real pairs; x_name_hn_rest is what x_name_hn has beyond the best name score, as house numbers are equal."""
+    f = _pair_features(spark, d).withColumn("x_name_hn_rest", F.col("x_name_hn") - F.col("nm_best_tsr") / 100)
+    return six(f.select("s1", "cand", "city_jw", "st_jw", "st_tsr", "nm_jw", "nm_lev", "x_hn_street", F.col("n_cands").cast("int").alias("n_cands"), "log_n_cands", "x_name_hn_rest"), "city_jw", "st_jw", "st_tsr", "nm_jw", "nm_lev", "x_hn_street", "log_n_cands", "x_name_hn_rest")
+
+
+@query("f_all_pair_features")
+def f_all(spark, d):
+    return _pair_features(spark, d)
+
+
+@query(
+    "l1_subsample",
+    """WITH k AS (SELECT l_orderkey AS s1, l_partkey AS cand, max((l_returnflag = 'R')::INT) AS y FROM lineitem GROUP BY ALL), n AS (SELECT count(*) AS n, sum(y) AS pos FROM k)
+SELECT s1, cand, y FROM k, n WHERE y = 1 OR ('0x' || substr(md5(s1 || '|' || cand), 1, 8))::BIGINT / 4294967296.0::DOUBLE < (floor(n * 0.6) - pos) / (n - pos)""",
+)
 def l1(spark, d):
-    from kindred.functions.native import id_fraction
+    from kindred.operators import models
 
     y = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("s1"), F.col("l_partkey").alias("cand")).agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("y"))
-    return y.filter((F.col("y") == 1) | (id_fraction(F.concat_ws("|", "s1", "cand")) < 0.25))
+    return models.subsample(y, int(y.count() * 0.6))
 
 
-@query("l6_quality", f"WITH {PAIRS_SQL}, k AS (SELECT p, (truth.s1 IS NOT NULL)::INT AS y FROM pairs LEFT JOIN truth USING (s1, cand)), t AS (SELECT p, sum(y) AS pos, count(*) AS n FROM k GROUP BY p), c AS (SELECT pos, sum(pos) OVER w AS cp, sum(n) OVER w AS cn FROM t WINDOW w AS (ORDER BY p DESC)) SELECT round((SELECT sum(pos * cp / cn) / sum(pos) FROM c), 6) AS average_precision, round((SELECT avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) FROM k), 6) AS log_loss")
+@query("l6_quality", f"WITH {PAIRS_SQL}, k AS (SELECT p, (truth.s1 IS NOT NULL)::INT AS y FROM pairs LEFT JOIN truth USING (s1, cand)), t AS (SELECT p, sum(y) AS pos, count(*) AS n FROM k GROUP BY p), c AS (SELECT pos, sum(pos) OVER w AS cp, sum(n) OVER w AS cn FROM t WINDOW w AS (ORDER BY p DESC)) SELECT round((SELECT sum(pos * cp / cn) / sum(pos) FROM c), 6) AS average_precision, round((SELECT avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) FROM k), 6) AS log_loss, round((SELECT sum(pos * (cn_neg + neg / 2.0)) / (sum(pos) * sum(neg)) FROM (SELECT pos, n - pos AS neg, coalesce(sum(n - pos) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cn_neg FROM t)), 6) AS auc")
 def l6(spark, d):
     from kindred.operators import models
 
     q = models.quality(blocking.labelled(scored(spark, d), truth(spark, d)))
-    return six(spark.createDataFrame([(q["average_precision"], q["log_loss"])], "average_precision double, log_loss double"), "average_precision", "log_loss")
-
-
-@query("v1_headers")
-def v1(spark, d):
-    header = ("source1_entity_id", "matched_entity_ids")
-    cases = ["\t".join(header), ",".join(header), "other\theader", ""]
-    return spark.createDataFrame([(c, validate.header_issue(c, header) or "") for c in cases], "first_line string, issue string")
+    return six(spark.createDataFrame([(q["average_precision"], q["log_loss"], q["auc"])], "average_precision double, log_loss double, auc double"), "average_precision", "log_loss", "auc")
 
 
 @query("q5_by_country", "SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents GROUP BY lang")
@@ -1025,14 +1084,14 @@ def io9(spark, d):
     return spark.createDataFrame([(k, v["n"]) for k, v in found.items()], "issue string, n long")
 
 
-@query("q3_state_extraction", f"WITH {_BUSINESS_SQL} SELECT entity_id, 'IL' AS a_state FROM biz")
+@query("q3_state_extraction", f"WITH {_BUSINESS_SQL} SELECT entity_id, state AS a_state FROM site")
 def q3(spark, d):
     from kindred.functions import udfs
 
     return _business(spark, d).select("entity_id", udfs.address_columns()("business_address", "country").getField("a_state").alias("a_state"))
 
 
-@query("q4_city_lexicon", f"WITH {_BUSINESS_SQL} SELECT 'US' AS country, 'peoria' AS city FROM biz HAVING count(*) >= 2")
+@query("q4_city_lexicon", f"WITH {_BUSINESS_SQL} SELECT 'US' AS country, city FROM site WHERE city <> '' AND NOT (source = 1 AND place = 2) GROUP BY city HAVING count(*) >= 2")
 def q4(spark, d):
     from kindred.functions.translit import Dictionary
     from kindred.operators import normalize as nz
@@ -1041,14 +1100,16 @@ def q4(spark, d):
     return spark.createDataFrame([(c, x) for c, v in cities.items() for x in sorted(v)], "country string, city string")
 
 
-@query("f12_address_scorers", f"WITH {_BUSINESS_SQL} SELECT entity_id, 1.0::DOUBLE AS city_jw, 100.0::DOUBLE AS st_tsr, round(jaro_winkler_similarity(business_address, 'Main St, Peoria, IL'), 6) AS st_jw FROM biz")
-def f12(spark, d):
-    jw, tset = st.scorer("jaro_winkler"), st.scorer("token_set")
+@query("q4_segmenter", f"WITH {_BUSINESS_SQL}, w AS (SELECT unnest(regexp_extract_all(lower(business_name), '[0-9a-z]+')) AS w FROM biz WHERE source = 1), c AS (SELECT w AS word, count(*) AS n FROM w WHERE regexp_full_match(w, '[a-z]{{2,}}') GROUP BY w HAVING count(*) >= 3) SELECT word, round(ln((SELECT sum(n) FROM c) / n), 6) AS cost FROM c")
+def q4_segmenter(spark, d):
+    from kindred.operators import normalize as nz
+
     b = _business(spark, d)
-    return six(b.select("entity_id", jw(F.lit("peoria"), F.lit("peoria")).alias("city_jw"), tset(F.lit("main street"), F.concat(F.lit("main street "), F.col("country"))).alias("st_tsr"), jw("business_address", F.lit("Main St, Peoria, IL")).alias("st_jw")), "city_jw", "st_tsr", "st_jw")
+    found = nz.fit_segmenter(b.filter("source = 1"), b.filter("source = 3"))
+    return six(spark.createDataFrame(list(found.costs.items()), "word string, cost double"), "cost")
 
 
-@query("f13_component_counts", f"WITH {_BUSINESS_SQL} SELECT entity_id, len(string_split(business_address, ','))::INT AS ncomp FROM biz")
+@query("f13_component_counts", f"WITH {_BUSINESS_SQL} SELECT entity_id, ncomp FROM site")
 def f13(spark, d):
     from kindred.functions import udfs
 

@@ -15,8 +15,9 @@ def id_lists(pairs: DataFrame, ids: DataFrame, name: str = "matched_entity_ids")
 
 
 def write_lists(lists: DataFrame, path: str) -> None:
-    """Tab-separated, unquoted, with a header; one file, ordered by s1 (a sink for results, whose size a file can hold)."""
-    lists.coalesce(1).sortWithinPartitions("s1").write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", "").option("emptyValue", "").csv(path)
+    """Tab-separated, unquoted, each part with a header; parts are ranges of the first column in order, so that they can be put end to end."""
+    key = lists.columns[0]
+    lists.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", "").option("emptyValue", "").csv(path)
 
 
 def error_dump(decided: DataFrame, left: DataFrame, right: DataFrame, most: int = 300) -> DataFrame:
@@ -26,3 +27,8 @@ def error_dump(decided: DataFrame, left: DataFrame, right: DataFrame, most: int
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("p").desc(), "s1", "cand"))
     top = errors.withColumn("place", place).filter(F.col("place") <= most).select("kind", "s1", "cand", "p")
     return top.join(left, "s1").join(right, "cand")
+
+
+def missed_dump(missed: DataFrame, left: DataFrame, right: DataFrame, most: int = 300) -> DataFrame:
+    """True pairs that blocking did not bring together, the first by id, with the texts of both sides; missed: s1, cand."""
+    return missed.select("s1", "cand").orderBy("s1", "cand").limit(most).join(left, "s1").join(right, "cand").select(F.lit("blocking_miss").alias("kind"), "s1", "cand", F.lit(None).cast("double").alias("p"), *[c for c in left.columns if c != "s1"], *[c for c in right.columns if c != "cand"])

@@ -1,6 +1,7 @@
 """A synthetic linkage job, trained and applied, as a whole."""
 
 from kindred.config import Config
+from kindred.plans import check
 from kindred.plans.pipeline import Linkage
 from kindred.sources import synthetic
 from kindred.sources.store import Store
@@ -13,8 +14,14 @@ def test_train_and_test(spark, tmp_path):
     train, test = Store(spark, str(tmp_path / "train")), Store(spark, str(tmp_path / "test"))
     r = Linkage(spark, str(tmp_path / "data"), train, cfg, "train").run()
     assert r["metrics"]["macro_f05"] > 0.85 and r["blocking"]["blocking_recall"] > 0.95 and r["issues"] == {}
+    assert set(r["errors"]) <= {"false_positive", "false_negative", "blocking_miss"} and train.load("errors").count() == sum(r["errors"].values())
     r = Linkage(spark, str(tmp_path / "data"), test, cfg, "test", train).run()
     assert r["metrics"]["macro_f05"] > 0.85 and r["issues"] == {} and r["metrics"]["n_s1"] == 80
+    # the written lists pass the command that checks them, and a list of other records does not
+    of = lambda split: [str(tmp_path / "data" / f"{split}_source{k}.tsv") for k in (1, 2, 3)]
+    result, candidates = (str(tmp_path / "test" / f"{n}_tsv") for n in ("matches", "candidates"))
+    assert check.check(spark, result, of("test")[0], of("test")[1:], candidates) == {}
+    assert {"missing_rows", "extra_rows"} <= set(check.check(spark, result, of("train")[0]))
 
 
 def test_generation_does_not_depend_on_tasks(spark):

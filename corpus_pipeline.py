@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import decontamination, mixing, sharding, simhash, toxicity
-from kindred.llm.common import table, written
+from kindred.llm.common import own_name, table, tidy, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what scores 0.5 or more; learns from the labels of the documents at hand."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, score_col="__toxicity").filter(F.col("__toxicity") < 0.5).drop("__toxicity")
+    name = own_name(docs, "toxicity")
+    return toxicity.score(docs, model, score_col=name).filter(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +50,18 @@ STAGES = [
 ]
 
 
+@tidy
+def _stage(spark: SparkSession, docs: DataFrame, sf_dir: str, name: str, f) -> DataFrame:
+    """The stage's documents, written and reread; what else the stage wrote is removed."""
+    return written(f(spark, docs, sf_dir), f"pipeline-{name}")
+
+
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, f) in enumerate(STAGES):
-        docs = f(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    for name, f in STAGES[:-1]:
+        docs = _stage(spark, docs, sf_dir, name, f)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: A fitted classifier and fingerprints decide what stays: no SQL gives these rows.

@@ -19,7 +19,6 @@ def by_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
             for i in range(0, b.num_rows, ROWS):
                 yield f(b.slice(i, ROWS))
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     return df.mapInArrow(run, schema)
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import ALNUM_WORD, anti_join, ascii_lower, table, text_key, words_of, written
+from kindred.llm.common import ALNUM_WORD, anti_join, ascii_lower, own_name, table, text_key, tidy, words_of, written
 
 WINDOW = 10
 SHINGLE = 3
@@ -89,6 +89,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     return found.unionByName(plain.withColumns(none))
 
 
+@tidy
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """key, id, n_words, n_hit, items (sorted ids of items with occurring windows): a row for each different document.
 
@@ -102,10 +103,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.select("key", "id", "n_words", F.expr(reach).cast("long").alias("n_hit"), "items")
 
 
+@tidy
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, max_share: float = 0.0) -> DataFrame:
     """docs without those of whose words more than max_share are hit; all columns, all copies of what stays."""
     hit = contamination(docs, items, id_col, text_col, item_col, item_text, window).filter(F.col("n_hit") > F.col("n_words") * max_share)
-    return anti_join(docs.withColumn("__key", text_key(id_col, text_col)), hit.select(F.col("key").alias("__key")), "__key").drop("__key").select(docs.columns)
+    key = own_name(docs, "text_key")
+    return anti_join(docs.withColumn(key, text_key(id_col, text_col)), hit.select(F.col("key").alias(key)), key).select(docs.columns)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

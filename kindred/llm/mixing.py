@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import SPACE_WORD, table, text_key, written
+from kindred.llm.common import SPACE_WORD, own_name, table, text_key, tidy, written
 
 WEIGHTS = (3, 1, 2)
 GOLDEN = 0.6180339887498949
@@ -34,12 +34,17 @@ CHUNK = 4096
 FEW = 40
 
 
+def source_key(source_col: str):
+    """A string that orders sources by code point, null last."""
+    return F.concat(F.when(F.col(source_col).isNull(), "1").otherwise("0"), F.coalesce(F.col(source_col), F.lit("")))
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, src (order-preserving key, null last), size, bucket and u (the shuffle's order)."""
     u = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     return docs.select(
         F.col(id_col).alias("id"),
-        F.concat(F.when(F.col(source_col).isNull(), "1").otherwise("0"), F.coalesce(F.col(source_col), F.lit(""))).alias("src"),
+        source_key(source_col).alias("src"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACE_WORD)).cast("long").alias("size"),
         F.substring(u, 1, 3).alias("bucket"),
         u.alias("u"),
@@ -105,12 +110,8 @@ def lines(sizes: DataFrame) -> DataFrame:
     return some.select("*", inner.alias("inner")).join(per, ["src", "bucket"]).select("id", "src", "size", "s", (F.col("start") + F.col("inner")).alias("o"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS, slots: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, schedule, pieces).
-
-    documents: id, src, size, source_size, target, taken.  schedule: slot, src, k, end.  pieces: slot, id, src, o, words and
-    repeat (0 for a document's first walk): what each slot takes from which document.
-    """
+def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, share: float = 1.5, max_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS, slots: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+    """(sizes, targets, lines, schedule, pieces, whether sources are few)"""
     sizes = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
     of = written(targets(sizes, share, max_repeats, weights), "mix-targets")  # one row a source
     stat = of.agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("total")).first()
@@ -125,7 +126,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     )
     words = F.least(F.col("at") + F.col("size"), (F.col("k") + 1) * block, F.col("end")) - F.greatest(F.col("at"), F.col("k") * block)  # a null end does not count
-    pieces = cut.join(plan, ["src", "k"]).withColumn("words", words).filter("words > 0").select("slot", "id", "src", "o", "words", "repeat")
+    # a schedule packs to a few bytes a slot on disk, not in a broadcast
+    pieces = cut.join(plan.hint("merge"), ["src", "k"]).withColumn("words", words).filter("words > 0").select("slot", "id", "src", "o", "words", "repeat")
+    return sizes, of, laid, plan, pieces, small
+
+
+@tidy
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, schedule, pieces); params: share, max_repeats, weights, slots.
+
+    documents: id, src, size, source_size, target, taken.  schedule: slot, src, k, end.  pieces: slot, id, src, o, words and
+    repeat (0 for a document's first walk): what each slot takes from which document.
+    """
+    sizes, of, laid, plan, pieces, small = _laid_out(docs, id_col, text_col, source_col, **params)
     took = pieces.groupBy("src", "o").agg(F.sum("words").alias("taken"))  # (src, o) names a document with words
     out = laid.join(took, ["src", "o"], "left").select("id", "src", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     out = out.unionByName(sizes.filter("size = 0").select("id", "src", "size", F.lit(0).cast("long").alias("taken")))
@@ -133,17 +146,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.join(F.broadcast(by) if small else by, "src"), plan, pieces
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+@tidy
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_broadcast: int = 500_000, max_repeats: int = 2, **params) -> DataFrame:
     """docs as the mix takes them: each row as often as its taken words, in wholes of its size, round to.
 
-    Rows equal in id and text are one document here, which stays as often as they were taken together.  Documents
-    without words bear nothing to a mix and go.  All columns are kept.
+    Rows equal in id, text and source are mixed as one group: the times that it is taken go round its rows, in the
+    order of a hash of their other columns, so that none is dropped by chance.  Documents without words bear nothing
+    to a mix and go.  All columns are kept.  Within a partition rows stand in the order of the slots that take them.
+    How often each group stays is counted; up to ``most_broadcast`` of these numbers go to the texts, more are joined.
     """
-    keyed = docs.withColumn("__key", text_key(id_col, text_col))
-    found, _, _ = mix(keyed, "__key", text_col, source_col, **params)
-    times = found.filter("size > 0").groupBy("id").agg(F.floor(F.sum("taken") / F.max("size") + 0.5).cast("int").alias("__times")).filter("__times > 0").withColumnRenamed("id", "__key")
-    out = keyed.dropDuplicates(["__key"]).join(times, "__key")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__time")).drop("__time")
+    key, src, slot = (own_name(docs, n) for n in ("row_key", "row_source", "row_slot"))
+    keyed = docs.withColumn(key, text_key(id_col, text_col)).withColumn(src, source_key(source_col))
+    sizes, _, _, _, pieces, _ = _laid_out(keyed, key, text_col, source_col, max_repeats=max_repeats, **params)
+    first = [F.min(F.when(F.col("repeat") == i, F.col("slot"))) for i in range(max_repeats)]  # of each walk
+    took = pieces.groupBy("id", "src").agg(F.sum("words").alias("taken"), F.sort_array(F.array_compact(F.array(*first))).alias("at"))
+    rows = sizes.filter("size > 0").groupBy("id", "src").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    kept = took.join(rows, ["id", "src"]).select(F.unhex("id").alias(key), F.col("src").alias(src), "n", times.alias("times"), "at").filter("times > 0")
+    kept = written(kept, "mix-times")
+    keyed = keyed.withColumn(key, F.unhex(key))
+    total, several = kept.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    side = F.broadcast if total <= most_broadcast else lambda d: d
+    sure = kept.select(key, src, F.struct("n", "times", "at").alias(slot))
+    at = lambda times: F.explode(F.transform(F.sequence(F.lit(1), times), lambda i: F.coalesce(F.get(F.col(slot)["at"], i - 1), F.get(F.col(slot)["at"], F.lit(0))))).alias(slot)
+    out = keyed.join(side(sure.filter(F.col(slot)["n"] == 1)), [key, src]).select(*docs.columns, at(F.col(slot)["times"]))
+    if several > 1:
+        rest = [F.col(c) for c, t in docs.dtypes if "map<" not in t]  # maps cannot be compared
+        row = own_name(docs, "row_all")
+        kinds = keyed.join(side(sure.filter(F.col(slot)["n"] > 1)), [key, src]).groupBy(key, src, F.xxhash64(*rest).alias("h")).agg(F.first(F.struct(*docs.columns)).alias(row), F.first(slot).alias(slot), F.count(F.lit(1)).alias("m"))
+        kinds = kinds.withColumn("start", F.sum("m").over(Window.partitionBy(key, src).orderBy("h")) - F.col("m"))
+        n, t = F.col(slot)["n"], F.col(slot)["times"]
+        share = F.col("m") * F.floor(t / n) + F.greatest(F.lit(0), F.least(F.col("start") + F.col("m"), t % n) - F.col("start"))
+        kinds = kinds.withColumn("share", share.cast("int")).filter("share > 0")
+        out = out.unionByName(kinds.select(row, at(F.col("share"))).select(f"{row}.*", slot))
+    return out.sortWithinPartitions(slot).drop(slot)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.arrow import by_slices
-from kindred.llm.common import anti_join, table, written
+from kindred.llm.common import anti_join, table, tidy, written
 from kindred.llm.components import components
 
 SEED = 42
@@ -371,6 +371,7 @@ def _verified(rooms: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
     return rooms.join(texts, "rep").repartition("tile").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, lanes: int = 1, sure: int | None = None, similarity: float | None = None) -> DataFrame:
     """id, n, f0, ..., component: the smallest id that can be reached by links.
 
@@ -404,6 +405,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SURE, RADIUS, LANES = 24, 52, 4
 
 
+@tidy
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, sure: int = SURE, lanes: int = LANES) -> DataFrame:
     """docs without those that are near copies of one with a smaller id; null ids stay; all columns are kept."""
     found = near_duplicates(docs, id_col, text_col, shingle, radius, lanes, sure, similarity)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm.arrow import by_slices
-from kindred.llm.common import ALNUM_WORD, ascii_lower, table, words_of, written
+from kindred.llm.common import ALNUM_WORD, ascii_lower, table, tidy, words_of, written
 from kindred.llm.licenses import words
 
 MAX_TRAIN = 20_000
@@ -138,6 +138,7 @@ def fit_rows(rows: list[list[int]], y: np.ndarray, n: int, swaps: list[tuple[lis
     return w, float(bias)
 
 
+@tidy
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, min_df: int = MIN_DF, fair: float = 20.0) -> Model:
     """Learns from the labelled rows given; what is to be held out, the caller leaves out of labels."""
     marks = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("k IS NOT NULL AND y IS NOT NULL")

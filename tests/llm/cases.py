@@ -22,7 +22,7 @@ ROWS = [
     (11, "other text of the same id", "en", "a"),
 ]
 #: Names that the operators use inside.
-CLASHING = ("id", "key", "score", "h", "w", "s", "p", "g", "n", "size", "src", "n_words", "kept", "block", "text_", "component", "rep", "label", "learn", "doc", "slot", "shard", "digest", "payload")
+CLASHING = ("id", "key", "score", "h", "w", "s", "p", "g", "n", "size", "src", "n_words", "kept", "block", "text_", "component", "rep", "label", "learn", "doc", "slot", "shard", "digest", "payload", "row_key", "row_source", "row_slot", "row_all", "at", "m", "start", "share", "text_key", "toxicity", "__key", "__times", "__time", "__toxicity")
 
 
 def documents(spark, rows=ROWS, clash=True):

@@ -113,6 +113,15 @@ def test_mixing_values(spark):
     assert all(r["text"] and r["text"].split() for r in words)
 
 
+def test_rows_of_one_text_are_mixed_alike(spark):
+    """Rows equal in id, text and source but for another column: none goes by chance, reruns agree, also without a broadcast."""
+    rows = [(1, "a b c d", "en", "x"), (1, "a b c d", "fr", "x"), (1, "a b c d", "fr", "x"), (1, "a b c d", "fr", "y"), (2, "e f", "en", "x"), (2, "e f", "en", "x")]
+    d = documents(spark, rows)
+    want = rows_of(mixing.mixed(d, share=2.0))
+    assert len(want) == 2 * len(rows) and set(want) == set(rows_of(d))  # twice all words: every row twice
+    assert rows_of(mixing.mixed(d.repartition(5), share=2.0, most_broadcast=0)) == want
+
+
 def test_suffix_values(spark):
     got = {}
     for r in suffix_dedup.removed(documents(spark)).collect():

@@ -7,37 +7,37 @@ anchor; equal strings have equal anchors at the same place in them.  Strings tha
 segment.
 
 1. Anchors are dealt out by hash; those whose hash occurs once, nearly all, are done with.
-2. Of equal segments all but the first are repeats as a whole.
+2. Of equal segments all but the first are repeats as a whole.  They are told apart by 128 bits of BLAKE2b of their bytes:
+   their polynomial hashes could collide, and bringing all their bytes together would be a multiple of the input.
 3. First segments whose anchor occurs in other segments too are sorted: the suffixes that start in them are put
    in order by mergesort; two suffixes are compared by a binary search for their common extension on prefix
    polynomial hashes, so that a comparison takes the logarithm of ``length`` steps.  Neighbours with a common extension of
-   ``length`` are equal strings, of which the first one stays.  Each such verdict is verified on the bytes; a
-   collision makes its bucket be sorted by the bytes themselves.
+   ``length`` are equal strings, of which the first one stays.  The whole order is verified on the bytes of all
+   neighbours; a collision makes its bucket be decided by the bytes alone.
 
 Hot anchors: a task that sees a hash twice passes its places on at once and sends one of them by hash, so a hash has
 no more rows than there are tasks.  Equal segments are found by an aggregation with map-side combining.  An anchor
-in more than ``HOT`` different segments has its strings compared through a native aggregation by their 128-bit hashes
-instead of in one task.  Whole texts are read throughout; a document's own places are all that meets in one row.
+in more than ``HOT`` different segments has its strings compared through a native aggregation by their 128-bit digests
+instead of in one task, with the same result.  Whole texts are read throughout; a document's own places are all that meets in one row.
 
-Defined results: a null text is empty; texts shorter than ``length`` lose nothing; ids must be distinct for a
-document to be told from another: rows of one id, and those of a null id, are ordered by their text behind all others of smaller
-ids, null last, and equal rows get rows each, of which one counts as the first; an empty table gives no rows;
-columns other than id and text are ignored, whatever their names.
+Defined results: a null text is empty; texts shorter than ``length`` lose nothing; ids may be of any type with an
+order; rows of one id, and those of a null id, are ordered by a hash of their text behind all others of smaller ids, null
+last, and equal rows get rows each, of which one counts as the first; an empty table gives no rows; columns other
+than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.arrow import by_slices
-from kindred.llm.common import drop_written, table, written
+from kindred.llm.common import drop_written, table, tidy, written
 
 LENGTH = 100
 GRAM = 32
@@ -190,17 +190,24 @@ def repeats(buf: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: int
     s, k = starts[by], bucket[by]
     p = Prefix(buf)
     order = suffix_sort(buf, p, s, k, length)
-    t, kk = s[order], k[order]
-    same = (kk[1:] == kk[:-1]) & (lcp(p, t[:-1], t[1:], length) >= length)
-    eq = np.flatnonzero(same)
-    wrong = np.zeros(len(eq), bool)
+    t, kk, first = s[order], k[order], by[order]
+    # the order is verified on the bytes of all neighbours: then equal strings stand side by side, the earliest in front
+    same, wrong = np.zeros(max(0, len(t) - 1), bool), np.zeros(max(0, len(t) - 1), bool)
     span = np.arange(length)
-    for i in range(0, len(eq), 1 << 16):
-        x = eq[i : i + (1 << 16)]
-        wrong[i : i + len(x)] = (buf[t[x][:, None] + span] != buf[t[x + 1][:, None] + span]).any(axis=1)
+    near = np.flatnonzero(kk[1:] == kk[:-1])
+    for i in range(0, len(near), 1 << 15):
+        x = near[i : i + (1 << 15)]
+        one, two = buf[t[x][:, None] + span], buf[t[x + 1][:, None] + span]
+        unlike = one != two
+        at = unlike.argmax(axis=1)
+        row = np.arange(len(x))
+        differs = unlike[row, at]
+        same[x] = ~differs
+        wrong[x] = np.where(differs, one[row, at] > two[row, at], first[x] > first[x + 1])
     found = np.zeros(len(starts), bool)
-    found[by[order[1:][same]]] = True
-    for c in np.unique(kk[eq[wrong]]):  # a collision: the bytes decide
+    found[first[1:][same]] = True
+    lost = np.bincount(order, minlength=len(s)) != 1  # comparisons that contradict each other can put two into one place
+    for c in np.unique(np.concatenate((kk[1:][wrong], k[lost]))):  # a collision: the bytes alone decide
         rows, seen = np.flatnonzero(bucket == c), set()
         for r in rows.tolist():
             string = buf[starts[r] : starts[r] + length].tobytes()
@@ -218,11 +225,16 @@ def _batch(schema: str, *cols) -> pa.RecordBatch:
 
 
 def _freed(*tables: DataFrame) -> None:
-    """Removes written tables that are done with, and lets Spark remove the shuffle files of plans that nothing holds."""
+    """Removes written tables that are done with."""
     for t in tables:
         drop_written(t)
-    gc.collect()
-    SparkSession.active()._jvm.System.gc()
+
+
+def _told(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of each string as two numbers: unlike polynomial hashes they may stand for the bytes."""
+    d = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in strings)
+    both = np.frombuffer(d, np.int64).reshape(-1, 2) if d else np.zeros((0, 2), np.int64)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _packed(p: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -297,22 +309,22 @@ def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _digests(texts: DataFrame, length: int) -> DataFrame:
-    """h (of the anchor), g (of the whole segment), doc, s, again: whether an earlier equal segment stands in the same task.
+    """h (of the anchor), g1 and g2 (digest of the whole segment), doc, s, again: whether an earlier equal segment stands in the same task.
 
     texts: doc, text, s (array).  What is again is settled here; of each segment a task sends one on.
     """
-    schema = "h long, g long, doc long, s long, again boolean"
+    schema = "h long, g1 long, g2 long, doc long, s long, again boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
 
         def out():
-            h, g, doc, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((seg, doc, g, h))
-            h, g, doc, seg = (x[order] for x in (h, g, doc, seg))
-            again = np.concatenate(([False], (h[1:] == h[:-1]) & (g[1:] == g[:-1])))
+            h, g1, g2, doc, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((seg, doc, g2, g1, h))
+            h, g1, g2, doc, seg = (x[order] for x in (h, g1, g2, doc, seg))
+            again = np.concatenate(([False], (h[1:] == h[:-1]) & (g1[1:] == g1[:-1]) & (g2[1:] == g2[:-1])))
             for i in range(0, len(h), 1 << 18):
-                yield _batch(schema, *(x[i : i + (1 << 18)] for x in (h, g, doc, seg, again)))
+                yield _batch(schema, *(x[i : i + (1 << 18)] for x in (h, g1, g2, doc, seg, again)))
 
         for b in batches:
             for i in range(0, b.num_rows, 512):
@@ -320,12 +332,13 @@ def _digests(texts: DataFrame, length: int) -> DataFrame:
                 lists = part.column(2)
                 seg = lists.flatten().to_numpy()
                 d = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                buf, begin, _ = _joined([_bytes(t) for t in part.column(1).to_pylist()])
+                texts = [_bytes(t) for t in part.column(1).to_pylist()]
+                buf, begin, _ = _joined(texts)
                 p, a, z = _unpacked(seg)
-                pre = Prefix(buf)
                 # the anchor's place belongs to what makes segments equal
-                g = pre.of(begin[d] + a, z + length - a) ^ ((p - a).astype(np.uint64) * np.uint64(_BASES[1]))
-                parts.append((pre.of(begin[d] + p, GRAM).view(np.int64), g.view(np.int64), part.column(0).to_numpy()[d], seg))
+                strings = [texts[i][x:y] + bytes((at >> 8, at & 255)) for i, x, y, at in zip(d.tolist(), a.tolist(), (z + length).tolist(), (p - a).tolist(), strict=True)]
+                h = Prefix(buf).of(begin[d] + p, GRAM).view(np.int64) if len(d) else np.array([], np.int64)
+                parts.append((h, *_told(strings), part.column(0).to_numpy()[d], seg))
                 size += len(seg)
             if size >= 2_000_000:
                 yield from out()
@@ -389,12 +402,10 @@ def _sort_task(length: int):
 def _candidates(base: DataFrame, length: int) -> DataFrame:
     """doc, id, n_bytes; s and text where a segment may be a repeat, sha where none can be."""
     places = written(anchors(base.select("doc", "text"), length), "suffix-anchors")
-    _freed()
     per = places.groupBy("doc").agg(F.collect_list("s").alias("s"))
     text = F.coalesce("text", F.lit(""))
     some = F.col("s").isNotNull()
     out = written(base.join(per, "doc", "left").select("doc", "id", "s", F.when(some, F.col("text")).alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.when(~some, F.sha2(text.cast("binary"), 256)).alias("sha")), "suffix-texts")
-    del per
     _freed(places)
     return out
 
@@ -403,10 +414,9 @@ def _told_apart(cand: DataFrame, length: int) -> DataFrame:
     """h, doc, s, first: segments, and whether each is the first of those equal to it."""
     every = written(_digests(cand.filter("s IS NOT NULL").select("doc", "text", "s"), length), "suffix-segments")
     # a task sends a segment once, so that no more rows than tasks meet here
-    place = F.row_number().over(Window.partitionBy("h", "g").orderBy("doc", "s"))
+    place = F.row_number().over(Window.partitionBy("h", "g1", "g2").orderBy("doc", "s"))
     one = every.filter(~F.col("again")).select("h", "doc", "s", (place == 1).alias("first"))
     out = written(one.unionByName(every.filter("again").select("h", "doc", "s", F.lit(False).alias("first"))), "suffix-firsts")
-    del one
     _freed(every)
     return out
 
@@ -430,20 +440,19 @@ def _pieces(cand: DataFrame, segs: DataFrame, length: int) -> DataFrame:
         return _batch(raw, h, b.column(0).to_numpy()[d], p.astype(np.int32), a.astype(np.int32), n, pa.array(strings, pa.binary()))
 
     out = written(by_slices(cand.filter("s IS NOT NULL").select("doc", "text").join(per, "doc"), cut, raw), "suffix-pieces")
-    del firsts, per
     _freed(many)
     return out
 
 
 def _hot_repeats(pieces: DataFrame, length: int) -> DataFrame:
-    """doc, a, b: strings of pieces that are equal to an earlier one, by their 128-bit hashes and an aggregation."""
+    """doc, a, b: strings of pieces that are equal to an earlier one, by their digests and an aggregation."""
 
     def strings(b: pa.RecordBatch) -> pa.RecordBatch:
-        buf, begin, lens = _joined(b.column(5).to_pylist())
-        many = lens - length + 1
-        s = np.repeat(np.arange(len(lens)), many)
+        texts = b.column(5).to_pylist()
+        many = np.fromiter((len(t) - length + 1 for t in texts), np.int64, len(texts))
+        s = np.repeat(np.arange(len(texts)), many)
         off = np.arange(len(s)) - np.repeat(np.cumsum(many) - many, many)
-        one, two = (Prefix(buf, k).of(begin[s] + off, length).view(np.int64) for k in (0, 1))
+        one, two = _told([texts[i][x : x + length] for i, x in zip(s.tolist(), off.tolist(), strict=True)])
         return _batch("g1 long, g2 long, doc long, a int", one, two, b.column(1).to_numpy()[s], (b.column(3).to_numpy()[s] + off).astype(np.int32))
 
     each = by_slices(pieces, strings, "g1 long, g2 long, doc long, a int")
@@ -461,21 +470,39 @@ def _repeated(cand: DataFrame, length: int, hot: int) -> DataFrame:
     cold = pieces.filter(F.col("n") <= hot).drop("n").repartition("h").mapInArrow(run, schema)
     every = whole.unionByName(cold).unionByName(_hot_repeats(pieces.filter(F.col("n") > hot), length))
     out = written(every.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("g")), "suffix-gone")
-    del whole, cold, every
     _freed(segs, pieces)
     return out
 
 
+def _numbered(base: DataFrame) -> DataFrame:
+    """base (id, text) with doc: a number that rises with the id, null ids last.
+
+    Ids that are whole numbers, none null or twice, are the numbers.  Others are numbered in two levels: ids and hashes
+    of texts, without the texts, are dealt out in ranges and numbered within each behind what stands in those before.
+    Rows of one id are in the order of their texts' hashes; equal rows are brought together and numbered one by one.
+    """
+    n, ids = base.agg(F.count(F.lit(1)), F.countDistinct("id")).first()
+    if n == ids and dict(base.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint"):
+        return base.withColumn("doc", F.col("id").cast("long"))
+    h = F.sha2(F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("")), 256)
+    rows = base.withColumn("h", h)
+    order = [F.col("id").asc_nulls_last(), F.col("h").asc()]
+    ranged = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("m")).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = written(ranged, "suffix-ranges")
+    each = ranged.groupBy("part").agg(F.sum("m").alias("c"))  # a row a range
+    first = each.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("start"))
+    inner = F.sum("m").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
+    numbers = written(ranged.withColumn("inner", inner).join(F.broadcast(first), "part").select(F.col("id").alias("id2"), F.col("h").alias("h2"), (F.col("start") + F.col("inner")).alias("doc")), "suffix-numbers")
+    one = rows.groupBy("id", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("m"))
+    found = one.join(numbers, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")))
+    return written(found.select("id", "text", F.explode(F.sequence("doc", F.col("doc") + F.col("m") - 1)).alias("doc")), "suffix-docs")
+
+
+@tidy
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of a, b: half-open byte ranges that go)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n, ids = base.agg(F.count(F.lit(1)), F.countDistinct("id")).first()
-    if n > ids:  # ids that are null or occur twice: documents are numbered in order instead
-        order = Window.orderBy(F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first())
-        base = written(base.select("id", "text", F.row_number().over(order).cast("long").alias("doc")), "suffix-docs")
-    else:
-        base = base.withColumn("doc", F.col("id").cast("long"))
+    base = _numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     cand = _candidates(base, length)
     gone = _repeated(cand, length, hot)
 

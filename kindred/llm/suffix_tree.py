@@ -1,42 +1,49 @@
-"""LM scoring by a probabilistic suffix tree over words.
+"""LM scoring by a probabilistic suffix tree over words, of parameter depth, kept sharded.
 
 Tokens are a text's words, A-Z lower-cased, and one end.  The root's distribution is the unigram one, (c + 0.1) /
-(N + 0.1 (V + 1)).  Contexts of one and two words come into question where their share of all tokens is ``p_min`` or
-more; next words are held explicitly where their share behind the context is ``gamma`` or more; a context is retained where
-its distribution diverges from its parent's by ``min_kl`` nats or more.  What a context does not hold explicitly takes the rest
-of its mass in proportion to its parent, so that every state's distribution sums to one.  A token is scored by the
-longest retained suffix of what stands before it.
-
-All counts cover all training texts.  The two shares bound the tree: at most 1 / p_min contexts of a length, with 1 / gamma
-words each, whatever the corpus; that is what is broadcast.  Unigram counts have no such bound and are never
-broadcast: texts are dealt into blocks, a block asks for the counts of its own words, and gets them through a shuffle by
-word.
+(N + 0.1 (V + 1)).  A context of 1 to ``depth`` words that training texts have ``min_count`` times or more comes into
+question as a state.  It is retained where its next words diverge from those behind its own suffix (one word less) by
+more than they cost: the count times the Kullback-Leibler divergence of the two, in nats, exceeds ``penalty`` for each
+different next word beyond the first.  So the tree grows with the corpus, and nothing but counts bounds it.  A state s with C
+occurrences and K different next words gives w the probability (c - discount) / C + discount K / C * p(w), where c is
+how often w follows (the first term is 0 without it) and p is that of the longest retained suffix of s: every state's
+distribution sums to one.  A token is scored by the longest retained suffix of what stands before it.
+
+Neither counts nor tree ever meet in one place.  Texts are cut into blocks of ``block_bytes``, which stay where they
+are; a block asks for the sums of its own keys (words, word sequences by a 64-bit hash, contexts) and adds what it has
+to them; keys are dealt out by hash, a message holds all of a block's keys for one of them, and the answers come back
+in the order asked.  So a key of any frequency is one number a block.  Longer sequences are asked for only where their
+context can still be a state and does not yet determine the next word, which most places in copied text do early.
 
 Defined results: a null or empty text is its end alone; a null id is hashed like the empty string; repeated rows are
-counted and scored each; without training texts every token is unknown; an empty table gives no rows; columns other
-than id and text are ignored, whatever their names.
+counted and scored each; without training texts every token is unknown; an empty table gives no rows; very long texts
+are a block of their own; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import table, written
+from kindred.llm.common import drop_written, table, tidy, written
 
 #: Stands for the end; no word can be empty.
 END = b""
 ALPHA = 0.1
-P_MIN = 1e-3
-GAMMA = 1e-2
-MIN_KL = 2e-3
+DEPTH = 5
+MIN_COUNT = 2
+PENALTY = 4.0
+DISCOUNT = 0.75
 BLOCK_BYTES = 8 << 20
+#: Gains and shares are summed as whole numbers, so that sums do not depend on their order.
+GAIN, SHARE = 1 << 10, 1 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -49,253 +56,385 @@ def held_out(id_col: Column, folds: int = 10) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-@dataclass(frozen=True)
-class Tree:
-    """States by number, the root being -1.  A state's words and their probabilities stand in words and logs, sorted by word.
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, ascending; the place of each key among them)"""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    place = np.empty(len(s), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return s[new], place
+
+
+def summed(place: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """Whole numbers added up by place; exact."""
+    if not len(values) or float(np.abs(values).sum(dtype=np.float64)) < 1 << 52:  # doubles hold all partial sums
+        return np.bincount(place, weights=values, minlength=n).astype(np.int64)
+    out = np.zeros(n, np.int64)
+    order = np.argsort(place, kind="stable")
+    at = np.flatnonzero(np.diff(place[order], prepend=-1))
+    out[place[order][at]] = np.add.reduceat(values[order], at)
+    return out
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as many bytes each as the largest needs, which the first byte says."""
+    top = int(x.max()) if len(x) else 0
+    width = next(k for k in (1, 2, 4, 8) if top < 1 << 8 * k)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(b: bytes, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(kind)
+
 
-    after: state of each one-word context, by word number.  longer: (word before, state of the word) to state.
-    names: the numbered words.  rest: for each state (parent, log10 of the factor on the parent's probability).
+class Block:
+    """Texts of one block as numbers: a code for each token, and for each code a hash and the word's count.
+
+    seen[n][i] is how often the n tokens that end at i occur in training texts; 0 also stands for what cannot matter.
     """
 
-    names: dict[bytes, int]
-    after: dict[int, int]
-    longer: dict[tuple[int, int], int]
-    parent: np.ndarray
-    rest: np.ndarray
-    codes: np.ndarray  # state * len(names) + word, ascending
-    logs: np.ndarray
-
-
-def _numbered(texts: Iterator[str | None], names: dict[bytes, int]) -> Iterator[np.ndarray]:
-    get = names.get
-    for t in texts:
-        w = tokens(t)
-        yield np.fromiter((get(x, -1) for x in w), np.int64, len(w))
-
-
-def pair_counts(train: DataFrame, names: dict[bytes, int], contexts: list[tuple[int, ...]]) -> DataFrame:
-    """ctx (its number in contexts), w (word number), c: how often each numbered word follows each context."""
-    n = len(names)
-    one = {c[0]: i for i, c in enumerate(contexts) if len(c) == 1}
-    two = {c[0] * n + c[1]: i for i, c in enumerate(contexts) if len(c) == 2}
-    first = np.full(n + 1, -1)
-    for w, i in one.items():
-        first[w] = i
-    keys = np.array(sorted(two), np.int64)
-    places = np.array([two[k] for k in keys.tolist()], np.int64)
-
-    def rows(total: Counter) -> pa.RecordBatch:
-        code = np.fromiter(total.keys(), np.int64, len(total))
-        return pa.RecordBatch.from_arrays([pa.array((code // n).astype(np.int32)), pa.array((code % n).astype(np.int32)), pa.array(np.fromiter(total.values(), np.int64, len(total)))], names=["ctx", "w", "c"])
+    def __init__(self, lens: np.ndarray, learn: np.ndarray, codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray | None = None, seen: list[np.ndarray] | None = None):
+        self.lens, self.learn, self.codes, self.hashes, self.counts = lens, learn, codes, hashes, counts
+        self.seen = [np.array([]), *([] if counts is None else [counts[codes]]), *(seen or [])]
+        self.starts = np.cumsum(lens) - lens
+        self.place = np.arange(len(codes)) - np.repeat(self.starts, lens)
+        self.train = np.repeat(learn, lens)
+        self._grams = [np.array([], np.uint64), hashes[codes]]
+
+    @classmethod
+    def of_texts(cls, texts: list[str | None], learn: list[bool]) -> tuple[Block, list[bytes]]:
+        """The block, and its words by code."""
+        known: dict[bytes, int] = {END: 0}
+        lens, parts = [], []
+        for t in texts:
+            w = tokens(t)
+            lens.append(len(w))
+            parts.append(np.fromiter((known.setdefault(x, len(known)) for x in w), np.int64, len(w)))
+        words = list(known)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        return cls(np.array(lens, np.int64), np.array(learn, bool), np.concatenate(parts), hashes), words
+
+    def packed(self) -> list[bytes]:
+        c = self.codes
+        out = [self.learn.tobytes(), _packed(self.lens), (c & 0xFFFF).astype("<u2").tobytes(), _packed(c >> 16), self.hashes.tobytes()]
+        return out if self.counts is None else [*out, _packed(self.counts), *map(_packed, self.seen[2:])]
+
+    @classmethod
+    def of_packed(cls, b: list[bytes]) -> Block:
+        codes = np.frombuffer(b[2], "<u2").astype(np.int64) | _unpacked(b[3]) << 16
+        counts = _unpacked(b[5]) if len(b) > 5 else None
+        return cls(_unpacked(b[1]), np.frombuffer(b[0], bool), codes, np.frombuffer(b[4], np.uint64), counts, [_unpacked(x) for x in b[6:]])
+
+    def word_counts(self) -> np.ndarray:
+        """How often the training texts of the block have each of its words."""
+        return np.bincount(self.codes[self.train], minlength=len(self.hashes)).astype(np.int64)
+
+    def grams(self, n: int) -> np.ndarray:
+        """A hash of the n tokens that end at each place; of no use where a text has not as many."""
+        while len(self._grams) <= n:
+            last = self._grams[-1]
+            x = np.empty(len(last), np.uint64)
+            x[:1] = 0
+            x[1:] = last[:-1]
+            x = x * np.uint64(0x9E3779B97F4A7C15) + self._grams[1] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(len(self._grams))
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            self._grams.append(x ^ (x >> np.uint64(29)))
+        return self._grams[n]
+
+    def before(self, x: np.ndarray, back: int = 1) -> np.ndarray:
+        """x as it stands ``back`` places before each place; 0 in front of a text."""
+        out = np.zeros_like(x)
+        out[back:] = x[:-back]
+        out[self.place < back] = 0
+        return out
+
+    def determined(self, up_to: int, min_count: int) -> np.ndarray:
+        """Whether a context of fewer than ``up_to`` words has no other next word: then longer ones have none either."""
+        out = np.zeros(len(self.codes), bool)
+        for m in range(1, up_to):
+            c = self.before(self.seen[m])
+            out |= (c >= min_count) & (self.seen[m + 1] == c)
+        return out
+
+    def asked(self, n: int, known: int, min_count: int) -> np.ndarray:
+        """Places whose last n tokens are to be counted, by what is known of up to ``known`` tokens: the same for equal tokens anywhere."""
+        k = min(n - 1, known)
+        out = (self.place >= n - 1) & (self.seen[k] >= 1) & ~self.determined(known, min_count)
+        for back in range(1, n - k + 1):
+            out &= self.before(self.seen[k], back) >= min_count
+        return out
+
+    def count_keys(self, levels: list[int], min_count: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(keys, the place among them of every asked place level by level, which places are asked)"""
+        known = levels[0] - 1
+        masks = [self.asked(n, known, min_count) for n in levels]
+        keys, place = grouped(np.concatenate([self.grams(n)[m] for n, m in zip(levels, masks, strict=True)]))
+        return keys, place, masks
+
+    def count_ask(self, levels: list[int], min_count: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys, place, masks = self.count_keys(levels, min_count)
+        mine = np.concatenate([self.train[m] for m in masks])
+        return keys, [np.bincount(place[mine], minlength=len(keys)).astype(np.int64)]
+
+    def count_take(self, levels: list[int], min_count: int, answers: np.ndarray) -> None:
+        _, place, masks = self.count_keys(levels, min_count)
+        at = 0
+        for n, m in zip(levels, masks, strict=True):
+            done = self.determined(n - 1, min_count)
+            found = np.where(done, self.before(self.seen[n - 1]), 0)
+            size = int(m.sum())
+            found[m] = answers[place[at : at + size]]
+            at += size
+            self.seen.append(found)
+
+    def contexts(self, depth: int, min_count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each depth: whether a place has a context of as many words that can be a state, and its count."""
+        for k in range(1, depth + 1):
+            c = self.before(self.seen[k])
+            yield (self.place >= k) & (c >= min_count), c
+
+    def state_keys(self, depth: int, min_count: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(keys, places among them, where) of contexts that have other next words too; what determines its next word needs no sums."""
+        where = [np.flatnonzero(ok & (self.seen[k + 1] < c)) for k, (ok, c) in enumerate(self.contexts(depth, min_count), 1)]
+        keys, place = grouped(np.concatenate([self.grams(k)[i - 1] for k, i in enumerate(where, 1)]))
+        return keys, place, where
+
+    def state_ask(self, depth: int, min_count: int, total: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Sums by context over the training texts: gain, and 1 / count of each next word, which add up to how many there are."""
+        keys, place, where = self.state_keys(depth, min_count)
+        mine = [self.train[i] for i in where]
+        gain, share = [], []
+        for k, (i, m) in enumerate(zip(where, mine, strict=True), 1):
+            i = i[m]
+            with_w, c, up_w = self.seen[k + 1][i], self.seen[k][i - 1], self.seen[k][i]
+            up = total if k == 1 else self.seen[k - 1][i - 1]
+            gain.append(np.rint(np.log(with_w / c * (up / up_w)) * GAIN).astype(np.int64))
+            share.append(np.rint(SHARE / with_w).astype(np.int64))
+        at = place[np.concatenate(mine)]
+        return keys, [summed(at, len(keys), np.concatenate(x)) for x in (gain, share)]
+
+    def scores(self, depth: int, min_count: int, discount: float, total: int, distinct: int, answers: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each text n_tokens, n_known, base score and score; answers as ``state_answer`` gives them."""
+        _, place, where = self.state_keys(depth, min_count)
+        c1 = self.seen[1]
+        base = (c1 + ALPHA) / (total + ALPHA * (distinct + 1))
+        p, at = base.copy(), 0
+        fixed = np.zeros(len(p), bool)  # whether the context one word shorter determines its next word
+        for k, ((ok, c), i) in enumerate(zip(self.contexts(depth, min_count), where, strict=True), 1):
+            kinds = np.zeros(len(p), np.int64)
+            kinds[i] = answers[place[at : at + len(i)]]
+            at += len(i)
+            determines = ok & (kinds == 0)  # this next word, or one that does not stand here
+            kept = np.flatnonzero((kinds > 0) | (determines & ~fixed))
+            of, left = c[kept], discount * np.maximum(kinds[kept], 1)
+            p[kept] = (np.maximum(self.seen[k + 1][kept] - discount, 0) + left * p[kept]) / of
+            fixed = determines
+        add = lambda x: np.add.reduceat(x, self.starts)
+        return self.lens, add((c1 > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
+
+
+def state_answer(gain: np.ndarray, share: np.ndarray, penalty: float) -> np.ndarray:
+    """How many next words a state has, negative if it is not retained; 0 for a context with one next word."""
+    kinds = np.rint(share / SHARE).astype(np.int64)
+    return np.where(gain > penalty * GAIN * (kinds - 1), kinds, -kinds)
+
+
+def rounds_of(depth: int) -> list[list[int]]:
+    """Lengths of sequences that are counted in one round: few are left to be asked for beyond three tokens."""
+    longer = list(range(4, depth + 2))
+    return [[n] for n in (2, 3) if n <= depth + 1] + [longer[i : i + 3] for i in range(0, len(longer), 3)]
+
+
+_ASK = "p int, block long, keys binary, sums array<binary>"
+_ANSWER = "block long, p int, answer binary"
+
+
+def _batch(rows: list[tuple], names: tuple[str, ...], types: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
+
+
+def _dealt(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of ascending keys: a part is a range of their upper halves."""
+    if not len(keys):
+        return []
+    p = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    at = np.flatnonzero(np.diff(p.astype(np.int64), prepend=-1))
+    return list(zip(p[at].tolist(), at.tolist(), [*at[1:].tolist(), len(keys)], strict=True))
+
+
+def _messages(states: DataFrame, parts: int, ask) -> DataFrame:
+    """What the blocks ask: keys ascending, and the sums that they bring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                found = []
-                for x in _numbered(b.column(0).slice(i, 1024).to_pylist(), names):
-                    c = first[x[:-1]]
-                    hit = (c >= 0) & (x[1:] >= 0)
-                    found.append(c[hit] * n + x[1:][hit])
-                    if len(keys) and len(x) > 2:
-                        p = np.where((x[:-2] >= 0) & (x[1:-1] >= 0), x[:-2] * n + x[1:-1], -1)
-                        at = np.minimum(np.searchsorted(keys, p), len(keys) - 1)
-                        hit = (keys[at] == p) & (x[2:] >= 0)
-                        found.append(places[at[hit]] * n + x[2:][hit])
-                code, c = np.unique(np.concatenate(found), return_counts=True)
-                total.update(dict(zip(code.tolist(), c.tolist(), strict=True)))
-                if len(total) > 400_000:  # sent on in part; the sums are made where they meet
-                    yield rows(total)
-                    total.clear()
-        if total:
-            yield rows(total)
-
-    return train.select("text").mapInArrow(run, "ctx int, w int, c long").groupBy("ctx", "w").agg(F.sum("c").alias("c"))
-
-
-def build(names: dict[bytes, int], unigram: dict[int, float], levels: list[list[tuple[tuple[int, ...], int, list[tuple[int, int]]]]], gamma: float = GAMMA, min_kl: float = MIN_KL) -> Tree:
-    """levels: for each length, (context, its count, [(word, count behind it)]) with words of share gamma or more."""
-    n = len(names)
-    dists: list[dict[int, float]] = []
-    parent, rest = [], []
-    after: dict[int, int] = {}
-    longer: dict[tuple[int, int], int] = {}
-
-    def prob(state: int, w: int) -> float:
-        factor = 1.0
-        while state >= 0:
-            if w in dists[state]:
-                return factor * dists[state][w]
-            factor *= 10 ** rest[state]
-            state = parent[state]
-        return factor * unigram[w]
-
-    for level in levels:
-        for ctx, total, following in sorted(level):
-            up = -1 if len(ctx) == 1 else after.get(ctx[1], -1)
-            own = {w: c / total for w, c in following if c >= gamma * total}
-            theirs = {w: prob(up, w) for w in own}
-            left, below = 1 - sum(own.values()), 1 - sum(theirs.values())
-            if left < 1e-6:  # some mass always stays for words not seen here
-                own = {w: p * (1 - 1e-6) for w, p in own.items()}
-                left = 1 - sum(own.values())
-            below = max(below, 1e-12)
-            kl = sum(p * np.log(p / theirs[w]) for w, p in own.items()) + left * np.log(left / below)
-            if kl < min_kl:
-                continue
-            state = len(dists)
-            dists.append(own)
-            parent.append(up)
-            rest.append(float(np.log10(left / below)))
-            if len(ctx) == 1:
-                after[ctx[0]] = state
-            else:
-                longer[ctx] = state
-    flat = sorted((s * n + w, np.log10(p)) for s, d in enumerate(dists) for w, p in d.items())
-    return Tree(names, after, longer, np.array(parent, np.int64), np.array(rest, float), np.array([c for c, _ in flat], np.int64), np.array([x for _, x in flat], float))
-
-
-def fit(train: DataFrame, counts: DataFrame, total: int, distinct: int, p_min: float = P_MIN, gamma: float = GAMMA, min_kl: float = MIN_KL) -> Tree:
-    """counts: word (binary), c, over the texts of train."""
-    if total == 0:
-        return build({}, {}, [])
-    # a pair behind a context of share p_min with share gamma has a word of share p_min * gamma at least
-    rows = counts.filter(F.col("c") >= p_min * gamma * total).collect()  # at most 1 / (p_min * gamma) words
-    rows.sort(key=lambda r: (-r["c"], bytes(r["word"])))
-    names = {bytes(r["word"]): i for i, r in enumerate(rows)}
-    uni = {i: (r["c"] + ALPHA) / (total + ALPHA * (distinct + 1)) for i, r in enumerate(rows)}
-    often = {i: r["c"] for i, r in enumerate(rows) if r["c"] >= p_min * total and bytes(r["word"]) != END}
-    levels, contexts = [], [(i,) for i in often]
-    size = {(i,): c for i, c in often.items()}
-    for depth in (1, 2):
-        if not contexts:
-            break
-        pairs = pair_counts(train, names, contexts)
-        ctx_size = F.element_at(F.array(*[F.lit(size[c]).cast("long") for c in contexts]), F.col("ctx") + 1)
-        kept = pairs.filter((F.col("c") >= gamma * ctx_size) | ((F.col("c") >= p_min * total) if depth == 1 else F.lit(False))).collect()  # bounded like the tree
-        following: dict[int, list] = {}
-        for r in sorted((r["ctx"], r["w"], r["c"]) for r in kept):
-            following.setdefault(r[0], []).append(r[1:])
-        levels.append([(c, size[c], following.get(i, [])) for i, c in enumerate(contexts)])
-        if depth == 1:
-            size = {(contexts[r["ctx"]][0], r["w"]): r["c"] for r in kept if r["w"] in often and r["c"] >= p_min * total}
-            contexts = sorted(size)
-    return build(names, uni, levels, gamma, min_kl)
-
-
-@dataclass(frozen=True)
-class Words:
-    """The words of a block that the training texts have: their places, and for each place count and number in the tree.
-
-    The last place, which -1 names, stands for all other words.
-    """
+            for i in range(b.num_rows):
+                keys, sums = ask(Block.of_packed(b.column(1)[i].as_py()))
+                block = b.column(0)[i].as_py()
+                rows = [(p, block, keys[x:y].tobytes(), [s[x:y].tobytes() for s in sums]) for p, x, y in _dealt(keys, parts)]
+                if rows:
+                    yield _batch(rows, ("p", "block", "keys", "sums"), (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary())))
 
-    place: dict[bytes, int]
-    count: np.ndarray
-    number: np.ndarray
+    return states.select("block", "state").mapInArrow(run, _ASK).repartition(parts, "p")
 
-    @classmethod
-    def of(cls, words: list[bytes], counts: np.ndarray, tree: Tree) -> Words:
-        place = dict(zip(words, range(len(words)), strict=True))
-        number = np.full(len(words) + 1, -1, np.int64)
-        for w, i in tree.names.items():
-            at = place.get(w)
-            if at is not None:
-                number[at] = i
-        return cls(place, np.append(counts, 0), number)
-
-
-def score_block(tree: Tree, docs: list[list[bytes]], words: Words, total: int, distinct: int) -> tuple[np.ndarray, ...]:
-    """For each document n_tokens, n_known, base score and score, all in one pass over the tokens."""
-    lens = np.fromiter(map(len, docs), np.int64, len(docs))
-    ends = np.cumsum(lens)
-    get = words.place.get
-    ids = np.fromiter((get(x, -1) for d in docs for x in d), np.int64, int(lens.sum()))
-    c = words.count[ids]
-    uni = np.log10((c + ALPHA) / (total + ALPHA * (distinct + 1)))
-    known = c > 0
-    n = max(1, len(tree.names))
-    num = words.number[ids]
-    one = np.full(n + 1, -1)
-    for w, s in tree.after.items():
-        one[w] = s
-    before = np.concatenate(([-1], num[:-1]))
-    before2 = np.concatenate(([-1, -1], num[:-2]))[: len(num)]
-    starts = ends - lens
-    before[starts] = -1
-    before2[starts] = -1
-    second = starts[lens > 1] + 1
-    before2[second] = -1
-    state = one[before]
-    if tree.longer:
-        keys = np.array(sorted(a * n + b for a, b in tree.longer), np.int64)
-        vals = np.array([tree.longer[(int(k // n), int(k % n))] for k in keys], np.int64)
-        p = np.where((before >= 0) & (before2 >= 0), before2 * n + before, -1)
-        at = np.minimum(np.searchsorted(keys, p), len(keys) - 1)
-        state = np.where(keys[at] == p, vals[at], state)
-    log = np.zeros(len(ids))
-    open_ = np.arange(len(ids))
-    while len(open_):  # from the longest state up to the root, at most as many steps as the tree is deep
-        s = state[open_]
-        root = open_[s < 0]
-        log[root] += uni[root]
-        open_ = open_[s >= 0]
-        if not len(open_):
-            break
-        s = state[open_]
-        code = np.where(num[open_] >= 0, s * n + num[open_], -1)
-        at = np.minimum(np.searchsorted(tree.codes, code), max(0, len(tree.codes) - 1))
-        hit = (tree.codes[at] == code) if len(tree.codes) else np.zeros(len(code), bool)
-        log[open_[hit]] += tree.logs[at[hit]]
-        open_, s = open_[~hit], s[~hit]
-        log[open_] += tree.rest[s]
-        state[open_] = tree.parent[s]
-    add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.array([])
-    return lens, add(known.astype(np.int64)), add(uni), add(log)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, block_bytes: int = BLOCK_BYTES, **params) -> DataFrame:
+
+def _answers(messages: DataFrame, name: str, answer=lambda s: s) -> DataFrame:
+    """The sums of all blocks for each key, in the order asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, keys, sums = [], [], []
+        for b in batches:
+            for p, block, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                where.append((block, p, len(k) // 8))
+                keys.append(np.frombuffer(k, np.uint64))
+                sums.append([np.frombuffer(x, np.int64) for x in s])
+        if not where:
+            return
+        different, place = grouped(np.concatenate(keys))
+        total = answer(*(summed(place, len(different), np.concatenate(x)) for x in zip(*sums, strict=True)))
+        at = 0
+        for i in range(0, len(where), 64):
+            rows = []
+            for block, p, n in where[i : i + 64]:
+                rows.append((block, p, total[place[at : at + n]].tobytes()))
+                at += n
+            yield _batch(rows, ("block", "p", "answer"), (pa.int64(), pa.int32(), pa.binary()))
+
+    return written(messages.mapInArrow(run, _ANSWER), name, compression="zstd")
+
+
+def _told(states: DataFrame, answers: DataFrame, parts: int, f, schema: str) -> DataFrame:
+    """f(block number, ids, block, its answers) for each block: a table of the schema."""
+    none = lambda c: F.lit(None).cast(states.schema[c].dataType).alias(c)
+    both = states.select("block", "ids", "state", F.lit(-1).alias("p"), F.lit(None).cast("binary").alias("answer"))
+    both = both.unionByName(answers.select("block", none("ids"), none("state"), "p", "answer"))
+
+    def run(key, t):
+        p = t.column("p").to_numpy()
+        order = np.argsort(p)
+        own = int(order[0])  # the block itself; it stands in front of its answers
+        got = t.column("answer").take(pa.array(order[1:])).to_pylist()
+        block = Block.of_packed(t.column("state")[own].as_py())
+        return f(key[0].as_py(), t.column("ids").slice(own, 1).combine_chunks(), block, np.frombuffer(b"".join(got), np.int64))
+
+    return both.repartition(parts, "block").groupBy("block").applyInArrow(run, schema)
+
+
+def _cut(rows: DataFrame, schema: str, block_bytes: int) -> DataFrame:
+    """Blocks of the rows (id, text, learn) as they lie: block, ids, state and words (by code, joined by spaces)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, n = 0, 0
+
+        def out():
+            ids = pa.concat_arrays([b.column(0) for b in held])
+            texts = [t for b in held for t in b.column(1).to_pylist()]
+            block, words = Block.of_texts(texts, [x for b in held for x in b.column(2).to_pylist()])
+            number = TaskContext.get().partitionId() << 32 | n
+            whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([number]), whole, pa.array([block.packed()], pa.list_(pa.binary())), pa.array([b" ".join(words)], pa.binary())], names=["block", "ids", "state", "words"])
+
+        for b in batches:
+            at = 0
+            for i, nbytes in enumerate(pc.binary_length(b.column(1)).fill_null(0).to_pylist()):
+                size += nbytes
+                if size >= block_bytes:
+                    held.append(b.slice(at, i + 1 - at))
+                    yield out()
+                    held, size, n, at = [], 0, n + 1, i + 1
+            if at < b.num_rows:
+                held.append(b.slice(at))
+        if held:
+            yield out()
+
+    return written(rows.mapInArrow(run, f"{schema}, words binary"), "lm-blocks", maxRecordsPerFile=1, compression="zstd")
+
+
+def _word_answers(blocks: DataFrame, parts: int) -> DataFrame:
+    """Counts of words in all training texts, by the words themselves; block -1: how many tokens and different words a part has."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, state, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                block, w = Block.of_packed(state), words.split(b" ")
+                order, mine = np.argsort(block.hashes), block.word_counts()
+                rows = [(p, number, b" ".join([w[i] for i in order[x:y].tolist()]), [mine[order[x:y]].tobytes()]) for p, x, y in _dealt(block.hashes[order], parts)]
+                yield _batch(rows, ("p", "block", "keys", "sums"), (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary())))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, codes, counts = [], [], []
+        known: dict[bytes, int] = {}
+        for b in batches:
+            for p, block, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w = k.split(b" ")
+                where.append((block, p, len(w)))
+                codes.append(np.fromiter((known.setdefault(x, len(known)) for x in w), np.int64, len(w)))
+                counts.append(np.frombuffer(s[0], np.int64))
+        if not where:
+            return
+        place = np.concatenate(codes)
+        total = summed(place, len(known), np.concatenate(counts))
+        rows, at = [(-1, 0, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())], 0
+        for block, p, n in where:
+            rows.append((block, p, total[place[at : at + n]].tobytes()))
+            at += n
+        yield _batch(rows, ("block", "p", "answer"), (pa.int64(), pa.int32(), pa.binary()))
+
+    asked = blocks.select("block", "state", "words").mapInArrow(ask, _ASK).repartition(parts, "p")
+    return written(asked.mapInArrow(answer, _ANSWER), "lm-answers", compression="zstd")
+
+
+@tidy
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, depth: int = DEPTH, min_count: int = MIN_COUNT, penalty: float = PENALTY, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score; train says which rows are learnt from."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    if depth < 1 or not 0 < discount < 1:
+        raise ValueError("depth must be one at least, discount between 0 and 1")
     learn = ~held_out(F.col(id_col)) if train is None else train
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), learn.alias("learn"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    laid = rows.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)).cast("int"))
-
-    def ask(key, t):
-        seen: Counter = Counter()
-        also: set = set()
-        for i in range(0, t.num_rows, 256):
-            s = t.slice(i, 256)
-            for text, learns in zip(s.column("text").to_pylist(), s.column("learn").to_pylist(), strict=True):
-                if learns:
-                    seen.update(tokens(text))
-                else:
-                    also.update(tokens(text))
-        also.difference_update(seen)
-        w = [*seen, *also]
-        return pa.table([pa.array([key[0].as_py()] * len(w), pa.int32()), pa.array(w, pa.binary()), pa.array([*seen.values(), *([0] * len(also))], pa.int64())], names=["block", "word", "c"])
-
-    asked = written(laid.groupBy("block").applyInArrow(ask, "block int, word binary, c long"), "lm-words")
-    counts = asked.groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0")
-    counts = written(counts, "lm-counts")
-    total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    tree = fit(rows.filter("learn"), counts, total, distinct, **params)
-    answers = asked.select("block", "word").join(counts, "word").select("block", "word", "c")
-
-    def run(key, t, known):
-        words = Words.of(known.column("word").to_pylist(), known.column("c").to_numpy(), tree)
-        parts = []
-        for i in range(0, t.num_rows, 512):
-            s = t.slice(i, 512)
-            parts.append(score_block(tree, [tokens(x) for x in s.column("text").to_pylist()], words, total, distinct))
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.array([])] * 4
-        out = [t.column("id").combine_chunks(), t.column("learn").combine_chunks()]
-        return pa.table([*out, *(pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=["id", "learn", "n_tokens", "n_known", "base_score", "score"])
-
-    scored = laid.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"id {kind}, learn boolean, n_tokens long, n_known long, base_score double, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    schema = f"block long, ids array<{kind}>, state array<binary>"
+    states = _cut(rows, schema, block_bytes)
+    parts = max(1, states.count())
+
+    answers = _word_answers(states, parts)
+    sums = [np.frombuffer(r["answer"], np.int64) for r in answers.filter("block = -1").collect()]  # two numbers a part
+    total, distinct = (int(sum(int(s[i]) for s in sums)) for i in (0, 1))
+
+    def kept(number: int, ids, block: Block) -> pa.Table:
+        return pa.table([pa.array([number]), ids, pa.array([block.packed()], pa.list_(pa.binary()))], names=["block", "ids", "state"])
+
+    def with_words(number, ids, block, got):
+        counts = np.empty(len(block.hashes), np.int64)
+        counts[np.argsort(block.hashes)] = got
+        block.counts = counts
+        return kept(number, ids, block)
+
+    def step(f, name="lm-states"):
+        nonlocal states, answers
+        after = written(_told(states.filter("block >= 0"), answers.filter("block >= 0"), parts, f, schema), name, maxRecordsPerFile=1, compression="zstd")
+        drop_written(states)
+        drop_written(answers)
+        states = after
+
+    step(with_words)
+    for levels in rounds_of(depth):
+
+        def counted(number, ids, block, got, levels=levels):
+            block.count_take(levels, min_count, got)
+            return kept(number, ids, block)
+
+        answers = _answers(_messages(states, parts, lambda b, levels=levels: b.count_ask(levels, min_count)), "lm-answers")
+        step(counted)
+    answers = _answers(_messages(states, parts, lambda b: b.state_ask(depth, min_count, total)), "lm-answers", lambda g, s: state_answer(g, s, penalty))
+
+    def end(number, ids, block, got):
+        n, known, base, own = block.scores(depth, min_count, discount, total, distinct, got)
+        return pa.table([ids.flatten(), pa.array(block.learn), *(pa.array(x, t) for x, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (own, pa.float64())))], names=["id", "learn", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = _told(states, answers, parts, end, f"id {kind}, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -236,6 +236,54 @@ def test_suffix_dedup_across_tasks(spark):
         assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(texts)
 
 
+def test_suffix_dedup_of_any_ids(spark, monkeypatch):
+    """Ids that are strings, null or there twice are numbered in ranges; colliding hashes change nothing."""
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    shared = words(30)
+    texts = {f"k{i:03}": f"{words(int(rng.integers(0, 20)))} {shared if i % 3 else ''} {words(5)}" for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(5)
+    got = lambda d: {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removed(d).collect()}
+    assert got(df) == brute_repeats(texts)
+    rows = [(1, shared), (1, shared), (1, f"{shared} x"), (None, shared), (0, "short"), (None, None)]
+    out = suffix_dedup.removed(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    n = len(shared)
+    assert sorted((str(r["id"]), r["n_removed"]) for r in out if r["id"] != 1) == [("0", 0), ("None", 0), ("None", n)]
+    assert sorted(r["n_removed"] for r in out if r["id"] == 1) == [0, n, n]
+
+
+def test_suffix_dedup_with_colliding_hashes(spark, sf, tmp_path):
+    """With a polynomial hash of four bits the whole operator still gives what the bytes say."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import sys
+import numpy as np
+from kindred.llm import suffix_dedup
+from kindred.session import session
+from tests.llm.test_results import brute_repeats
+import inspect, re, types
+src = inspect.getsource(suffix_dedup).replace("return h ^ (h >> np.uint64(29))", "return (h ^ (h >> np.uint64(29))) & np.uint64(15)")
+weak = types.ModuleType("weak")
+sys.modules["weak"] = weak  # not importable by name in a worker: its functions travel by value
+import cloudpickle
+exec(compile(src, "weak", "exec"), weak.__dict__)
+from pyspark import cloudpickle as cp
+cp.register_pickle_by_value(weak)
+spark = session("weak", "local[2]", **{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false"})
+rng = np.random.default_rng(5)
+base = ["".join(rng.choice(list("abc "), 260)) for _ in range(3)]
+texts = {i: base[i % 3][: 120 + 10 * i] + "".join(rng.choice(list("xyz"), 30)) for i in range(12)}
+got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in weak.removed(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+assert got == brute_repeats(texts), got
+"""
+    code = code.replace("import cloudpickle\n", "")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env={**os.environ, "PYTHONPATH": root})
+
+
 @given(st.text(alphabet="ab", min_size=1, max_size=120), st.integers(1, 12))
 @settings(max_examples=40, deadline=None)
 def test_suffix_sort(text, most):
@@ -367,56 +415,72 @@ def test_many_archives(spark, sf, monkeypatch):
     assert {r["page_id"]: r["payload_digest"] for r in warc.round_trip(table(spark, sf, "pages")).collect()} == want
 
 
-def test_suffix_tree(spark, sf, docs):
-    train = [suffix_tree.tokens(t) for i, t in docs.items() if zlib.crc32(str(i).encode()) % 10]
-    c = Counter(x for t in train for x in t)
-    n, v = sum(c.values()), len(c)
-    got = {r["doc_id"]: r for r in registry.QUERIES["op10_suffix_tree"](spark, sf).collect()}
-    # the tree is rebuilt from plain counts
-    follow = {1: Counter(), 2: Counter()}
-    size = {1: Counter(), 2: Counter()}
+def plain_tree(texts, learn, depth=suffix_tree.DEPTH, min_count=suffix_tree.MIN_COUNT, penalty=suffix_tree.PENALTY, d=suffix_tree.DISCOUNT):
+    """Scores by the definitions, from plain counts of all contexts: (base, score) of each text, the states, p(next word behind a context)."""
+    toks = [suffix_tree.tokens(t) for t in texts]
+    train = [t for t, own in zip(toks, learn, strict=True) if own]
+    uni = Counter(w for t in train for w in t)
+    n, v = sum(uni.values()), len(uni)
+    follow: dict = {}
     for t in train:
-        for k in (1, 2):
-            for i in range(k, len(t)):
-                follow[k][tuple(t[i - k : i]), t[i]] += 1
-                size[k][tuple(t[i - k : i])] += 1
-    names = {w: i for i, w in enumerate(sorted((w for w in c if c[w] >= suffix_tree.P_MIN * suffix_tree.GAMMA * n), key=lambda w: (-c[w], w)))}
+        for i in range(len(t)):
+            for k in range(min(depth, i) + 1):
+                follow.setdefault(tuple(t[i - k : i]), Counter())[t[i]] += 1
+    size = {s: sum(c.values()) for s, c in follow.items()}
     states = {}
-    uni = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    for s, c in follow.items():
+        if s and size[s] >= min_count:
+            up = follow[s[1:]]
+            gain = sum(k * round(math.log(k / size[s] * (size[s[1:]] / up[w])) * suffix_tree.GAIN) for w, k in c.items())
+            if gain > penalty * suffix_tree.GAIN * (len(c) - 1) if len(c) > 1 else len(up) > 1:
+                states[s] = c
 
     def prob(ctx, w):
-        while ctx:
-            if ctx in states:
-                own, rest = states[ctx]
-                return own[w] if w in own else rest * prob(ctx[1:], w)
+        while ctx and ctx not in states:
             ctx = ctx[1:]
-        return uni(w)
-
-    ones = sorted((names[w],) for w in names if c[w] >= suffix_tree.P_MIN * n and w != b"")
-    twos = sorted((names[a], names[b]) for (ctx, b), k in follow[1].items() for a in ctx if k >= suffix_tree.P_MIN * n and (names.get(a),) in ones and (names.get(b),) in ones)
-    back = {i: w for w, i in names.items()}
-    for level in (ones, twos):
-        new = {}
-        for code in level:
-            ctx = tuple(back[i] for i in code)
-            total = c[ctx[0]] if len(ctx) == 1 else follow[1][ctx[:1], ctx[1]]
-            own = {w: follow[len(ctx)][ctx, w] / total for w in names if follow[len(ctx)][ctx, w] >= suffix_tree.GAMMA * total}
-            theirs = {w: prob(ctx[1:], w) for w in own}
-            left, below = 1 - sum(own.values()), max(1e-12, 1 - sum(theirs.values()))
-            if left < 1e-6:
-                own = {w: p * (1 - 1e-6) for w, p in own.items()}
-                left = 1 - sum(own.values())
-            kl = sum(p * math.log(p / theirs[w]) for w, p in own.items()) + left * math.log(left / below)
-            if kl >= suffix_tree.MIN_KL:
-                new[ctx] = (own, left / below)
-        states.update(new)
-    assert states
-    for i, t in docs.items():
-        w = suffix_tree.tokens(t)
+        if not ctx:
+            return (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+        c = states[ctx]
+        return (max(c[w] - d, 0) + d * len(c) * prob(ctx[1:], w)) / size[ctx]
+
+    base = [sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t) for t in toks]
+    own = [sum(math.log10(prob(tuple(t[max(0, i - depth) : i]), t[i])) for i in range(len(t))) for t in toks]
+    return base, own, states, prob, uni
+
+
+def test_suffix_tree(spark, sf, docs):
+    ids = sorted(docs)
+    learn = [zlib.crc32(str(i).encode()) % 10 != 0 for i in ids]
+    base, own, states, prob, uni = plain_tree([docs[i] for i in ids], learn)
+    got = {r["doc_id"]: r for r in registry.QUERIES["op10_suffix_tree"](spark, sf).collect()}
+    toks = [suffix_tree.tokens(docs[i]) for i in ids]
+    for i, t, b, s, l in zip(ids, toks, base, own, learn, strict=True):
         r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(c[x] > 0 for x in w), n, zlib.crc32(str(i).encode()) % 10 == 0)
-        assert math.isclose(r["base_score"], sum(math.log10(uni(x)) for x in w), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(prob(tuple(w[max(0, k - 2) : k]), x)) for k, x in enumerate(w)), rel_tol=1e-6)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not l, len(t), sum(w in uni for w in t), sum(uni.values()))
+        assert r["base_score"] == pytest.approx(b, rel=1e-9) and r["score"] == pytest.approx(s, rel=1e-9)
+    # the tree is deep, grows with the corpus, and every state's distribution sums to one
+    assert {len(s) for s in states} == set(range(1, suffix_tree.DEPTH + 1))
+    half = plain_tree([docs[i] for i in ids[: len(ids) // 2]], learn[: len(ids) // 2])[2]
+    assert len(half) < 0.7 * len(states)
+    for s in sorted(states, key=lambda s: (-sum(states[s].values()), s))[:20]:
+        unknown = 0.1 / (sum(uni.values()) + 0.1 * (len(uni) + 1))
+        rest = prob(s, b"no such word")
+        assert sum(prob(s, w) for w in uni) + rest == pytest.approx(1) and rest <= unknown
+    held = [k for k, l in enumerate(learn) if not l]
+    assert sum(own[k] for k in held) > sum(base[k] for k in held)
+
+
+@pytest.mark.parametrize(("depth", "min_count"), [(1, 2), (2, 3), (4, 2), (8, 2)])
+def test_suffix_tree_in_small_blocks(spark, depth, min_count):
+    """Few words and many repeats, cut into many blocks: what is asked for and what is inferred agree with plain counts."""
+    rng = np.random.default_rng(depth)
+    phrase = [" ".join(rng.choice(list("abcde"), 9)) for _ in range(4)]
+    texts = [" ".join([*rng.choice(list("abcdefg"), rng.integers(0, 12)), *(phrase[int(rng.integers(0, 4))] for _ in range(rng.integers(0, 3)))]) for _ in range(60)] + ["", None, phrase[0], phrase[0]]
+    learn = [i % 5 != 0 for i in range(len(texts))]
+    base, own, *_ = plain_tree(texts, learn, depth, min_count)
+    d = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(zip(texts, learn, strict=True))], "doc_id long, text string, l boolean").repartition(3)
+    got = {r["id"]: (r["base_score"], r["score"]) for r in suffix_tree.score(d, train=F.col("l"), depth=depth, min_count=min_count, block_bytes=200).collect()}
+    assert got == {i: (pytest.approx(b), pytest.approx(s)) for i, (b, s) in enumerate(zip(base, own, strict=True))}
 
 
 def test_blocks_do_not_matter(spark, sf):

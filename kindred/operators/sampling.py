@@ -33,3 +33,17 @@ def group_sample(s1: DataFrame, group: str, country: str, share: float, must: tu
     w = Window.partitionBy(country).orderBy(F.when(first, 0).otherwise(1), u, group).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(w), F.lit(0))
     return sizes.withColumn("before", before).filter(first | (F.col("before") < F.col("total") * share)).select(country, group, "n")
+
+
+def group_pool(pool: DataFrame, truth: DataFrame, kept: DataFrame, groups: DataFrame, group: str, country: str, share: float) -> DataFrame:
+    """The pool records that go with a sample of whole groups, and why: matched to a kept s1, of a kept group, or without
+    a group and within the share by hash; the first reason counts.
+
+    pool: cand, group, country; truth: s1, cand; kept: s1; groups: country, group.
+    """
+    mine = truth.join(kept.select("s1"), "s1", "left_semi").select("cand").distinct().withColumn("mine", F.lit(True))
+    of = groups.select(country, group).distinct().withColumn("of", F.lit(True))
+    j = pool.join(mine, "cand", "left").join(of, [country, group], "left")
+    loose = (F.col(group) == "") & (id_fraction(F.col("cand")) < share)
+    why = F.when(F.col("mine"), "matched").when(F.col("of"), "group").when(loose, "hash")
+    return j.withColumn("why", why).filter("why IS NOT NULL").select(*pool.columns, "why")

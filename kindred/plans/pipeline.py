@@ -27,15 +27,17 @@ KEYS = ("s1", "cand")
 class Linkage:
     """mode train learns resources, models and decision settings; mode test uses those of a train run's store."""
 
-    def __init__(self, spark: SparkSession, data: str, store: Store, cfg: Config = Config(), mode: str = "train", trained: Store | None = None):
+    def __init__(self, spark: SparkSession, data: str, store: Store, cfg: Config = Config(), mode: str = "train", trained: Store | None = None, only: str | None = None):
         if mode not in ("train", "test"):
             raise ValueError(f"no mode {mode}")
         self.spark, self.data, self.store, self.cfg, self.mode = spark, data, store, cfg, mode
-        self.trained = trained or store
+        self.trained, self.only = trained or store, only
 
     # ------------------------------------------------------------ stages
     def load(self) -> None:
         s1, pool, truth = tsv.read_split(self.spark, self.data, self.mode)
+        if self.only is not None:  # a shard: records of one country meet no others
+            s1, pool = (x.filter(F.col("country") == self.only) for x in (s1, pool))
         s1, pool = self.store.save("s1", s1), self.store.save("pool", pool)
         if truth is not None:
             self.store.save("truth", tsv.truth_pairs(truth, s1, pool))
@@ -202,6 +204,22 @@ class Linkage:
         return self.store.load_json("report.json", {})
 
 
+def by_country(spark: SparkSession, data: str, work: str, cfg: Config, mode: str, trained: Store) -> tuple[dict[str, dict], DataFrame]:
+    """The job run for one country after another, each in a store of its own, and its lists put together: (reports, lists)."""
+    s1, _, _ = tsv.read_split(spark, data, mode)
+    countries = sorted(r["country"] for r in s1.select("country").distinct().collect())  # a few
+    reports, whole = {}, None
+    for c in countries:
+        store = Store(spark, f"{work}/{c}")
+        reports[c] = Linkage(spark, data, store, cfg, mode, trained, only=c).run()
+        got = lists.id_lists(store.load("matches"), store.load("ids"))
+        whole = got if whole is None else whole.unionByName(got)
+    if whole is None:
+        raise ValueError(f"{data} has no records to link")
+    lists.write_lists(whole.withColumnRenamed("s1", "source1_entity_id"), f"{work}/matches_tsv")
+    return reports, whole
+
+
 def chosen(text: str) -> tuple[str, ...]:
     """all; a,b; or from:to, both included.
 

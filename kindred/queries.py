@@ -692,6 +692,25 @@ def q2(spark, d):
     return sampling.group_sample(s1, "state", "country", 0.15, ("src3",))
 
 
+@query(
+    "q2_group_pool",
+    f"""WITH n AS (SELECT n_nationkey, n_regionkey AS country, coalesce(nullif(n_name, 'NATION_2'), '') AS state FROM nation), a AS (SELECT c_custkey AS s1, country, state FROM customer JOIN n ON c_nationkey = n_nationkey), b AS (SELECT s_suppkey AS cand, country, state FROM supplier JOIN n ON s_nationkey = n_nationkey),
+t AS (SELECT DISTINCT o_custkey AS s1, l_suppkey AS cand FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 49 AND o_custkey % 5 = 0),
+z AS (SELECT country, state, count(*) AS n FROM a WHERE state <> '' GROUP BY ALL), c AS (SELECT country, count(*) AS total FROM a GROUP BY country),
+r AS (SELECT country, state FROM (SELECT z.*, total, coalesce(sum(n) OVER (PARTITION BY country ORDER BY {_U.format("(country || '|' || state)")}, state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM z JOIN c USING (country)) WHERE b < total * 0.3::DOUBLE),
+k AS (SELECT s1 FROM a JOIN r USING (country, state)), m AS (SELECT DISTINCT cand FROM t JOIN k USING (s1))
+SELECT * FROM (SELECT b.cand, b.country, b.state, CASE WHEN m.cand IS NOT NULL THEN 'matched' WHEN r.state IS NOT NULL THEN 'group' WHEN b.state = '' AND {_U.format('b.cand')} < 0.3::DOUBLE THEN 'hash' END AS why FROM b LEFT JOIN m ON b.cand = m.cand LEFT JOIN r ON b.country = r.country AND b.state = r.state) WHERE why IS NOT NULL""",
+)
+def q2_pool(spark, d):
+    n = read(spark, d, "nation")
+    side = lambda t, i, k, o: read(spark, d, t).join(n, F.col(k) == F.col("n_nationkey")).select(F.col(i).alias(o), F.col("n_regionkey").alias("country"), F.coalesce(F.nullif("n_name", F.lit("NATION_2")), F.lit("")).alias("state"))
+    s1, pool = side("customer", "c_custkey", "c_nationkey", "s1"), side("supplier", "s_suppkey", "s_nationkey", "cand")
+    li = read(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 49").join(read(spark, d, "orders").filter("o_custkey % 5 = 0"), F.col("l_orderkey") == F.col("o_orderkey"))
+    groups = sampling.group_sample(s1, "state", "country", 0.3)
+    kept = s1.join(groups, ["country", "state"], "left_semi")
+    return sampling.group_pool(pool, li.select(F.col("o_custkey").alias("s1"), F.col("l_suppkey").alias("cand")), kept, groups, "state", "country", 0.3)
+
+
 # ---------------------------------------------------------------- models and the whole job
 
 
@@ -711,14 +730,23 @@ def l2(spark, d):
     return j.select("s1", "y", "fold", F.col("oof").between(0, 1).alias("oof_is_a_probability"), mean.alias("own_model_left_out"), (F.coalesce(F.col("before"), F.lit(0.0)) <= F.col("calibrated")).alias("calibration_rises"))
 
 
-@query("linkage_end_to_end")
+@query(
+    "linkage_end_to_end",
+    f"""WITH {_GRAMS_SQL}, f AS (SELECT s1, cand, score AS p FROM sc QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY score DESC, cand) <= 5 OR row_number() OVER (PARTITION BY cand ORDER BY score DESC, s1) <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS r, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS place FROM f),
+o AS (SELECT *, p - coalesce(max(CASE WHEN r = 2 THEN p END) OVER (PARTITION BY cand), 0) AS gap FROM r),
+k AS (SELECT s1, cand, p FROM o WHERE r = 1 AND gap >= 0.02 AND p >= 0.15 AND place <= 12)
+SELECT item_id AS s1, coalesce(string_agg(cand::VARCHAR, ',' ORDER BY p DESC, cand), '') AS matched FROM benchmark LEFT JOIN k ON item_id = s1 GROUP BY item_id""",
+)
 def end_to_end(spark, d):
-    """Documents linked by exact keys within languages, scored by their competition and decided one-to-one."""
-    s1, pool = records(spark, d)
-    flags = blocking.exact_key_pairs(s1, pool, ["n_key"]).withColumn("ex_name", F.lit(1))
-    near = blocking.exact_key_pairs(s1, pool, ["n_key"], gate="state").withColumn("ex_street", F.lit(1))
-    pairs = blocking.heuristic_cap(blocking.union_merge([flags, near])).select("s1", "cand", ((F.col("ex_name") + F.col("ex_street")) / 2.5).alias("p"))
-    return decide.apply_rule(pairs, threshold=0.5).select("s1", "cand", "p", "keep")
+    """Benchmark items linked with documents: retrieval in both directions by TF-IDF cosine, their union, one-to-one with a margin, a threshold, lists."""
+    from kindred.sources.lists import id_lists
+
+    forward, back = _retrieval(spark, d, 5, 2)
+    named = lambda f, n: f.select("s1", "cand", F.col("score").alias(f"sc_{n}"), F.col("rank").alias(f"rk_{n}"))
+    pairs = blocking.heuristic_cap(blocking.union_merge([named(forward, "na"), named(back, "rev")]))
+    decided = decide.apply_rule(pairs.select("s1", "cand", F.greatest("sc_na", "sc_rev").alias("p")), threshold=0.15, margin=0.02)
+    return id_lists(decided.filter("keep"), read(spark, d, "benchmark").select(F.col("item_id").alias("s1")), "matched")
 
 
 # ---------------------------------------------------------------- sources and sinks as round trips

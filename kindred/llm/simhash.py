@@ -13,7 +13,7 @@ are compared in tiles of a few texts, each with the group's first, and then what
 
 Equal fingerprints (with a similarity: of equal shingle sets) are one row throughout.  Cells are dealt out in blocks of bounded size, so a hot cell is many
 tiles; a tile returns a star for each of its components instead of all pairs, and components are joined up by
-``kindred.llm.components``.  Only the counts of cells reach the driver, at most 17 ** 4 of them.
+``kindred.llm.components``.  The plan of tiles is a table too; nothing but sums of it reaches the driver.
 
 Defined results: an empty or null text has fingerprint zero and is linked like any other; a null id is fingerprinted
 but cannot be linked, its component is null; rows of equal id count as one document; the component of a document
@@ -24,14 +24,15 @@ than id and text are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import product
 from math import ceil, comb
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.arrow import by_slices
@@ -43,6 +44,8 @@ SEED = 42
 #: A row travels once for each block it meets, so blocks as large as a task can hold keep the shuffle down.
 BLOCK, MOST_BLOCK = 4096, 32_768
 STRIPE = 256
+#: Rows up to which the plan of tiles (40 bytes each) is broadcast; its rows are counted before.
+BROADCAST_TILES = 500_000
 #: Texts of a block where similarities are verified.
 PART = 64
 #: Growth of text length from one band to the next, for large radii.
@@ -179,51 +182,50 @@ def compare(own: np.ndarray, other: np.ndarray, own_key: np.ndarray, other_key:
 
 
 def _cells(f0: str, radius: int) -> tuple:
-    """(expression of a row's cell, the cells it can meet: a function of a cell)."""
+    """(expression of a row's cell, the steps to cells that it can meet: how far, and where such a step is allowed)."""
     if radius <= 4:
         cell = sum((F.bit_count(F.shiftrightunsigned(F.col(f0), 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))) * 17**k).cast("long") for k in range(4))
         steps = [s for s in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, s)) <= radius]
+        digit = [F.pmod(F.floor(F.col("cell") / 17**k), F.lit(17)) for k in range(4)]
+        return cell, [(sum(x * 17**k for k, x in enumerate(s)), reduce(and_, [(d + x).between(0, 16) for d, x in zip(digit, s, strict=True)])) for s in steps]
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long"), [(x, F.lit(True)) for x in (-1, 0, 1)]
 
-        def near(c: int) -> list[int]:
-            at = [c // 17**k % 17 for k in range(4)]
-            return [sum((a + s) * 17**k for k, (a, s) in enumerate(zip(at, step, strict=True))) for step in steps if all(0 <= a + s <= 16 for a, s in zip(at, step, strict=True))]
 
-        return cell, near
-    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long"), lambda c: [c - 1, c, c + 1]
+def _plan(counts: DataFrame, steps: list, block: int) -> DataFrame:
+    """cell, part, tile, home, first: which blocks of which cells meet in which tile.
+
+    A cell's rows are ``parts`` blocks.  A block is at home in tiles that hold it and, up to ``block`` rows at a time, the
+    blocks behind it in order of (cell, part) which it can meet.  counts: cell, n: at most 17 ** 4 rows, or a few hundred.
+    """
+    cells = counts.select("cell", "n", F.ceil(F.col("n") / block).alias("parts"))
+    each = cells.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    to = F.explode(F.array_compact(F.array(*[F.when(ok, F.col("cell") + x) for x, ok in steps]))).alias("cell2")
+    theirs = cells.select(F.col("cell").alias("cell2"), F.ceil(F.col("n") / F.col("parts")).alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part2"))
+    pairs = each.select("cell", "part", to).join(theirs, "cell2").filter("cell2 > cell OR (cell2 = cell AND part2 > part)")
+    before = F.sum("size").over(Window.partitionBy("cell", "part").orderBy("cell2", "part2").rowsBetween(Window.unboundedPreceding, -1))
+    guests = pairs.withColumn("room", F.floor(F.coalesce(before, F.lit(0)) / block))
+    number = F.shiftleft("cell", 46).bitwiseOR(F.shiftleft("part", 23)).bitwiseOR(F.col("room"))  # 17, 23 and 23 bits
+    homes = each.select("cell", "part", F.lit(0).cast("long").alias("room")).unionByName(guests.select("cell", "part", "room").distinct().filter("room > 0"))
+    homes = homes.select("cell", "part", number.alias("tile"), F.lit(True).alias("home"), (F.col("room") == 0).alias("first"))
+    return homes.unionByName(guests.select(F.col("cell2").alias("cell"), F.col("part2").alias("part"), number.alias("tile"), F.lit(False).alias("home"), F.lit(False).alias("first")))
 
 
+@tidy
 def links(reps: DataFrame, radius: int, lanes: int = 1, sure: int | None = None, limit: np.ndarray | None = None) -> DataFrame:
     """a, b, sure: stars that join all of reps (rep, n, f0, ...) within the radius, tile by tile, and with ``sure`` also
     those that join them within ``sure`` bits alone, marked so; with ``limit`` the radius is that of a pair's lengths."""
     if limit is not None:
         radius = max(radius, int(limit.max()))
-    spark, fs = reps.sparkSession, [f"f{k}" for k in range(lanes)]
-    cell, near = _cells("f0", radius)
+    fs = [f"f{k}" for k in range(lanes)]
+    cell, steps = _cells("f0", radius)
     reps = reps.withColumn("cell", cell)
-    counts = {r["cell"]: r["count"] for r in reps.groupBy("cell").count().collect()}  # at most 17 ** 4 cells, or a few hundred bands
-    block = min(max(BLOCK, sum(counts.values()) // 8), MOST_BLOCK)
-    parts = {c: -(-n // block) for c, n in counts.items()}
-    plan, tiles = [], 0  # (cell, part, tile, whether at home there)
-    for c in sorted(counts):
-        for p in range(parts[c]):
-            guests = [(d, q) for d in near(c) if d in counts and d >= c for q in range(parts[d]) if (d, q) > (c, p)]
-            load, rooms = block, []
-            for d, q in guests:
-                n = -(-counts[d] // parts[d])
-                if load + n > block and rooms or not rooms:
-                    rooms.append([])
-                    load = 0
-                rooms[-1].append((d, q))
-                load += n
-            for room in rooms or [[]]:
-                plan.append((c, p, tiles, True))
-                plan += [(d, q, tiles, False) for d, q in room]
-                tiles += 1
-    where = spark.createDataFrame(plan or [(0, 0, 0, True)], "cell long, part long, tile long, home boolean")
-    of = F.create_map(*[x for c, n in parts.items() if n > 1 for x in (F.lit(c).cast("long"), F.lit(n).cast("long"))]) if any(n > 1 for n in parts.values()) else None
-    split = F.coalesce(F.try_element_at(of, F.col("cell")), F.lit(1)) if of is not None else F.lit(1)
-    dealt = reps.withColumn("part", F.pmod(F.xxhash64(*fs), split.cast("long")))
-    dealt = dealt.join(F.broadcast(where) if len(plan) <= 1_000_000 else where, ["cell", "part"]).select("tile", "home", "rep", "n", *fs)
+    counts = written(reps.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "simhash-cells")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    block = min(max(BLOCK, total // 8), MOST_BLOCK)
+    where = written(_plan(counts, steps, block), "simhash-plan")
+    parts = counts.select("cell", F.ceil(F.col("n") / block).alias("parts"))
+    dealt = reps.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64(*fs), F.col("parts")))
+    dealt = dealt.join(F.broadcast(where) if where.count() <= BROADCAST_TILES else where, ["cell", "part"]).select("tile", "home", "first", "rep", "n", *fs)
     banded = radius > 4
     kind = reps.schema["rep"].dataType.simpleString()
 
@@ -232,11 +234,11 @@ def links(reps: DataFrame, radius: int, lanes: int = 1, sure: int | None = None,
         if not got:
             return
         t = pa.Table.from_batches(got)
-        tile, home, rep, n = (t.column(k).to_numpy() for k in ("tile", "home", "rep", "n"))
+        tile, home, first, rep, n = (t.column(k).to_numpy() for k in ("tile", "home", "first", "rep", "n"))
         f = np.stack([t.column(x).to_numpy() for x in fs], axis=1).view(np.uint64)
         key = n if banded else np.bitwise_count(f).astype(np.int64).sum(axis=1)
         order = np.lexsort((rep, key, ~home, tile))
-        tile, home, rep, key, n, f = (x[order] for x in (tile, home, rep, key, n, f))
+        tile, home, first, rep, key, n, f = (x[order] for x in (tile, home, first, rep, key, n, f))
         cuts = np.flatnonzero(np.diff(tile)) + 1
         for s, e in zip([0, *cuts], [*cuts, len(tile)], strict=True):
             h = s + int(home[s:e].sum())
@@ -254,7 +256,7 @@ def links(reps: DataFrame, radius: int, lanes: int = 1, sure: int | None = None,
                     stars[k], joined[k] = _forest(size, x, y), []
 
             # a home's own rows meet in its first tile alone; there they stand as guests as well
-            sides = [(other, h - s)] + ([(own, 0)] if first[int(tile[s])] else [])
+            sides = [(other, h - s)] + ([(own, 0)] if first[s] else [])
             for side, shift in sides:
                 for x, y, bits in compare(f[own], f[side], key[own], key[side], low, high, radius):
                     if limit is not None:
@@ -274,11 +276,6 @@ def links(reps: DataFrame, radius: int, lanes: int = 1, sure: int | None = None,
                 if len(out):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ids[star[out]]), pa.array(np.full(len(out), k))], names=["a", "b", "sure"])
 
-    first, seen = {}, set()
-    for c, p, i, at_home in plan:
-        if at_home:
-            first[i] = (c, p) not in seen
-            seen.add((c, p))
     return dealt.repartition("tile").mapInArrow(run, f"a {kind}, b {kind}, sure boolean")
 
 

@@ -83,9 +83,11 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         met = met.filter(F.col("ok") | ((F.col("pos") == F.size("w")) & (F.col("width") == widths[0])))
         when = lambda c: F.when(F.col("ok"), c)
         return met.select("key", "id", F.size("w").cast("long").alias("n_words"), when(start).alias("start"), when(F.col("n")).alias("n"), when(F.col("items")).alias("items"))
-    # the probes are shuffled without their text; the places that meet are confirmed against it afterwards
-    met = _probes(words, widths).select("key", "pos", "width", "h").join(chosen, ["width", "h"]).select("key", "pos", "off", "n", "words", "items").distinct()
-    found = words.join(met, "key").filter(fits & holds).select("key", "id", F.size("w").cast("long").alias("n_words"), start.alias("start"), "n", "items")
+    # the probes are shuffled without their text, by a number in place of the key; what meets is confirmed against the
+    # text afterwards, so that a number that two keys share does no harm
+    short = F.xxhash64("key")
+    met = _probes(words, widths).select(short.alias("k"), "pos", "width", "h").join(chosen, ["width", "h"]).select("k", "pos", "off", "n", "words", "items").distinct()
+    found = words.withColumn("k", short).join(met, "k").filter(fits & holds).select("key", "id", F.size("w").cast("long").alias("n_words"), start.alias("start"), "n", "items")
     return found.unionByName(plain.withColumns(none))
 
 

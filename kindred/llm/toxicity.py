@@ -64,7 +64,7 @@ class Model:
 
 def features(text: str | None) -> set[str]:
     """The words, and as ``abcd*`` the beginnings of PREFIXES characters of longer words."""
-    found = set(b" ".join(words(text)).decode("utf-8", "surrogatepass").split())
+    found = {w.decode("utf-8", "surrogatepass") for w in set(words(text))}  # cut where the fit cuts: U+00A0 is no gap
     return found.union(*map(beginnings, found))
 
 

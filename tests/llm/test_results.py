@@ -150,6 +150,8 @@ def test_toxicity_held_out(spark):
 
 def test_fit_learns_the_features_that_are_scored(spark):
     """The beginnings of all words of a text, at their own lengths."""
+    gaps = "aaaaa\u00a0bbbbbb\u3000ccccccc\u0085dddddddd eeeee"
+    assert set(toxicity.with_starts(spark.createDataFrame([(gaps,)], "t string").select(F.array_distinct(words_of(ascii_lower(F.col("t")), ALNUM_WORD)).alias("w"))).first()["w"]) == toxicity.features(gaps)
     text = " ".join(f"{x}ingness{i}" for i, x in enumerate(("alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel", "india", "juliet", "kilo", "lima", "mike", "November", "été"))) + " four fiver sixsix"
     got = toxicity.with_starts(spark.createDataFrame([(text,)], "t string").select(F.array_distinct(words_of(ascii_lower(F.col("t")), ALNUM_WORD)).alias("w"))).first()["w"]
     assert set(got) == toxicity.features(text) and len(got) == len(set(got))

@@ -41,9 +41,10 @@ DEPTH = 5
 MIN_COUNT = 2
 PENALTY = 4.0
 DISCOUNT = 0.75
-BLOCK_BYTES = 8 << 20
-#: Gains and shares are summed as whole numbers, so that sums do not depend on their order.
-GAIN, SHARE = 1 << 10, 1 << 20
+BLOCK_BYTES = 6 << 20
+#: Gains and shares are summed as whole numbers of these parts, so that sums do not depend on their order; a context of
+#: more than 65,000 occurrences may have its number of next words off by one in 130,000 of them.
+GAIN, SHARE = 1 << 8, 1 << 16
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -58,13 +59,22 @@ def held_out(id_col: Column, folds: int = 10) -> Column:
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(different keys, ascending; the place of each key among them)"""
-    order = np.argsort(keys)
-    s = keys[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    place = np.empty(len(s), np.int64)
+    n, low = len(keys), np.uint64((1 << 21) - 1)
+    order = None
+    if n <= 1 << 21:  # upper bits and place are sorted as one number, which is several times as fast as an argsort
+        s = np.sort(keys & ~low | np.arange(n, dtype=np.uint64))
+        order = (s & low).astype(np.int64)
+        k, new = keys[order], np.ones(n, bool)
+        new[1:] = k[1:] != k[:-1]
+        if (new[1:] & (s[1:] >> np.uint64(21) == s[:-1] >> np.uint64(21))).any():
+            order = None  # keys that differ in the lower bits alone
+    if order is None:
+        order = np.argsort(keys)
+        k, new = keys[order], np.ones(n, bool)
+        new[1:] = k[1:] != k[:-1]
+    place = np.empty(n, np.int64)
     place[order] = np.cumsum(new) - 1
-    return s[new], place
+    return k[new], place
 
 
 def summed(place: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
@@ -79,14 +89,34 @@ def summed(place: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Unsigned numbers in as many bytes each as the largest needs, which the first byte says."""
+    """Unsigned numbers in as many bytes each as the largest needs, which the first byte says; from three on, first all
+    the lowest bytes, then all the next: the upper ones are mostly 0 and cost next to nothing once compressed."""
     top = int(x.max()) if len(x) else 0
-    width = next(k for k in (1, 2, 4, 8) if top < 1 << 8 * k)
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    width = max(1, -(-top.bit_length() // 8))
+    if width <= 2:
+        return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _unpacked(b: bytes, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(kind)
+    width = b[0]
+    if width <= 2:
+        return np.frombuffer(b, f"<u{width}", offset=1).astype(kind)
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(width, -1)
+    out = planes[0].astype(np.uint64)
+    for k in range(1, width):
+        out |= planes[k].astype(np.uint64) << np.uint64(8 * k)
+    return out.astype(kind)
+
+
+def _folded(x: np.ndarray) -> bytes:
+    """Signed numbers, packed: small ones of either sign take few bytes."""
+    return _packed(((x << 1) ^ (x >> 63)).view(np.uint64))
+
+
+def _unfolded(b: bytes) -> np.ndarray:
+    u = _unpacked(b, np.uint64)
+    return (u >> np.uint64(1)).astype(np.int64) ^ -(u & np.uint64(1)).astype(np.int64)
 
 
 class Block:
@@ -104,17 +134,19 @@ class Block:
         self._grams = [np.array([], np.uint64), hashes[codes]]
 
     @classmethod
-    def of_texts(cls, texts: list[str | None], learn: list[bool]) -> tuple[Block, list[bytes]]:
-        """The block, and its words by code."""
-        known: dict[bytes, int] = {END: 0}
-        lens, parts = [], []
-        for t in texts:
-            w = tokens(t)
-            lens.append(len(w))
-            parts.append(np.fromiter((known.setdefault(x, len(known)) for x in w), np.int64, len(w)))
-        words = list(known)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        return cls(np.array(lens, np.int64), np.array(learn, bool), np.concatenate(parts), hashes), words
+    def of_texts(cls, texts: pa.Array, learn: np.ndarray) -> tuple[Block, list[bytes]]:
+        """The block, and its words by code; texts are strings.  The tokens are those of ``tokens``."""
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        flat, many = parts.flatten(), parts.value_lengths().to_numpy(zero_copy_only=False)
+        some = pc.greater(pc.binary_length(flat), 0)
+        doc = np.repeat(np.arange(len(many)), many)[some.to_numpy(zero_copy_only=False)]
+        coded = flat.filter(some).dictionary_encode()
+        words = [END, *coded.dictionary.cast(pa.binary()).to_pylist()]
+        lens = np.bincount(doc, minlength=len(many)) + 1
+        codes = np.zeros(int(lens.sum()), np.int64)  # an end, 0, behind each text
+        codes[np.arange(len(doc)) + doc] = coded.indices.to_numpy().astype(np.int64) + 1
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        return cls(lens.astype(np.int64), np.asarray(learn, bool), codes, hashes), words
 
     def packed(self) -> list[bytes]:
         c = self.codes
@@ -181,24 +213,31 @@ class Block:
 
     def count_take(self, levels: list[int], min_count: int, answers: np.ndarray) -> None:
         _, place, masks = self.count_keys(levels, min_count)
-        at = 0
+        at, done = 0, self.determined(levels[0] - 1, min_count)
         for n, m in zip(levels, masks, strict=True):
-            done = self.determined(n - 1, min_count)
-            found = np.where(done, self.before(self.seen[n - 1]), 0)
+            c = self.before(self.seen[n - 1])
+            found = np.where(done, c, 0)
             size = int(m.sum())
             found[m] = answers[place[at : at + size]]
             at += size
             self.seen.append(found)
+            done |= (c >= min_count) & (found == c)
 
-    def contexts(self, depth: int, min_count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each depth: whether a place has a context of as many words that can be a state, and its count."""
+    def contexts(self, depth: int, min_count: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each depth k: k, the places with a context of k words that can be a state, its count, and which of the places before they are.
+
+        A context of k words is as frequent as one of k + 1 at least, so that places become fewer.
+        """
+        i = np.arange(len(self.codes))
         for k in range(1, depth + 1):
-            c = self.before(self.seen[k])
-            yield (self.place >= k) & (c >= min_count), c
+            ok = self.place[i] >= k
+            ok[ok] = self.seen[k][i[ok] - 1] >= min_count
+            i = i[ok]
+            yield k, i, self.seen[k][i - 1], ok
 
     def state_keys(self, depth: int, min_count: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """(keys, places among them, where) of contexts that have other next words too; what determines its next word needs no sums."""
-        where = [np.flatnonzero(ok & (self.seen[k + 1] < c)) for k, (ok, c) in enumerate(self.contexts(depth, min_count), 1)]
+        where = [i[self.seen[k + 1][i] < c] for k, i, c, _ in self.contexts(depth, min_count)]
         keys, place = grouped(np.concatenate([self.grams(k)[i - 1] for k, i in enumerate(where, 1)]))
         return keys, place, where
 
@@ -223,14 +262,16 @@ class Block:
         base = (c1 + ALPHA) / (total + ALPHA * (distinct + 1))
         p, at = base.copy(), 0
         fixed = np.zeros(len(p), bool)  # whether the context one word shorter determines its next word
-        for k, ((ok, c), i) in enumerate(zip(self.contexts(depth, min_count), where, strict=True), 1):
-            kinds = np.zeros(len(p), np.int64)
-            kinds[i] = answers[place[at : at + len(i)]]
-            at += len(i)
-            determines = ok & (kinds == 0)  # this next word, or one that does not stand here
-            kept = np.flatnonzero((kinds > 0) | (determines & ~fixed))
-            of, left = c[kept], discount * np.maximum(kinds[kept], 1)
-            p[kept] = (np.maximum(self.seen[k + 1][kept] - discount, 0) + left * p[kept]) / of
+        for k, i, c, ok in self.contexts(depth, min_count):
+            with_w = self.seen[k + 1][i]
+            other = with_w < c
+            kinds = np.zeros(len(i), np.int64)
+            kinds[other] = answers[place[at : at + len(where[k - 1])]]
+            at += len(where[k - 1])
+            determines = kinds == 0  # this next word, or one that does not stand here
+            kept = (kinds > 0) | (determines & ~fixed[ok])
+            j, left = i[kept], discount * np.maximum(kinds[kept], 1)
+            p[j] = (np.maximum(with_w[kept] - discount, 0) + left * p[j]) / c[kept]
             fixed = determines
         add = lambda x: np.add.reduceat(x, self.starts)
         return self.lens, add((c1 > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
@@ -273,7 +314,7 @@ def _messages(states: DataFrame, parts: int, ask) -> DataFrame:
             for i in range(b.num_rows):
                 keys, sums = ask(Block.of_packed(b.column(1)[i].as_py()))
                 block = b.column(0)[i].as_py()
-                rows = [(p, block, keys[x:y].tobytes(), [s[x:y].tobytes() for s in sums]) for p, x, y in _dealt(keys, parts)]
+                rows = [(p, block, keys[x:y].tobytes(), [_folded(s[x:y]) for s in sums]) for p, x, y in _dealt(keys, parts)]
                 if rows:
                     yield _batch(rows, ("p", "block", "keys", "sums"), (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary())))
 
@@ -289,7 +330,7 @@ def _answers(messages: DataFrame, name: str, answer=lambda s: s) -> DataFrame:
             for p, block, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 where.append((block, p, len(k) // 8))
                 keys.append(np.frombuffer(k, np.uint64))
-                sums.append([np.frombuffer(x, np.int64) for x in s])
+                sums.append([_unfolded(x) for x in s])
         if not where:
             return
         different, place = grouped(np.concatenate(keys))
@@ -298,7 +339,7 @@ def _answers(messages: DataFrame, name: str, answer=lambda s: s) -> DataFrame:
         for i in range(0, len(where), 64):
             rows = []
             for block, p, n in where[i : i + 64]:
-                rows.append((block, p, total[place[at : at + n]].tobytes()))
+                rows.append((block, p, _folded(total[place[at : at + n]])))
                 at += n
             yield _batch(rows, ("block", "p", "answer"), (pa.int64(), pa.int32(), pa.binary()))
 
@@ -306,19 +347,27 @@ def _answers(messages: DataFrame, name: str, answer=lambda s: s) -> DataFrame:
 
 
 def _told(states: DataFrame, answers: DataFrame, parts: int, f, schema: str) -> DataFrame:
-    """f(block number, ids, block, its answers) for each block: a table of the schema."""
-    none = lambda c: F.lit(None).cast(states.schema[c].dataType).alias(c)
-    both = states.select("block", "ids", "state", F.lit(-1).alias("p"), F.lit(None).cast("binary").alias("answer"))
-    both = both.unionByName(answers.select("block", none("ids"), none("state"), "p", "answer"))
+    """f(block number, ids, block, its answers) for each block: a table of the schema.
 
-    def run(key, t):
-        p = t.column("p").to_numpy()
-        order = np.argsort(p)
-        own = int(order[0])  # the block itself; it stands in front of its answers
-        got = t.column("answer").take(pa.array(order[1:])).to_pylist()
-        block = Block.of_packed(t.column("state")[own].as_py())
-        return f(key[0].as_py(), t.column("ids").slice(own, 1).combine_chunks(), block, np.frombuffer(b"".join(got), np.int64))
+    Only answers travel.  A block lies in a file of its own, of a table that a finished job wrote to the shared folder;
+    the task that gets its answers reads that file (through ``pyarrow.fs``, by the address that Spark gives).
+    """
+    where = states.select("block", F.lit(-1).alias("p"), F.input_file_name().cast("binary").alias("answer"))
 
+    def run(key, t):
+        from pyarrow import fs, parquet
+
+        order = np.argsort(t.column("p").to_numpy())
+        got = t.column("answer").take(pa.array(order)).to_pylist()  # the address stands in front of the answers
+        store, path = fs.FileSystem.from_uri(got[0].decode())
+        with store.open_input_file(path) as file:
+            own = parquet.read_table(file, columns=["block", "ids", "state"])
+        if own.column("block").to_pylist() != [key[0].as_py()]:
+            raise ValueError(f"{path} does not hold block {key[0]}")
+        block = Block.of_packed(own.column("state")[0].as_py())
+        return f(key[0].as_py(), own.column("ids").combine_chunks(), block, np.concatenate([np.array([], np.int64), *map(_unfolded, got[1:])]))
+
+    both = where.unionByName(answers.select("block", "p", "answer"))
     return both.repartition(parts, "block").groupBy("block").applyInArrow(run, schema)
 
 
@@ -330,9 +379,8 @@ def _cut(rows: DataFrame, schema: str, block_bytes: int) -> DataFrame:
         size, n = 0, 0
 
         def out():
-            ids = pa.concat_arrays([b.column(0) for b in held])
-            texts = [t for b in held for t in b.column(1).to_pylist()]
-            block, words = Block.of_texts(texts, [x for b in held for x in b.column(2).to_pylist()])
+            ids, texts, learn = (pa.concat_arrays([b.column(k) for b in held]) for k in range(3))
+            block, words = Block.of_texts(texts, learn.to_numpy(zero_copy_only=False))
             number = TaskContext.get().partitionId() << 32 | n
             whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             return pa.RecordBatch.from_arrays([pa.array([number]), whole, pa.array([block.packed()], pa.list_(pa.binary())), pa.array([b" ".join(words)], pa.binary())], names=["block", "ids", "state", "words"])
@@ -361,25 +409,24 @@ def _word_answers(blocks: DataFrame, parts: int) -> DataFrame:
             for number, state, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block, w = Block.of_packed(state), words.split(b" ")
                 order, mine = np.argsort(block.hashes), block.word_counts()
-                rows = [(p, number, b" ".join([w[i] for i in order[x:y].tolist()]), [mine[order[x:y]].tobytes()]) for p, x, y in _dealt(block.hashes[order], parts)]
+                rows = [(p, number, b" ".join([w[i] for i in order[x:y].tolist()]), [_folded(mine[order[x:y]])]) for p, x, y in _dealt(block.hashes[order], parts)]
                 yield _batch(rows, ("p", "block", "keys", "sums"), (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary())))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, codes, counts = [], [], []
-        known: dict[bytes, int] = {}
+        where, words, counts = [], [], []
         for b in batches:
             for p, block, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                w = k.split(b" ")
-                where.append((block, p, len(w)))
-                codes.append(np.fromiter((known.setdefault(x, len(known)) for x in w), np.int64, len(w)))
-                counts.append(np.frombuffer(s[0], np.int64))
+                words.append(k)
+                counts.append(_unfolded(s[0]))
+                where.append((block, p, len(counts[-1])))
         if not where:
             return
-        place = np.concatenate(codes)
-        total = summed(place, len(known), np.concatenate(counts))
-        rows, at = [(-1, 0, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())], 0
+        coded = pc.split_pattern(pa.array(words, pa.string()), " ").flatten().dictionary_encode()
+        total = summed(coded.indices.to_numpy().astype(np.int64), len(coded.dictionary), np.concatenate(counts))
+        place = coded.indices.to_numpy()
+        rows, at = [(-1, 0, _folded(np.array([total.sum(), (total > 0).sum()], np.int64)))], 0
         for block, p, n in where:
-            rows.append((block, p, total[place[at : at + n]].tobytes()))
+            rows.append((block, p, _folded(total[place[at : at + n]])))
             at += n
         yield _batch(rows, ("block", "p", "answer"), (pa.int64(), pa.int32(), pa.binary()))
 
@@ -400,11 +447,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     parts = max(1, states.count())
 
     answers = _word_answers(states, parts)
-    sums = [np.frombuffer(r["answer"], np.int64) for r in answers.filter("block = -1").collect()]  # two numbers a part
+    sums = [_unfolded(r["answer"]) for r in answers.filter("block = -1").collect()]  # two numbers a part
     total, distinct = (int(sum(int(s[i]) for s in sums)) for i in (0, 1))
 
     def kept(number: int, ids, block: Block) -> pa.Table:
-        return pa.table([pa.array([number]), ids, pa.array([block.packed()], pa.list_(pa.binary()))], names=["block", "ids", "state"])
+        return pa.table([pa.array([number], pa.int64()), ids, pa.array([block.packed()], pa.list_(pa.binary()))], names=["block", "ids", "state"])
 
     def with_words(number, ids, block, got):
         counts = np.empty(len(block.hashes), np.int64)

@@ -110,7 +110,8 @@ MADE: dict[str, Callable[[SparkSession], DataFrame]] = {
     "v1_headers": lambda spark: spark.createDataFrame([(i, validate.header_issue(x, HEADER) or "") for i, x in enumerate(LINES)], "id int, issue string"),
 }
 
-#: Fixed results, worked out by the rules of each function.
+#: Fixed results: written down from a run of these functions and read through against their rules, so they guard against
+#: change; they are no independent computation.
 EXPECTED: dict[str, tuple[tuple[str, ...], tuple[tuple, ...]]] = {
     "n2_cleaned_names": (
         ('id', 'cleaned'),

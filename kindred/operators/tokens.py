@@ -18,18 +18,19 @@ def idf(records: DataFrame, tokens: str, by: tuple[str, ...] = ()) -> DataFrame:
     return joined.select(*by, "token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def tfidf(texts: DataFrame, min_df: int = 2, max_share: float = 0.02, floor: int = 20_000, max_features: int = 400_000, n: int = 3) -> DataFrame:
+def tfidf(texts: DataFrame, min_df: int = 2, max_share: float = 0.02, floor: int = 20_000, max_features: int | None = 400_000, n: int = 3) -> DataFrame:
     """id, side, country, gram, w: sublinear, smoothed and L2-normed weights of character grams; texts: id, side, country, text.
 
     Grams in fewer than min_df or more than max(max_share * N, floor) texts of a country are left out, which is also
-    what keeps a gram's join small; the max_features most frequent ones stay.
+    what keeps a gram's join small; the max_features most frequent ones stay, all of them if that is None.
     """
     size = texts.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     tf = texts.select("id", "side", "country", F.explode(native.char_grams(F.col("text"), n)).alias("gram")).groupBy("id", "side", "country", "gram").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).join(size, "country")
     most = F.least(F.greatest(F.floor(F.col("n") * max_share), F.lit(floor)), F.col("n"))
     df = df.filter((F.col("df") >= F.least(F.lit(min_df), most)) & (F.col("df") <= most))
-    df = most_frequent(df, max_features)
+    if max_features is not None:
+        df = most_frequent(df, max_features)
     df = df.select("country", "gram", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     raw = tf.join(df, ["country", "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("side", "country", "id")))

@@ -28,3 +28,26 @@ def test_generation_does_not_depend_on_tasks(spark):
     a, _ = synthetic.generate(spark, 30)
     b = [row for i in range(30) for row in synthetic.entity(i, 3, "a")[0]]
     assert sorted(tuple(r) for r in a.select("source", "entity_id", "business_name", "business_address", "country").collect()) == sorted(b)
+
+
+def _against_sql(spark, folder, items, docs):
+    import duckdb
+
+    from kindred.queries import ORACLE_SQL, QUERIES
+    from tests.oracle import same_rows
+
+    duck = duckdb.connect()
+    for name, key, rows in (("benchmark", "item_id", items), ("documents", "doc_id", docs)):
+        spark.createDataFrame(rows, f"{key} long, text string").coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    got = QUERIES["linkage_end_to_end"](spark, str(folder))
+    same_rows(got, duck, ORACLE_SQL["linkage_end_to_end"])
+    return {r["s1"]: r["matched"] for r in got.collect()}
+
+
+def test_items_that_many_documents_retrieve(spark, tmp_path):
+    """Either item has more than 150 documents, which resemble the other one nearly as much: none is matched."""
+    shared = " ".join(a + b + c for a in ("ka", "lo", "mi", "nu", "pe", "ri") for b in ("sta", "dro", "vel", "gim", "tun") for c in ("bar", "fex", "hob", "wic"))
+    items = [(1, f"{shared} delta"), (2, f"{shared} omega"), (3, "something else")]
+    docs = [(i, f"{shared} {'delta' if i % 2 else 'omega'}") for i in range(400)] + [(900, "something else")]
+    assert _against_sql(spark, tmp_path, items, docs) == {1: "", 2: "", 3: "900"}

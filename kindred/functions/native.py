@@ -44,8 +44,11 @@ def host_base(url: Column) -> Column:
 
 
 def char_grams(text: Column, n: int = 3) -> Column:
-    """Character n-grams of each word with a space on both sides; a word that fits into one gram gives one."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    """Character n-grams of each word with a space on both sides; a word that fits into one gram gives one.
+
+    White space is that of the SQL (RE2): unlike Java's, a vertical tab is part of a word.
+    """
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\t\n\f\r ]+"), lambda w: w != "")
 
     def grams(w: Column) -> Column:
         padded = F.concat(F.lit(" "), w, F.lit(" "))

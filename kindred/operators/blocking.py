@@ -54,15 +54,15 @@ def similarity_topk(q: DataFrame, p: DataFrame, k: int, k_reverse: int = 0, thre
     """Cosine of character-gram weights: (forward, reverse) with s1, cand, score, rank from 0.
 
     q and p: id, country, label, text.  Forward ranks each query's pool records, reverse each pool record's queries
-    within the query's partition.  Ties go to the smaller id.
+    within the query's partition.  Ties go to the smaller id.  Rows that repeat an id are one record, of all their texts.
     """
     if k <= 0:
         empty = q.limit(0).select(F.col("id").alias("s1"), F.col("id").alias("cand"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
         return empty, empty
     texts = q.select("id", F.lit("q").alias("side"), "country", "text").unionByName(p.select("id", F.lit("p").alias("side"), "country", "text"))
     w = tfidf(texts, **weights)
-    qw = w.filter("side = 'q'").join(q.select("id", "country", "label"), ["id", "country"]).select(F.col("id").alias("s1"), "country", "gram", F.col("w").alias("wq"), "label")
-    pw = w.filter("side = 'p'").join(p.select("id", "country", "label"), ["id", "country"]).select(F.col("id").alias("cand"), "country", "gram", F.col("w").alias("wp"), "label")
+    qw = w.filter("side = 'q'").join(q.select("id", "country", "label").distinct(), ["id", "country"]).select(F.col("id").alias("s1"), "country", "gram", F.col("w").alias("wq"), "label")
+    pw = w.filter("side = 'p'").join(p.select("id", "country", "label").distinct(), ["id", "country"]).select(F.col("id").alias("cand"), "country", "gram", F.col("w").alias("wp"), "label")
     met = partition_join(qw, pw, ["country", "gram"])
     scored = met.groupBy("country", "part", "s1", "cand").agg(F.round(F.sum(F.col("wq") * F.col("wp")), 6).alias("score")).filter(F.col("score") > threshold)
     best = Window.partitionBy("country", "s1").orderBy(F.col("score").desc(), "cand")

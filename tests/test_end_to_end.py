@@ -51,3 +51,10 @@ def test_items_that_many_documents_retrieve(spark, tmp_path):
     items = [(1, f"{shared} delta"), (2, f"{shared} omega"), (3, "something else")]
     docs = [(i, f"{shared} {'delta' if i % 2 else 'omega'}") for i in range(400)] + [(900, "something else")]
     assert _against_sql(spark, tmp_path, items, docs) == {1: "", 2: "", 3: "900"}
+
+
+def test_repeated_ids_and_vertical_tabs(spark, tmp_path):
+    """Rows of one id are one record; a vertical tab is no white space in the SQL."""
+    items = [(1, "alpha beta gamma"), (2, "delta\x0bomega kappa")]
+    docs = [(10, "alpha beta sigma"), (10, "alpha beta sigma"), (11, "alpha gamma tau"), (12, "delta omega kappa"), (13, "delta\x0bomega rho"), (14, "rho sigma tau")]
+    assert _against_sql(spark, tmp_path, items, docs)[1]

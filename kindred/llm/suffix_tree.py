@@ -22,6 +22,7 @@ are a block of their own; columns other than id and text are ignored, whatever t
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,8 @@ MIN_COUNT = 2
 PENALTY = 4.0
 DISCOUNT = 0.75
 BLOCK_BYTES = 6 << 20
+#: How tables between the steps are written: their values are long and all different, so that a dictionary is of no use.
+STORED = {"compression": "zstd", "parquet.enable.dictionary": "false"}
 #: Gains and shares are summed as whole numbers of these parts, so that sums do not depend on their order; a context of
 #: more than 65,000 occurrences may have its number of next words off by one in 130,000 of them.
 GAIN, SHARE = 1 << 8, 1 << 16
@@ -59,21 +62,26 @@ def held_out(id_col: Column, folds: int = 10) -> Column:
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(different keys, ascending; the place of each key among them)"""
-    n, low = len(keys), np.uint64((1 << 21) - 1)
-    order = None
+    n, low, bits = len(keys), np.uint64((1 << 21) - 1), np.uint64(21)
+    order, new = None, np.ones(n, bool)
     if n <= 1 << 21:  # upper bits and place are sorted as one number, which is several times as fast as an argsort
-        s = np.sort(keys & ~low | np.arange(n, dtype=np.uint64))
-        order = (s & low).astype(np.int64)
-        k, new = keys[order], np.ones(n, bool)
-        new[1:] = k[1:] != k[:-1]
-        if (new[1:] & (s[1:] >> np.uint64(21) == s[:-1] >> np.uint64(21))).any():
+        s = keys & ~low
+        s |= np.arange(n, dtype=np.uint64)
+        s.sort()
+        order = (s & low).view(np.int64)
+        k = keys[order]
+        np.not_equal(k[1:], k[:-1], out=new[1:])
+        s >>= bits
+        if (new[1:] & (s[1:] == s[:-1])).any():
             order = None  # keys that differ in the lower bits alone
     if order is None:
         order = np.argsort(keys)
-        k, new = keys[order], np.ones(n, bool)
-        new[1:] = k[1:] != k[:-1]
+        k = keys[order]
+        np.not_equal(k[1:], k[:-1], out=new[1:])
+    rank = np.cumsum(new)
+    rank -= 1
     place = np.empty(n, np.int64)
-    place[order] = np.cumsum(new) - 1
+    place[order] = rank
     return k[new], place
 
 
@@ -103,10 +111,16 @@ def _unpacked(b: bytes, kind=np.int64) -> np.ndarray:
     if width <= 2:
         return np.frombuffer(b, f"<u{width}", offset=1).astype(kind)
     planes = np.frombuffer(b, np.uint8, offset=1).reshape(width, -1)
-    out = planes[0].astype(np.uint64)
+    wide = np.uint64 if width > 4 else np.uint32
+    out = planes[0].astype(wide)
     for k in range(1, width):
-        out |= planes[k].astype(np.uint64) << np.uint64(8 * k)
-    return out.astype(kind)
+        out |= planes[k].astype(wide) << wide(8 * k)
+    return out.astype(kind, copy=False)
+
+
+def _counts(b: bytes) -> np.ndarray:
+    """Unsigned numbers as they were packed, in half the memory where they are small."""
+    return _unpacked(b, np.int32 if b[0] <= 3 else np.int64)
 
 
 def _folded(x: np.ndarray) -> bytes:
@@ -119,19 +133,29 @@ def _unfolded(b: bytes) -> np.ndarray:
     return (u >> np.uint64(1)).astype(np.int64) ^ -(u & np.uint64(1)).astype(np.int64)
 
 
+def _bytes_of(words: pa.Array) -> list[bytes]:
+    """Strings without nulls as bytes, cut from their buffer, which is several times as fast as ``to_pylist``."""
+    if not len(words):
+        return []
+    wide = pa.types.is_large_string(words.type)
+    at = np.frombuffer(words.buffers()[1], np.int64 if wide else np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    whole = words.buffers()[2].to_pybytes() if at[-1] else b""
+    return [whole[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
 class Block:
     """Texts of one block as numbers: a code for each token, and for each code a hash and the word's count.
 
-    seen[n][i] is how often the n tokens that end at i occur in training texts; 0 also stands for what cannot matter.
+    seen[n][i] is how often the n tokens that end at i occur in training texts; 0 also stands for what cannot matter,
+    and for places that have fewer tokens.  Places are taken by number, level by level: each level has fewer of them.
     """
 
     def __init__(self, lens: np.ndarray, learn: np.ndarray, codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray | None = None, seen: list[np.ndarray] | None = None):
         self.lens, self.learn, self.codes, self.hashes, self.counts = lens, learn, codes, hashes, counts
         self.seen = [np.array([]), *([] if counts is None else [counts[codes]]), *(seen or [])]
         self.starts = np.cumsum(lens) - lens
-        self.place = np.arange(len(codes)) - np.repeat(self.starts, lens)
         self.train = np.repeat(learn, lens)
-        self._grams = [np.array([], np.uint64), hashes[codes]]
+        self._bytes: list[bytes] = []
 
     @classmethod
     def of_texts(cls, texts: pa.Array, learn: np.ndarray) -> tuple[Block, list[bytes]]:
@@ -139,48 +163,61 @@ class Block:
         parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
         flat, many = parts.flatten(), parts.value_lengths().to_numpy(zero_copy_only=False)
         some = pc.greater(pc.binary_length(flat), 0)
-        doc = np.repeat(np.arange(len(many)), many)[some.to_numpy(zero_copy_only=False)]
+        upto = np.zeros(len(flat) + 1, np.int64)
+        np.cumsum(some.to_numpy(zero_copy_only=False), out=upto[1:])
+        lens = np.diff(upto[np.cumsum(many)], prepend=0) + 1
         coded = flat.filter(some).dictionary_encode()
-        words = [END, *coded.dictionary.cast(pa.binary()).to_pylist()]
-        lens = np.bincount(doc, minlength=len(many)) + 1
-        codes = np.zeros(int(lens.sum()), np.int64)  # an end, 0, behind each text
-        codes[np.arange(len(doc)) + doc] = coded.indices.to_numpy().astype(np.int64) + 1
+        words = [END, *_bytes_of(coded.dictionary)]
+        codes, word = np.zeros(int(lens.sum()), np.int64), np.ones(int(lens.sum()), bool)
+        word[np.cumsum(lens) - 1] = False  # an end, 0, behind each text
+        codes[word] = coded.indices.to_numpy().astype(np.int64) + 1
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         return cls(lens.astype(np.int64), np.asarray(learn, bool), codes, hashes), words
 
     def packed(self) -> list[bytes]:
-        c = self.codes
-        out = [self.learn.tobytes(), _packed(self.lens), (c & 0xFFFF).astype("<u2").tobytes(), _packed(c >> 16), self.hashes.tobytes()]
-        return out if self.counts is None else [*out, _packed(self.counts), *map(_packed, self.seen[2:])]
+        if not self._bytes:
+            c = self.codes
+            self._bytes = [self.learn.tobytes(), _packed(self.lens), (c & 0xFFFF).astype("<u2").tobytes(), _packed(c >> 16), self.hashes.tobytes()]
+        if self.counts is not None:
+            known = [self.counts, *self.seen[2:]]
+            self._bytes += map(_packed, known[len(self._bytes) - 5 :])
+        return self._bytes
 
     @classmethod
     def of_packed(cls, b: list[bytes]) -> Block:
-        codes = np.frombuffer(b[2], "<u2").astype(np.int64) | _unpacked(b[3]) << 16
-        counts = _unpacked(b[5]) if len(b) > 5 else None
-        return cls(_unpacked(b[1]), np.frombuffer(b[0], bool), codes, np.frombuffer(b[4], np.uint64), counts, [_unpacked(x) for x in b[6:]])
+        codes = np.frombuffer(b[2], "<u2").astype(np.int64)
+        if (upper := _unpacked(b[3])).any():
+            codes |= upper << 16
+        out = cls(_unpacked(b[1]), np.frombuffer(b[0], bool), codes, np.frombuffer(b[4], np.uint64), _counts(b[5]) if len(b) > 5 else None, [_counts(x) for x in b[6:]])
+        out._bytes = list(b)
+        return out
 
     def word_counts(self) -> np.ndarray:
         """How often the training texts of the block have each of its words."""
         return np.bincount(self.codes[self.train], minlength=len(self.hashes)).astype(np.int64)
 
-    def grams(self, n: int) -> np.ndarray:
-        """A hash of the n tokens that end at each place; of no use where a text has not as many."""
-        while len(self._grams) <= n:
-            last = self._grams[-1]
-            x = np.empty(len(last), np.uint64)
-            x[:1] = 0
-            x[1:] = last[:-1]
-            x = x * np.uint64(0x9E3779B97F4A7C15) + self._grams[1] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(len(self._grams))
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0xD6E8FEB86659FD93)
-            self._grams.append(x ^ (x >> np.uint64(29)))
-        return self._grams[n]
-
-    def before(self, x: np.ndarray, back: int = 1) -> np.ndarray:
-        """x as it stands ``back`` places before each place; 0 in front of a text."""
-        out = np.zeros_like(x)
-        out[back:] = x[:-back]
-        out[self.place < back] = 0
+    def grams(self, n: int, i: np.ndarray) -> np.ndarray:
+        """A hash of the n tokens that end at each place of i, all of which have as many."""
+        word, out = self.hashes * np.uint64(0xC2B2AE3D27D4EB4F), np.empty(len(i), np.uint64)
+        for at in range(0, len(i), 1 << 14):  # a few pages at a time, which stay in the cache
+            j = i[at : at + (1 << 14)] - (n - 1)
+            x = self.hashes[self.codes[j]]
+            for k in range(2, n + 1):
+                j += 1
+                x *= np.uint64(0x9E3779B97F4A7C15)
+                x += word[self.codes[j]]
+                x += np.uint64(k)
+                x ^= x >> np.uint64(32)
+                x *= np.uint64(0xD6E8FEB86659FD93)
+                x ^= x >> np.uint64(29)
+            out[at : at + (1 << 14)] = x
+        return out
+
+    def before(self, x: np.ndarray) -> np.ndarray:
+        """x as it stands one place before each place; 0 in front of a text."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.starts] = 0
         return out
 
     def determined(self, up_to: int, min_count: int) -> np.ndarray:
@@ -191,64 +228,80 @@ class Block:
             out |= (c >= min_count) & (self.seen[m + 1] == c)
         return out
 
-    def asked(self, n: int, known: int, min_count: int) -> np.ndarray:
-        """Places whose last n tokens are to be counted, by what is known of up to ``known`` tokens: the same for equal tokens anywhere."""
-        k = min(n - 1, known)
-        out = (self.place >= n - 1) & (self.seen[k] >= 1) & ~self.determined(known, min_count)
-        for back in range(1, n - k + 1):
-            out &= self.before(self.seen[k], back) >= min_count
+    def asked(self, levels: list[int], done: np.ndarray, min_count: int) -> list[np.ndarray]:
+        """For each n of the levels the places whose last n tokens are to be counted, by what is known of fewer than the first.
+
+        They are the same for equal tokens anywhere: the n tokens, and those before each, can be a state's.  A context
+        that occurs has all its words in the text, so that nothing in front of a text is asked for.
+        """
+        known = self.seen[levels[0] - 1]
+        out = [np.flatnonzero((self.before(known) >= min_count) & (known >= 1) & ~done)]
+        for n in levels[1:]:
+            i = out[-1]
+            out.append(i[known[i - (n - levels[0] + 1)] >= min_count])
         return out
 
-    def count_keys(self, levels: list[int], min_count: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def count_keys(self, levels: list[int], done: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """(keys, the place among them of every asked place level by level, which places are asked)"""
-        known = levels[0] - 1
-        masks = [self.asked(n, known, min_count) for n in levels]
-        keys, place = grouped(np.concatenate([self.grams(n)[m] for n, m in zip(levels, masks, strict=True)]))
-        return keys, place, masks
+        where = self.asked(levels, done, min_count)
+        keys, place = grouped(np.concatenate([self.grams(n, i) for n, i in zip(levels, where, strict=True)]))
+        return keys, place, where
 
     def count_ask(self, levels: list[int], min_count: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        keys, place, masks = self.count_keys(levels, min_count)
-        mine = np.concatenate([self.train[m] for m in masks])
+        keys, place, where = self.count_keys(levels, self.determined(levels[0] - 1, min_count), min_count)
+        mine = np.concatenate([self.train[i] for i in where])
         return keys, [np.bincount(place[mine], minlength=len(keys)).astype(np.int64)]
 
     def count_take(self, levels: list[int], min_count: int, answers: np.ndarray) -> None:
-        _, place, masks = self.count_keys(levels, min_count)
-        at, done = 0, self.determined(levels[0] - 1, min_count)
-        for n, m in zip(levels, masks, strict=True):
+        done = self.determined(levels[0] - 1, min_count)
+        _, place, where = self.count_keys(levels, done, min_count)
+        if len(answers) and int(answers.max()) < 1 << 31:
+            answers = answers.astype(np.int32)
+        at = 0
+        for n, i in zip(levels, where, strict=True):
             c = self.before(self.seen[n - 1])
-            found = np.where(done, c, 0)
-            size = int(m.sum())
-            found[m] = answers[place[at : at + size]]
-            at += size
+            found = np.where(done, c, 0).astype(np.promote_types(c.dtype, answers.dtype), copy=False)
+            found[i] = answers[place[at : at + len(i)]]
+            at += len(i)
             self.seen.append(found)
-            done |= (c >= min_count) & (found == c)
+            if n < levels[-1]:
+                done |= (c >= min_count) & (found == c)
 
-    def contexts(self, depth: int, min_count: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each depth k: k, the places with a context of k words that can be a state, its count, and which of the places before they are.
+    def contexts(self, depth: int, min_count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each depth k the places with a context of k words that can be a state, its count, that with the next word, and which of the places before they are.
 
         A context of k words is as frequent as one of k + 1 at least, so that places become fewer.
         """
-        i = np.arange(len(self.codes))
         for k in range(1, depth + 1):
-            ok = self.place[i] >= k
-            ok[ok] = self.seen[k][i[ok] - 1] >= min_count
-            i = i[ok]
-            yield k, i, self.seen[k][i - 1], ok
-
-    def state_keys(self, depth: int, min_count: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(keys, places among them, where) of contexts that have other next words too; what determines its next word needs no sums."""
-        where = [i[self.seen[k + 1][i] < c] for k, i, c, _ in self.contexts(depth, min_count)]
-        keys, place = grouped(np.concatenate([self.grams(k)[i - 1] for k, i in enumerate(where, 1)]))
-        return keys, place, where
+            c = self.before(self.seen[1]) if k == 1 else self.seen[k][i - 1]
+            ok = c >= min_count
+            i, c = np.flatnonzero(ok) if k == 1 else i[ok], c[ok]
+            yield i, c, self.seen[k + 1][i], ok
+
+    def state_keys(self, depth: int, min_count: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """(keys, places among them, (where, count, count with the next word, which of the places before, which need sums) by level).
+
+        Keys are of contexts that have other next words too; what determines its next word needs no sums.
+        """
+        levels = [(*x, x[2] < x[1]) for x in self.contexts(depth, min_count)]
+        i, _, _, _, other = levels[0]
+        word = self.codes[i[other] - 1]  # contexts of one word are told apart by their codes, unsorted
+        there = np.bincount(word, minlength=len(self.hashes)) > 0
+        rank = np.cumsum(there) - 1
+        longer, place = grouped(np.concatenate([np.array([], np.uint64), *(self.grams(k, i[other] - 1) for k, (i, _, _, _, other) in enumerate(levels[1:], 2))]))
+        keys, to = grouped(np.concatenate([self.hashes[there], longer]))
+        place += np.count_nonzero(there)
+        return keys, to[np.concatenate([rank[word], place])], levels
 
     def state_ask(self, depth: int, min_count: int, total: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Sums by context over the training texts: gain, and 1 / count of each next word, which add up to how many there are."""
-        keys, place, where = self.state_keys(depth, min_count)
-        mine = [self.train[i] for i in where]
-        gain, share = [], []
-        for k, (i, m) in enumerate(zip(where, mine, strict=True), 1):
-            i = i[m]
-            with_w, c, up_w = self.seen[k + 1][i], self.seen[k][i - 1], self.seen[k][i]
+        keys, place, levels = self.state_keys(depth, min_count)
+        mine, gain, share = [], [], []
+        for k, (i, c, with_w, _, other) in enumerate(levels, 1):
+            i, c, with_w = i[other], c[other], with_w[other]
+            mine.append(self.train[i])
+            i, c, with_w = i[mine[-1]], c[mine[-1]], with_w[mine[-1]]
+            up_w = self.seen[k][i]
             up = total if k == 1 else self.seen[k - 1][i - 1]
             gain.append(np.rint(np.log(with_w / c * (up / up_w)) * GAIN).astype(np.int64))
             share.append(np.rint(SHARE / with_w).astype(np.int64))
@@ -257,24 +310,22 @@ class Block:
 
     def scores(self, depth: int, min_count: int, discount: float, total: int, distinct: int, answers: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each text n_tokens, n_known, base score and score; answers as ``state_answer`` gives them."""
-        _, place, where = self.state_keys(depth, min_count)
-        c1 = self.seen[1]
-        base = (c1 + ALPHA) / (total + ALPHA * (distinct + 1))
-        p, at = base.copy(), 0
+        _, place, levels = self.state_keys(depth, min_count)
+        word = (self.counts + ALPHA) / (total + ALPHA * (distinct + 1))
+        p, at = word[self.codes], 0
         fixed = np.zeros(len(p), bool)  # whether the context one word shorter determines its next word
-        for k, i, c, ok in self.contexts(depth, min_count):
-            with_w = self.seen[k + 1][i]
-            other = with_w < c
+        for i, c, with_w, ok, other in levels:
             kinds = np.zeros(len(i), np.int64)
-            kinds[other] = answers[place[at : at + len(where[k - 1])]]
-            at += len(where[k - 1])
+            n = int(other.sum())
+            kinds[other] = answers[place[at : at + n]]
+            at += n
             determines = kinds == 0  # this next word, or one that does not stand here
             kept = (kinds > 0) | (determines & ~fixed[ok])
             j, left = i[kept], discount * np.maximum(kinds[kept], 1)
             p[j] = (np.maximum(with_w[kept] - discount, 0) + left * p[j]) / c[kept]
             fixed = determines
         add = lambda x: np.add.reduceat(x, self.starts)
-        return self.lens, add((c1 > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
+        return self.lens, add((self.counts > 0).astype(np.int64)[self.codes]), add(np.log10(word)[self.codes]), add(np.log10(p))
 
 
 def state_answer(gain: np.ndarray, share: np.ndarray, penalty: float) -> np.ndarray:
@@ -306,19 +357,40 @@ def _dealt(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return list(zip(p[at].tolist(), at.tolist(), [*at[1:].tolist(), len(keys)], strict=True))
 
 
+_apart = False
+
+
+def _settled() -> None:
+    """Sets apart what a worker has imported: Spark has it collect garbage behind each task, which else walks through all of it."""
+    global _apart
+    if not _apart:  # asking gc how much is apart would count it all
+        gc.collect()
+        gc.freeze()
+        _apart = True
+
+
+def _read(address: str, columns: list[str]) -> pa.Table:
+    """Columns of the one row in a file that a finished job wrote to the shared folder, by the address that Spark gives."""
+    from pyarrow import fs, parquet
+
+    _settled()
+    store, path = fs.FileSystem.from_uri(address)
+    with store.open_input_file(path) as file:
+        return parquet.read_table(file, columns=columns, use_threads=False)
+
+
 def _messages(states: DataFrame, parts: int, ask) -> DataFrame:
     """What the blocks ask: keys ascending, and the sums that they bring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                keys, sums = ask(Block.of_packed(b.column(1)[i].as_py()))
-                block = b.column(0)[i].as_py()
+            for block, address in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                keys, sums = ask(Block.of_packed(_read(address, ["state"]).column("state")[0].as_py()))
                 rows = [(p, block, keys[x:y].tobytes(), [_folded(s[x:y]) for s in sums]) for p, x, y in _dealt(keys, parts)]
                 if rows:
                     yield _batch(rows, ("p", "block", "keys", "sums"), (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary())))
 
-    return states.select("block", "state").mapInArrow(run, _ASK).repartition(parts, "p")
+    return states.select("block", F.input_file_name().alias("address")).mapInArrow(run, _ASK).repartition(parts, "p")
 
 
 def _answers(messages: DataFrame, name: str, answer=lambda s: s) -> DataFrame:
@@ -343,7 +415,7 @@ def _answers(messages: DataFrame, name: str, answer=lambda s: s) -> DataFrame:
                 at += n
             yield _batch(rows, ("block", "p", "answer"), (pa.int64(), pa.int32(), pa.binary()))
 
-    return written(messages.mapInArrow(run, _ANSWER), name, compression="zstd")
+    return written(messages.mapInArrow(run, _ANSWER), name, **STORED)
 
 
 def _told(states: DataFrame, answers: DataFrame, parts: int, f, schema: str) -> DataFrame:
@@ -355,15 +427,11 @@ def _told(states: DataFrame, answers: DataFrame, parts: int, f, schema: str) ->
     where = states.select("block", F.lit(-1).alias("p"), F.input_file_name().cast("binary").alias("answer"))
 
     def run(key, t):
-        from pyarrow import fs, parquet
-
         order = np.argsort(t.column("p").to_numpy())
         got = t.column("answer").take(pa.array(order)).to_pylist()  # the address stands in front of the answers
-        store, path = fs.FileSystem.from_uri(got[0].decode())
-        with store.open_input_file(path) as file:
-            own = parquet.read_table(file, columns=["block", "ids", "state"])
+        own = _read(got[0].decode(), ["block", "ids", "state"])
         if own.column("block").to_pylist() != [key[0].as_py()]:
-            raise ValueError(f"{path} does not hold block {key[0]}")
+            raise ValueError(f"{got[0].decode()} does not hold block {key[0]}")
         block = Block.of_packed(own.column("state")[0].as_py())
         return f(key[0].as_py(), own.column("ids").combine_chunks(), block, np.concatenate([np.array([], np.int64), *map(_unfolded, got[1:])]))
 
@@ -398,7 +466,7 @@ def _cut(rows: DataFrame, schema: str, block_bytes: int) -> DataFrame:
         if held:
             yield out()
 
-    return written(rows.mapInArrow(run, f"{schema}, words binary"), "lm-blocks", maxRecordsPerFile=1, compression="zstd")
+    return written(rows.mapInArrow(run, f"{schema}, words binary"), "lm-blocks", maxRecordsPerFile=1, **STORED)
 
 
 def _word_answers(blocks: DataFrame, parts: int) -> DataFrame:
@@ -406,10 +474,14 @@ def _word_answers(blocks: DataFrame, parts: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, state, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                block, w = Block.of_packed(state), words.split(b" ")
+            for number, address in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = _read(address, ["state", "words"])
+                block, words = Block.of_packed(own.column("state")[0].as_py()), pc.split_pattern(own.column("words").cast(pa.string()), " ").chunk(0).flatten()
                 order, mine = np.argsort(block.hashes), block.word_counts()
-                rows = [(p, number, b" ".join([w[i] for i in order[x:y].tolist()]), [_folded(mine[order[x:y]])]) for p, x, y in _dealt(block.hashes[order], parts)]
+                dealt = _dealt(block.hashes[order], parts)
+                by_part = pa.ListArray.from_arrays(pa.array([*(x for _, x, _ in dealt), len(order)], pa.int32()), words.take(pa.array(order)))
+                joined = pc.binary_join(by_part, " ").cast(pa.binary()).to_pylist()
+                rows = [(p, number, w, [_folded(mine[order[x:y]])]) for (p, x, y), w in zip(dealt, joined, strict=True)]
                 yield _batch(rows, ("p", "block", "keys", "sums"), (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary())))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,8 +502,8 @@ def _word_answers(blocks: DataFrame, parts: int) -> DataFrame:
             at += n
         yield _batch(rows, ("block", "p", "answer"), (pa.int64(), pa.int32(), pa.binary()))
 
-    asked = blocks.select("block", "state", "words").mapInArrow(ask, _ASK).repartition(parts, "p")
-    return written(asked.mapInArrow(answer, _ANSWER), "lm-answers", compression="zstd")
+    asked = blocks.select("block", F.input_file_name().alias("address")).mapInArrow(ask, _ASK).repartition(parts, "p")
+    return written(asked.mapInArrow(answer, _ANSWER), "lm-answers", **STORED)
 
 
 @tidy
@@ -461,7 +533,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
 
     def step(f, name="lm-states"):
         nonlocal states, answers
-        after = written(_told(states.filter("block >= 0"), answers.filter("block >= 0"), parts, f, schema), name, maxRecordsPerFile=1, compression="zstd")
+        after = written(_told(states.filter("block >= 0"), answers.filter("block >= 0"), parts, f, schema), name, maxRecordsPerFile=1, **STORED)
         drop_written(states)
         drop_written(answers)
         states = after

@@ -485,6 +485,37 @@ def test_suffix_tree_in_small_blocks(spark, depth, min_count):
     assert got == {i: (pytest.approx(b), pytest.approx(s)) for i, (b, s) in enumerate(zip(base, own, strict=True))}
 
 
+def test_blocks_hash_only_what_they_ask_for(monkeypatch):
+    """Copied texts determine their next words early: longer sequences are hashed at few places, and what came packed is not packed again."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    copied = " ".join(f"w{k}" for k in rng.permutation(300))
+    texts = pa.array([*[copied] * 6, " ".join(rng.choice(list("abc"), 200)), None, ""])
+    block, words = suffix_tree.Block.of_texts(texts, np.array([True] * 8 + [False]))
+    assert len(words) == len(set(words)) == 304 and words[0] == suffix_tree.END and [xxhash.xxh64_intdigest(w) for w in words] == block.hashes.tolist()
+    block.counts = block.word_counts()
+    hashed, plain = Counter(), suffix_tree.Block.grams
+
+    def grams(self, n, i):
+        hashed[n] += len(i)
+        return plain(self, n, i)
+
+    monkeypatch.setattr(suffix_tree.Block, "grams", grams)
+    for levels in suffix_tree.rounds_of(5):
+        before = block.packed()
+        block = suffix_tree.Block.of_packed(before)
+        keys, (own,) = block.count_ask(levels, 2)
+        block.count_take(levels, 2, own)
+        after = block.packed()
+        assert len(keys) == len(own) and all(a is b for a, b in zip(before, after, strict=False))
+    assert hashed[2] > 2 * 1800 and 0 < hashed[4] <= 2 * 200 and hashed[6] <= hashed[4]
+    again = suffix_tree.Block.of_packed(block.packed())
+    assert [x.tolist() for x in again.seen[1:]] == [x.tolist() for x in block.seen[1:]] and {x.dtype.itemsize for x in again.seen[1:]} == {4}
+    tokens = [w for t in texts.to_pylist()[:8] for w in suffix_tree.tokens(t)]
+    assert again.counts.tolist() == [Counter(tokens)[w] for w in words]
+
+
 def test_blocks_do_not_matter(spark, sf):
     d = table(spark, sf, "documents")
     rows = lambda n: {r["id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in suffix_tree.score(d, block_bytes=n).collect()}
